@@ -1 +1,265 @@
-"""Queries registered later."""
+"""Time-series queries on ``events`` (W1-W5, W9, T5-T10, A5, A8, A11, A15, Q-F, Q-M, Q-Q).
+
+``events`` is read as a per-user telemetry log: the event type gives a
+control state, ``floor(value)`` and ``props.k`` are two weekly counters and
+the (type, value) pair is a one-entry conflict-progress map.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from orrery.functions import json as J
+from orrery.functions.timefns import seconds_between
+from orrery.operators.timeseries import (
+    bucket_counts,
+    bucket_first_delta,
+    clean_counter_series,
+    fix_control_progress,
+    lookback_rate,
+    state_sessions,
+    with_deltas,
+)
+from orrery.plans.catalog import register
+from orrery.sources.tables import table
+
+
+def series_log(spark, sf):
+    ev = table(spark, sf, "events")
+    et = F.col("event_type")
+    state = (
+        F.when(et == "view", "Unoccupied")
+        .when(et == "signup", F.lit(None))
+        .when(et == "purchase", "Fortified")
+        .otherwise("Exploited")
+    )
+    return ev.select(
+        "user_id",
+        "ts",
+        "event_id",
+        state.alias("state"),
+        F.floor("value").cast("int").alias("r"),
+        J.text_field("props", "$.k", "int").alias("u"),
+        F.when(et != "error", F.col("value") * 30).alias("control"),
+        F.array(F.struct(et.alias("key"), F.col("value").alias("value"))).alias("progress"),
+    )
+
+
+_SERIES_SQL = """
+  SELECT user_id, ts, event_id,
+         CASE event_type WHEN 'view' THEN 'Unoccupied' WHEN 'signup' THEN NULL
+                         WHEN 'purchase' THEN 'Fortified' ELSE 'Exploited' END AS state,
+         CAST(floor(value) AS INTEGER) AS r,
+         CAST(json_extract_string(props, '$.k') AS INTEGER) AS u,
+         CASE WHEN event_type <> 'error' THEN value * 30 END AS control,
+         map_from_entries([(event_type, value)]) AS prog
+  FROM events
+"""
+
+_FIX_SQL = """
+  CASE WHEN control > 1000 THEN
+         CASE WHEN state = 'Exploited' THEN control - 4294967296 / 349999
+              WHEN state = 'Fortified' THEN control - 4294967296 / 650000
+              WHEN state = 'Stronghold' THEN control - 4294967296 / 1000000 END
+       ELSE control END AS control_progress
+"""
+
+
+def _clean(spark, sf, parity):
+    log = series_log(spark, sf)
+    out = clean_counter_series(
+        log, key="user_id", ts="ts", state="state", r="r", u="u",
+        progress="progress", control="control", parity=parity,
+    )
+    return out.select(
+        "user_id", "ts", "state",
+        F.col("r").alias("reinforcement"),
+        F.col("u").alias("undermining"),
+        fix_control_progress("control", "state").alias("control_progress"),
+    )
+
+
+_TICK = "(time_bucket(INTERVAL '7 days', prev_ts, TIMESTAMP '1970-01-01 07:00:00') + INTERVAL '7 days')"
+_GREW = """CASE WHEN prog IS NULL THEN NULL ELSE coalesce(len(list_filter(map_keys(prog),
+             lambda k: prev_prog[k] IS NOT NULL AND prog[k] > prev_prog[k])) > 0, false) END"""
+
+
+@register(
+    "clean_series",
+    oracle=f"""
+    WITH src AS ({_SERIES_SQL}),
+    pre AS (SELECT * FROM src
+            WHERE coalesce(state, 'Unoccupied') NOT IN ('Fortified', 'Exploited', 'Stronghold')
+               OR control IS NOT NULL),
+    p1 AS (
+      SELECT user_id, ts, event_id, r, u, control, coalesce(state, 'Unoccupied') AS state, prog,
+             lag(coalesce(state, 'Unoccupied')) OVER w AS prev_state,
+             lag(prog) OVER w AS prev_prog,
+             r - lag(r) OVER w AS dr, u - lag(u) OVER w AS du, lag(ts) OVER w AS prev_ts
+      FROM pre WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s1 AS (
+      SELECT * FROM p1
+      WHERE CASE WHEN coalesce(state = 'Unoccupied' AND prev_state = 'Unoccupied', false)
+                 THEN coalesce({_GREW}, false) OR coalesce(ts >= {_TICK}, false)
+                 ELSE ((dr >= 0 AND du >= 0) OR dr IS NULL OR du IS NULL)
+                      OR coalesce(ts >= {_TICK}, false) OR prev_ts IS NULL END),
+    p2 AS (
+      SELECT user_id, ts, r, u, control, state,
+             r - lag(r) OVER w AS dr, u - lag(u) OVER w AS du, lag(ts) OVER w AS prev_ts
+      FROM s1 WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+    SELECT user_id, ts, state, r AS reinforcement, u AS undermining, {_FIX_SQL}
+    FROM p2
+    WHERE state = 'Unoccupied' OR prev_ts IS NULL OR coalesce(dr <> 0 OR du <> 0, true)
+       OR coalesce(ts >= {_TICK}, false)
+       OR coalesce(epoch_us(ts) - epoch_us(prev_ts) > 3600000000, false)
+    """,
+    headline=True,
+)
+def clean_series(spark, sf):
+    return _clean(spark, sf, parity=False)
+
+
+_LIT_TICK = "(date_trunc('week', prev_ts + INTERVAL '3 days' - INTERVAL '7 hours') + INTERVAL '3 days 7 hours')"
+
+
+@register(
+    "clean_series_parity",
+    oracle=f"""
+    WITH src AS ({_SERIES_SQL}),
+    diff AS (
+      SELECT * EXCLUDE (state), coalesce(state, 'Unoccupied') AS state,
+             r - lag(r) OVER w AS dr, u - lag(u) OVER w AS du, lag(ts) OVER w AS prev_ts,
+             lag(state) OVER w AS prev_state, lag(prog) OVER w AS prev_prog
+      FROM src
+      WHERE state NOT IN ('Fortified', 'Exploited', 'Stronghold') OR control IS NOT NULL
+      WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    monotonic AS (
+      SELECT * EXCLUDE (dr, du, prev_ts),
+             r - lag(r) OVER w AS dr, u - lag(u) OVER w AS du, lag(ts) OVER w AS prev_ts
+      FROM diff
+      WHERE (NOT (state = 'Unoccupied' AND prev_state = 'Unoccupied')
+               OR array_has([prog[k] > prev_prog[k] FOR k IN map_keys(prog)
+                             IF element_at(prev_prog, k) IS NOT NULL], true))
+         OR ((dr >= 0 AND du >= 0) OR (ts >= {_LIT_TICK} AND prev_ts < {_LIT_TICK}))
+      WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+    SELECT user_id, ts, state, r AS reinforcement, u AS undermining, {_FIX_SQL}
+    FROM monotonic
+    WHERE state = 'Unoccupied'
+       OR ((dr > 0 AND du > 0) OR (ts >= {_LIT_TICK} AND prev_ts < {_LIT_TICK})
+           OR (ts - prev_ts > INTERVAL '1 hours'))
+    """,
+)
+def clean_series_parity(spark, sf):
+    return _clean(spark, sf, parity=True)
+
+
+@register(
+    "lag_deltas",
+    oracle="""
+    SELECT user_id, event_id, ts,
+           value - lag(value) OVER w AS d_value,
+           (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS gap_s
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+    """,
+)
+def lag_deltas(spark, sf):
+    ev = table(spark, sf, "events").select("user_id", "event_id", "ts", "value")
+    out = with_deltas(ev, ["user_id"], ["ts", "event_id"], ["value"])
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return out.select(
+        "user_id", "event_id", "ts", "d_value",
+        seconds_between(F.lag("ts").over(w), F.col("ts")).alias("gap_s"),
+    )
+
+
+@register(
+    "rolling_8h_rate",
+    oracle="""
+    WITH s AS (
+      SELECT user_id, ts, event_id, CAST(floor(value) AS INTEGER) AS r,
+             CAST(json_extract_string(props, '$.k') AS INTEGER) AS u
+      FROM events),
+    f AS (
+      SELECT *,
+             arg_min(epoch_us(ts), (epoch_us(ts), event_id)) OVER w AS t0,
+             arg_min(CAST(coalesce(r, 0) AS DOUBLE), (epoch_us(ts), event_id)) OVER w AS r0,
+             arg_min(CAST(coalesce(u, 0) AS DOUBLE), (epoch_us(ts), event_id)) OVER w AS u0
+      FROM s
+      WINDOW w AS (PARTITION BY user_id ORDER BY ts
+                   RANGE BETWEEN INTERVAL 8 HOURS PRECEDING AND CURRENT ROW))
+    SELECT user_id, ts, event_id, r, u,
+           CASE WHEN epoch_us(ts) - t0 <> 0 THEN CAST(floor((CAST(coalesce(r, 0) AS DOUBLE) - r0)
+                / ((epoch_us(ts) - t0) / CAST(3600000000 AS DOUBLE)) + 0.5) AS BIGINT) END AS r_rate,
+           CASE WHEN epoch_us(ts) - t0 <> 0 THEN CAST(floor((CAST(coalesce(u, 0) AS DOUBLE) - u0)
+                / ((epoch_us(ts) - t0) / CAST(3600000000 AS DOUBLE)) + 0.5) AS BIGINT) END AS u_rate
+    FROM f
+    """,
+    headline=True,
+)
+def rolling_8h_rate(spark, sf):
+    log = series_log(spark, sf).select("user_id", "ts", "event_id", "r", "u")
+    out = lookback_rate(log, ["user_id"], "ts", "r", tiebreak="event_id", name="r_rate")
+    return lookback_rate(out, ["user_id"], "ts", "u", tiebreak="event_id", name="u_rate")
+
+
+@register(
+    "state_sessions",
+    oracle="""
+    WITH flagged AS (
+      SELECT user_id, ts, value, event_type, event_type = 'error' AS is_in,
+             lag(event_type = 'error', 1, false) OVER w AS was_in,
+             lead(event_type = 'error', 1, true) OVER w AS still_in
+      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    runs AS (
+      SELECT *, sum(CASE WHEN is_in AND NOT was_in THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY user_id ORDER BY ts) AS session_id
+      FROM flagged WHERE is_in OR was_in)
+    SELECT user_id, session_id,
+           min(ts) AS start_ts,
+           max(CASE WHEN is_in AND NOT still_in THEN ts END) AS end_ts,
+           count(*) AS n_rows,
+           round(avg(value), 6) AS avg_measure,
+           array_to_string(list_sort(array_agg(DISTINCT event_type)), ',') AS labels,
+           (epoch_us(max(CASE WHEN is_in AND NOT still_in THEN ts END)) - epoch_us(min(ts))) / 1e6 AS duration_s
+    FROM runs WHERE session_id > 0
+    GROUP BY user_id, session_id
+    """,
+    headline=True,
+)
+def state_sessions_q(spark, sf):
+    ev = table(spark, sf, "events")
+    out = state_sessions(ev, ["user_id"], "ts", F.col("event_type") == "error", "value", "event_type")
+    return out.withColumn("avg_measure", F.round("avg_measure", 6))
+
+
+@register(
+    "hourly_buckets",
+    oracle="""
+    SELECT date_trunc('hour', ts) AS bucket, count(*) AS n_events,
+           count(DISTINCT (user_id, event_type)) AS n_pairs,
+           count(DISTINCT user_id) AS n_entities,
+           array_to_string(list_sort(array_agg(DISTINCT event_type)), ',') AS labels
+    FROM events GROUP BY 1
+    """,
+)
+def hourly_buckets(spark, sf):
+    ev = table(spark, sf, "events")
+    return bucket_counts(ev, "ts", "user_id", "event_type")
+
+
+@register(
+    "hourly_first_delta",
+    oracle="""
+    WITH h AS (
+      SELECT event_type, date_trunc('hour', ts) AS bucket,
+             arg_min(value, (ts, event_id)) FILTER (WHERE value IS NOT NULL) AS first_value,
+             count(*) AS n_events
+      FROM events GROUP BY 1, 2)
+    SELECT *, first_value - lag(first_value) OVER (PARTITION BY event_type ORDER BY bucket) AS delta
+    FROM h
+    """,
+)
+def hourly_first_delta(spark, sf):
+    ev = table(spark, sf, "events")
+    return bucket_first_delta(ev, ["event_type"], "ts", "value", tiebreak="event_id")

@@ -25,15 +25,20 @@ from orrery.plans.catalog import register
 from orrery.sources.tables import table
 
 
-def series_log(spark, sf):
-    ev = table(spark, sf, "events")
-    et = F.col("event_type")
-    state = (
+def state_of(et):
+    """Control state implied by an event type (NULL for signups)."""
+    return (
         F.when(et == "view", "Unoccupied")
         .when(et == "signup", F.lit(None))
         .when(et == "purchase", "Fortified")
         .otherwise("Exploited")
     )
+
+
+def series_log(spark, sf):
+    ev = table(spark, sf, "events")
+    et = F.col("event_type")
+    state = state_of(et)
     return ev.select(
         "user_id",
         "ts",

@@ -89,16 +89,25 @@ def merge_latest(
             aggs.append(F.max_by(v, F.when((stage == i) & v.isNotNull(), t)).alias(f"__s{i}_{c}"))
     g = u.groupBy(*keys).agg(*aggs)
 
-    # Fold the stages: state = target, then each MERGE in order.
-    present = F.col(f"__t.{ts}").isNotNull()
-    state = {c: F.col(f"__t.{c}") for c in vcols}
+    # Fold the stages: state = target, then each MERGE in order.  Each stage
+    # is projected into plain columns so the next stage refers to columns,
+    # not to (repeated) copies of the previous stage's CASE expressions.
+    stage_cols = [f"__s{i}_{c}" for i in range(1, len(stages) + 1) for c in vcols]
+    cur = g.select(
+        *keys,
+        *[F.col(f"__t.{c}").alias(f"__c_{c}") for c in vcols],
+        F.col(f"__t.{ts}").isNotNull().alias("__present"),
+        *stage_cols,
+    )
     for i, st in enumerate(stages, 1):
+        state = {c: F.col(f"__c_{c}") for c in vcols}
         s = {c: F.col(f"__s{i}_{c}") for c in vcols}
+        present = F.col("__present")
         has_s = s[ts].isNotNull()
         insert = ~present & has_s
         newer = present & has_s & (s[ts] > state[ts])
         matched = present & has_s
-        nxt = {}
+        nxt = []
         for c in vcols:
             if c in st.keep_old:
                 upd = F.coalesce(state[c], s[c])
@@ -109,11 +118,11 @@ def merge_latest(
             e = F.when(insert, s[c]).when(newer, upd)
             if c in st.fill_if_null:
                 e = e.when(matched & state[c].isNull() & s[c].isNotNull(), s[c])
-            nxt[c] = e.otherwise(state[c])
-        # Only the first fill column's NULL test gates the clause in the
-        # reference (one column), so per-column gating is equivalent there.
-        state, present = nxt, present | has_s
-    return g.filter(present).select(*keys, *[state[c].alias(c) for c in vcols])
+            nxt.append(e.otherwise(state[c]).alias(f"__c_{c}"))
+        rest = [c for c in stage_cols if not c.startswith(f"__s{i}_")]
+        stage_cols = rest
+        cur = cur.select(*keys, *nxt, (present | has_s).alias("__present"), *rest)
+    return cur.filter(F.col("__present")).select(*keys, *[F.col(f"__c_{c}").alias(c) for c in vcols])
 
 
 def keyed_replace(

@@ -30,7 +30,7 @@ def coverage(df: DataFrame, group: str, ts: str) -> DataFrame:
 def date_from_name(name: str | Column, pattern: str = r"(\d{4}-\d{2}-\d{2})") -> Column:
     """The first ``YYYY-MM-DD`` in a file name, as a DATE (NULL if none)."""
     n = F.col(name) if isinstance(name, str) else name
-    return F.try_to_date(F.nullif(F.regexp_extract(n, pattern, 1), F.lit("")), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.nullif(F.regexp_extract(n, pattern, 1), F.lit("")), "yyyy-MM-dd")
 
 
 def lookback_days(latest_day: Column, today: Column, max_days: int = 30) -> Column:

@@ -19,6 +19,7 @@ Checkpoints go under the shared ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,7 +72,11 @@ def upsert_each_batch(
         nxt = merge(prev, batch)
         nxt.write.mode("overwrite").parquet(f"{root}/batch={batch_id:012d}")
 
-    w = stream.writeStream.foreachBatch(run).option("checkpointLocation", scratch_path(spark, f"stream-{name}"))
+    # One checkpoint per (query name, sink): a restart of the same stream
+    # resumes, a stream into another snapshot folder starts fresh.
+    ident = hashlib.sha1(root.encode()).hexdigest()[:12]
+    ckpt = scratch_path(spark, f"stream-{name}-{ident}")
+    w = stream.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="1 minute")
     return w.queryName(name).start()
 

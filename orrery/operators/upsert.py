@@ -80,49 +80,55 @@ def merge_latest(
         parts.append(src.select(*keys, F.lit(i).alias("__stage"), *vcols))
     u = reduce(lambda a, b: a.unionByName(b), parts)
 
-    stage, t = F.col("__stage"), F.col(ts)
-    aggs = [F.max_by(F.struct(*vcols), F.when(stage == 0, t)).alias("__t")]
+    # The expressions are written as SQL text: one parse in the JVM per
+    # expression instead of one Py4J call per node (the plan is identical).
+    q = _q
+    t = q(ts)
+    aggs = [f"max_by(struct({', '.join(q(c) for c in vcols)}), CASE WHEN __stage = 0 THEN {t} END) AS __t"]
     for i in range(1, len(stages) + 1):
-        aggs.append(F.max(F.when(stage == i, t)).alias(f"__s{i}_{ts}"))
+        aggs.append(f"max(CASE WHEN __stage = {i} THEN {t} END) AS {q(f'__s{i}_{ts}')}")
         for c in cols:
-            v = F.col(c)
-            aggs.append(F.max_by(v, F.when((stage == i) & v.isNotNull(), t)).alias(f"__s{i}_{c}"))
-    g = u.groupBy(*keys).agg(*aggs)
+            aggs.append(f"max_by({q(c)}, CASE WHEN __stage = {i} AND {q(c)} IS NOT NULL THEN {t} END) "
+                        f"AS {q(f'__s{i}_{c}')}")
+    g = u.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
 
     # Fold the stages: state = target, then each MERGE in order.  Each stage
     # is projected into plain columns so the next stage refers to columns,
     # not to (repeated) copies of the previous stage's CASE expressions.
     stage_cols = [f"__s{i}_{c}" for i in range(1, len(stages) + 1) for c in vcols]
-    cur = g.select(
-        *keys,
-        *[F.col(f"__t.{c}").alias(f"__c_{c}") for c in vcols],
-        F.col(f"__t.{ts}").isNotNull().alias("__present"),
-        *stage_cols,
+    kq = [q(k) for k in keys]
+    cur = g.selectExpr(
+        *kq,
+        *[f"__t.{q(c)} AS {q('__c_' + c)}" for c in vcols],
+        f"__t.{t} IS NOT NULL AS __present",
+        *[q(c) for c in stage_cols],
     )
     for i, st in enumerate(stages, 1):
-        state = {c: F.col(f"__c_{c}") for c in vcols}
-        s = {c: F.col(f"__s{i}_{c}") for c in vcols}
-        present = F.col("__present")
-        has_s = s[ts].isNotNull()
-        insert = ~present & has_s
-        newer = present & has_s & (s[ts] > state[ts])
-        matched = present & has_s
+        sts, cts = q(f"__s{i}_{ts}"), q(f"__c_{ts}")
+        has_s = f"({sts} IS NOT NULL)"
+        insert = f"(NOT __present AND {has_s})"
+        newer = f"(__present AND {has_s} AND {sts} > {cts})"
+        matched = f"(__present AND {has_s})"
         nxt = []
         for c in vcols:
+            sc, cc = q(f"__s{i}_{c}"), q(f"__c_{c}")
             if c in st.keep_old:
-                upd = F.coalesce(state[c], s[c])
+                upd = f"coalesce({cc}, {sc})"
             elif c in st.prefer_new:
-                upd = F.coalesce(s[c], state[c])
+                upd = f"coalesce({sc}, {cc})"
             else:
-                upd = s[c]
-            e = F.when(insert, s[c]).when(newer, upd)
-            if c in st.fill_if_null:
-                e = e.when(matched & state[c].isNull() & s[c].isNotNull(), s[c])
-            nxt.append(e.otherwise(state[c]).alias(f"__c_{c}"))
+                upd = sc
+            fill = (f" WHEN {matched} AND {cc} IS NULL AND {sc} IS NOT NULL THEN {sc}"
+                    if c in st.fill_if_null else "")
+            nxt.append(f"CASE WHEN {insert} THEN {sc} WHEN {newer} THEN {upd}{fill} ELSE {cc} END AS {cc}")
         rest = [c for c in stage_cols if not c.startswith(f"__s{i}_")]
         stage_cols = rest
-        cur = cur.select(*keys, *nxt, (present | has_s).alias("__present"), *rest)
-    return cur.filter(F.col("__present")).select(*keys, *[F.col(f"__c_{c}").alias(c) for c in vcols])
+        cur = cur.selectExpr(*kq, *nxt, f"__present OR {has_s} AS __present", *[q(c) for c in rest])
+    return cur.filter("__present").selectExpr(*kq, *[f"{q('__c_' + c)} AS {q(c)}" for c in vcols])
+
+
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def keyed_replace(

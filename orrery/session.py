@@ -37,6 +37,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Small-scale local runs: let AQE keep post-shuffle parallelism even
+        # when a shuffle is only a few MB (cluster jobs keep the defaults).
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
     )
     for k, v in SQL_DEFAULTS.items():
         builder = builder.config(k, v)

@@ -69,3 +69,28 @@ def js_round(x: Column) -> Column:
 
 def seconds_between(start: Column, end: Column) -> Column:
     return (epoch_us(end) - epoch_us(start)) / F.lit(1e6)
+
+
+# SQL-text forms of the same expressions, for operators that assemble whole
+# projections as SQL (one JVM parse instead of many Py4J calls).
+
+def epoch_us_sql(x: str) -> str:
+    return f"unix_micros(CAST({x} AS TIMESTAMP))"
+
+
+def next_tick_sql(x: str, period_us: int = WEEK_US, offset_us: int = TICK_OFFSET_US) -> str:
+    us = epoch_us_sql(x)
+    return (f"CAST(timestamp_micros({us} - pmod({us} - {offset_us}, {period_us}) + {period_us}) "
+            f"AS TIMESTAMP_NTZ)")
+
+
+def literal_tick_sql(x: str) -> str:
+    return (f"(CAST(date_trunc('week', {x} + INTERVAL 3 DAYS - INTERVAL 7 HOURS) AS TIMESTAMP_NTZ) "
+            f"+ INTERVAL 3 DAYS 7 HOURS)")
+
+
+def crossed_tick_sql(prev_ts: str, ts: str, parity: bool = False) -> str:
+    if parity:
+        t = literal_tick_sql(prev_ts)
+        return f"({ts} >= {t} AND {prev_ts} < {t})"
+    return f"({ts} >= {next_tick_sql(prev_ts)})"

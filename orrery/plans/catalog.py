@@ -44,4 +44,6 @@ def load_all() -> None:
         q_nested,
         q_rules,
         q_misc,
+        q_ingest,
+        q_extra,
     )

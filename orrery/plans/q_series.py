@@ -90,9 +90,7 @@ _GREW = """CASE WHEN prog IS NULL THEN NULL ELSE coalesce(len(list_filter(map_ke
              lambda k: prev_prog[k] IS NOT NULL AND prog[k] > prev_prog[k])) > 0, false) END"""
 
 
-@register(
-    "clean_series",
-    oracle=f"""
+_CLEAN_SQL = f"""
     WITH src AS ({_SERIES_SQL}),
     pre AS (SELECT * FROM src
             WHERE coalesce(state, 'Unoccupied') NOT IN ('Fortified', 'Exploited', 'Stronghold')
@@ -118,7 +116,12 @@ _GREW = """CASE WHEN prog IS NULL THEN NULL ELSE coalesce(len(list_filter(map_ke
     WHERE state = 'Unoccupied' OR prev_ts IS NULL OR coalesce(dr <> 0 OR du <> 0, true)
        OR coalesce(ts >= {_TICK}, false)
        OR coalesce(epoch_us(ts) - epoch_us(prev_ts) > 3600000000, false)
-    """,
+    """
+
+
+@register(
+    "clean_series",
+    oracle=_CLEAN_SQL,
     headline=True,
 )
 def clean_series(spark, sf):

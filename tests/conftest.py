@@ -21,3 +21,10 @@ def spark():
 @pytest.fixture
 def tmpdir_path():
     return tempfile.mkdtemp(prefix="orrery-test-")
+
+
+@pytest.fixture
+def feed(spark, tmpdir_path):
+    from tests.feed import build_feed
+
+    return build_feed(spark, tmpdir_path)

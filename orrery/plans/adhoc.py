@@ -17,7 +17,7 @@ from orrery.operators.latest import latest_row
 from orrery.operators.nested import inline_rows, sort_by_first_field
 from orrery.operators.rules import classify_action, control_score, group_by_category, rule_join, rules_df
 from orrery.operators.spatial import array_distance
-from orrery.operators.timeseries import lookback_rate, state_sessions
+from orrery.operators.timeseries import lookback_rates, state_sessions
 
 # Settlement economy -> map category.
 ECONOMY_CATEGORY = {
@@ -167,8 +167,8 @@ def cycle_view(enclave: DataFrame, as_of: Column, offset: int = 0) -> tuple[Data
     ).orderBy(F.when(F.col("Power") == "Uncontrolled", 1).otherwise(0), "Power", "StarSystem")
     hist = cyc.select("StarSystem", "timestamp", "reinforcement", "undermining",
                       F.monotonically_increasing_id().alias("__tb"))
-    hist = lookback_rate(hist, ["StarSystem"], "timestamp", "reinforcement", "__tb", name="ReinforcementRate")
-    hist = lookback_rate(hist, ["StarSystem"], "timestamp", "undermining", "__tb", name="UnderminingRate")
+    hist = lookback_rates(hist, ["StarSystem"], "timestamp",
+                          {"ReinforcementRate": "reinforcement", "UnderminingRate": "undermining"}, "__tb")
     return snap, hist.drop("__tb")
 
 

@@ -17,7 +17,7 @@ from orrery.operators.timeseries import (
     bucket_first_delta,
     clean_counter_series,
     fix_control_progress,
-    lookback_rate,
+    lookback_rates,
     state_sessions,
     with_deltas,
 )
@@ -207,8 +207,7 @@ def lag_deltas(spark, sf):
 )
 def rolling_8h_rate(spark, sf):
     log = series_log(spark, sf).select("user_id", "ts", "event_id", "r", "u")
-    out = lookback_rate(log, ["user_id"], "ts", "r", tiebreak="event_id", name="r_rate")
-    return lookback_rate(out, ["user_id"], "ts", "u", tiebreak="event_id", name="u_rate")
+    return lookback_rates(log, ["user_id"], "ts", {"r_rate": "r", "u_rate": "u"}, tiebreak="event_id")
 
 
 @register(

@@ -38,10 +38,10 @@ def retain(df: DataFrame, type_col: str, ts_col: str, policy: Mapping[str, int],
 def retention_report(df: DataFrame, type_col: str, ts_col: str, policy: Mapping[str, int], as_of: Column,
                      default_days: int | None = None) -> DataFrame:
     """Dry run: kept and dropped row counts per type."""
-    k = keep_condition(type_col, ts_col, policy, as_of, default_days)
-    return df.groupBy(type_col).agg(
-        F.count(F.when(k, 1)).alias("kept"),
-        F.count(F.when(~k, 1)).alias("dropped"),
+    flagged = df.select(type_col, keep_condition(type_col, ts_col, policy, as_of, default_days).alias("__keep"))
+    return flagged.groupBy(type_col).agg(
+        F.count(F.when(F.col("__keep"), 1)).alias("kept"),
+        F.count(F.when(~F.col("__keep"), 1)).alias("dropped"),
     )
 
 

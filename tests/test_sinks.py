@@ -51,3 +51,27 @@ def test_landing_gap(spark):
     assert (r.latest_day, r.lookback_days) == (dt.date(2025, 1, 5), 4)
     none = landing_gap(files.filter("f = 'x.txt'"), "f", today).first()
     assert none.lookback_days == 1
+
+
+def test_append_compact_and_land(spark, tmpdir_path):
+    df = spark.createDataFrame([(1, dt.datetime(2025, 1, 1, 5)), (2, dt.datetime(2025, 1, 2, 6))],
+                               "k int, timestamp timestamp_ntz")
+    tbl = os.path.join(tmpdir_path, "log")
+    publish.append(df, tbl)
+    publish.append(df, tbl)
+    back = spark.read.parquet(tbl)
+    assert back.count() == 4
+    assert {d for d in os.listdir(tbl) if d.startswith("event_date=")} == {"event_date=2025-01-01",
+                                                                          "event_date=2025-01-02"}
+    assert back.filter("event_date = '2025-01-02'").count() == 2       # partition pruning column
+    out = os.path.join(tmpdir_path, "compact")
+    publish.compact(spark, tbl, out, target_files=1, sort_by=["k"])
+    assert len([f for f in os.listdir(out) if f.endswith(".parquet")]) == 1
+    raw = os.path.join(tmpdir_path, "raw")
+    os.makedirs(raw)
+    with open(os.path.join(raw, "Docked-2025-01-03.jsonl"), "w") as f:
+        f.write('{"a": 1}\n{"a": 2}\n')
+    landed = os.path.join(tmpdir_path, "landed")
+    publish.land_raw(spark, raw, landed)
+    rows = spark.read.parquet(landed).collect()
+    assert len(rows) == 2 and str(rows[0].event_date) == "2025-01-03"

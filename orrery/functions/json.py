@@ -20,6 +20,20 @@ def parse(text: str | Column) -> Column:
     return F.try_parse_json(_c(text))
 
 
+def parse_once(text: str | Column) -> Column:
+    """``parse`` for a document column that many filters and fields read.
+
+    Predicate pushdown rewrites a filter on fields of the document in terms
+    of the projection below it, which copies the parse into the filter once
+    per field reference (dozens of parses per line).  A trivially true
+    nondeterministic guard (``spark_partition_id() >= 0``, which no optimizer
+    rule folds, unlike ``rand() >= 0``) makes the defining projection a
+    pushdown fence, so every line is parsed exactly once.  It is allowed in
+    Structured Streaming too.
+    """
+    return F.when(F.spark_partition_id() >= 0, F.try_parse_json(_c(text)))
+
+
 def field(doc: str | Column, path: str, type_: str = "string") -> Column:
     """``doc->>'path'`` with a cast: ``path`` like ``$.a.b`` or ``$.arr[0]``.
 

@@ -44,7 +44,7 @@ def envelopes(spark, sf):
 
 def gated(spark, sf):
     env = envelopes(spark, sf)
-    return ndjson.gate(env.select("event_id", "event_type", F.try_parse_json("line").alias("doc")))
+    return ndjson.gate(env.select("event_id", "event_type", J.parse_once("line").alias("doc")))
 
 
 _GATE_SQL = """

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery import schemas as S
+from orrery.functions import json as J
 from orrery.functions import normalize as N
 from orrery.functions.validate import validate_enum
 
@@ -55,7 +56,7 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], glob: str | None
         F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__mid"),
-        F.try_parse_json("value").alias("doc"),
+        J.parse_once("value").alias("doc"),
     )
 
 
@@ -113,7 +114,9 @@ def gate_reason(max_late: str = "1 hour") -> Column:
 
 
 def gate(lines: DataFrame, max_late: str = "1 hour") -> DataFrame:
-    """Adds ``reject_reason`` (NULL = accepted)."""
+    """Adds ``reject_reason`` (NULL = accepted).  ``doc`` should come from
+    ``functions.json.parse_once`` so that filters on the outcome or on
+    message fields do not re-parse the line."""
     return lines.withColumn("reject_reason", gate_reason(max_late))
 
 

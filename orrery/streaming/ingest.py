@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from orrery.functions import json as J
 from orrery.session import scratch_path
 from orrery.sources import ndjson
 
@@ -36,7 +37,7 @@ def read_feed(spark: SparkSession, folder: str, glob: str | None = None, max_fil
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     raw = reader.load(folder)
-    lines = raw.select(F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("doc"))
+    lines = raw.select(F.col("_metadata.file_name").alias("file"), J.parse_once("value").alias("doc"))
     return ndjson.gate(lines)
 
 

@@ -86,7 +86,7 @@ def markets_with_item(spark, sf):
     mk = market_docs(table(spark, sf, "lineitem"))
     hit = exists_in("commodities", lambda c: (c["flag"] == "R") & (c["stock"] > 40))
     return mk.filter(hit & F.col("l_orderkey").cast("string").rlike("^[1-4][0-9]*7$")).select(
-        F.col("l_orderkey").alias("market_id"), "market_ts", F.size("commodities").alias("n_items"))
+        F.col("l_orderkey").alias("market_id"), "market_ts", F.size("commodities").cast("bigint").alias("n_items"))
 
 
 @register(
@@ -107,7 +107,7 @@ def hourly_delta_global(spark, sf):
         F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
     w = Window.orderBy("hour")
     return h.select("hour", "n", "total", (F.col("n") - F.lag("n").over(w)).alias("d_n"),
-                    F.row_number().over(w).alias("hour_no"))
+                    F.row_number().over(w).cast("bigint").alias("hour_no"))
 
 
 @register(
@@ -153,7 +153,7 @@ def cycle_history(spark, sf):
     cyc = ev.filter((F.col("ts") >= c0) & (F.col("ts") < c0 + F.expr("INTERVAL 7 DAYS")))
     w = Window.partitionBy("user_id")
     last = F.max_by(F.struct("event_type", "ts"), F.struct("ts", "event_id")).over(w)
-    step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint")
     return cyc.select("user_id", "ts", "event_type", "value",
                       last["event_type"].alias("last_type"), last["ts"].alias("last_ts"), step.alias("step"))
 

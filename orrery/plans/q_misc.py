@@ -279,7 +279,7 @@ def conflict_ranking(spark, sf):
     pts = F.floor(F.col("progress") * ACQUISITION_THRESHOLD)
     return p.select(
         "user_id", "power", F.round("progress", 9).alias("progress"),
-        F.row_number().over(w).alias("rank"),
+        F.row_number().over(w).cast("bigint").alias("rank"),
         pts.cast("bigint").alias("points"),
         (pts >= CONFLICT_THRESHOLD).alias("over_conflict"),
         (pts >= ACQUISITION_THRESHOLD).alias("over_acquisition"),
@@ -429,7 +429,7 @@ def factions_flat(spark, sf):
     return f.select(
         F.col("o_custkey").alias("system"), "ts",
         F.col("fa.name").alias("faction"),
-        F.size("fa.active_states").alias("n_states"),
+        F.size("fa.active_states").cast("bigint").alias("n_states"),
         F.array_join("fa.active_states", ",").alias("states"),
         F.array_contains("fa.active_states", "F").alias("finished"),
     )

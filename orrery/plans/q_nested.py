@@ -134,7 +134,7 @@ def dimension_profile(spark, sf):
     """Q-AE/E5: flatten the nested vector column with 1-based positions."""
     e = table(spark, sf, "embeddings")
     flat = explode_with_position(e, "embedding", "x", pos="dim", keep=["vec_id"])
-    return flat.groupBy("dim").agg(
+    return flat.groupBy(F.col("dim").cast("bigint").alias("dim")).agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg(F.col("x").cast("double")), 6).alias("mean_x"),
         F.min("x").cast("double").alias("min_x"),

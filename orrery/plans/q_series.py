@@ -219,8 +219,8 @@ def rolling_8h_rate(spark, sf):
              lead(event_type = 'error', 1, true) OVER w AS still_in
       FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     runs AS (
-      SELECT *, sum(CASE WHEN is_in AND NOT was_in THEN 1 ELSE 0 END)
-                  OVER (PARTITION BY user_id ORDER BY ts) AS session_id
+      SELECT *, CAST(sum(CASE WHEN is_in AND NOT was_in THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS session_id
       FROM flagged WHERE is_in OR was_in)
     SELECT user_id, session_id,
            min(ts) AS start_ts,

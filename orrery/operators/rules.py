@@ -197,9 +197,17 @@ RULE_SCHEMA = T.StructType(
 ACTION_FLAG = {"Acquire": "acquisition", "Reinforce": "reinforcement", "Undermine": "undermining"}
 
 
+_RULES_DF: dict[tuple, DataFrame] = {}
+
+
 def rules_df(spark: SparkSession) -> DataFrame:
-    rows = [(i, *r) for i, r in enumerate(RULES, 1)]
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+    """The catalogue as a DataFrame (built once per session)."""
+    key = (id(spark), spark.sparkContext.applicationId)
+    df = _RULES_DF.get(key)
+    if df is None:
+        rows = [(i, *r) for i, r in enumerate(RULES, 1)]
+        df = _RULES_DF[key] = spark.createDataFrame(rows, RULE_SCHEMA)
+    return df
 
 
 def rules_by_action(rules: DataFrame) -> DataFrame:

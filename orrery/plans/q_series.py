@@ -21,7 +21,8 @@ from orrery.operators.timeseries import (
     state_sessions,
     with_deltas,
 )
-from orrery.plans.catalog import register
+from orrery.operators.chunked import day_chunk
+from orrery.plans.catalog import ORACLES, register
 from orrery.sources.tables import table
 
 
@@ -270,3 +271,40 @@ def hourly_buckets(spark, sf):
 def hourly_first_delta(spark, sf):
     ev = table(spark, sf, "events")
     return bucket_first_delta(ev, ["event_type"], "ts", "value", tiebreak="event_id")
+
+
+def catalog_oracle(name: str) -> str:
+    return ORACLES[name]
+
+
+# Skew-safe variants: the same results with windows partitioned by (user,
+# day) and carried boundaries, so no single entity is confined to one task.
+
+@register("clean_series_chunked", oracle=_CLEAN_SQL)
+def clean_series_chunked(spark, sf):
+    log = series_log(spark, sf)
+    out = clean_counter_series(
+        log, key="user_id", ts="ts", state="state", r="r", u="u",
+        progress="progress", control="control", chunk=day_chunk("ts"),
+    )
+    return out.select(
+        "user_id", "ts", "state",
+        F.col("r").alias("reinforcement"),
+        F.col("u").alias("undermining"),
+        fix_control_progress("control", "state").alias("control_progress"),
+    )
+
+
+@register("rolling_8h_rate_chunked", oracle=catalog_oracle("rolling_8h_rate"))
+def rolling_8h_rate_chunked(spark, sf):
+    log = series_log(spark, sf).select("user_id", "ts", "event_id", "r", "u")
+    return lookback_rates(log, ["user_id"], "ts", {"r_rate": "r", "u_rate": "u"}, tiebreak="event_id",
+                          chunk_of=lambda c: F.date_trunc("day", c))
+
+
+@register("state_sessions_chunked", oracle=catalog_oracle("state_sessions"))
+def state_sessions_chunked(spark, sf):
+    ev = table(spark, sf, "events")
+    out = state_sessions(ev, ["user_id"], "ts", F.col("event_type") == "error", "value", "event_type",
+                         chunk=day_chunk("ts"))
+    return out.withColumn("avg_measure", F.round("avg_measure", 6))

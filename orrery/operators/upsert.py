@@ -58,6 +58,18 @@ def watermark_cutoff(target: DataFrame, ts: str, lateness: str = "1 hour") -> Co
     return mx.scalar()
 
 
+def cutoff_report(sources: dict[str, DataFrame], ts: str, cutoff: Column) -> DataFrame:
+    """Q6 'ours': rows each source loses to the overlap cutoff (``ts <= cutoff``),
+    which the reference drops silently.  One aggregation per source."""
+    out = None
+    for name, src in sources.items():
+        flagged = src.select((F.col(ts) <= cutoff).alias("__late"))
+        r = flagged.agg(F.count(F.when(F.col("__late"), 1)).alias("dropped"),
+                        F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("source"), "dropped", "rows")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 def merge_latest(
     target: DataFrame,
     stages: Sequence[Stage],

@@ -73,7 +73,7 @@ def station_latest(target: DataFrame | None, docked: DataFrame, approach: DataFr
 
     ``parity=True``: a newer docking overwrites pads even with NULL (Q5), an
     approach resets type/distance and a location resets allegiance (Q4).
-    Default keeps known values.
+    Default keeps the latest known value of every column.
     """
     d, a, loc = station_sources(docked, approach, location)
     if target is None:
@@ -84,9 +84,14 @@ def station_latest(target: DataFrame | None, docked: DataFrame, approach: DataFr
                   Stage(a, keep_old=["LandingPads"]),
                   Stage(loc, keep_old=["LandingPads"])]
     else:
-        stages = [Stage(d, prefer_new=["LandingPads"], fill_if_null=["LandingPads"]),
-                  Stage(a, keep_old=["LandingPads", "StationType", "DistFromStarLS"]),
-                  Stage(loc, keep_old=["LandingPads", "StationAllegiance"])]
+        # Latest known value: a newer row's non-NULL values win, NULLs keep
+        # the old value; the approach feed's placeholder type and distance
+        # never replace known ones.
+        placeholders = ["StationType", "DistFromStarLS"]
+        stages = [Stage(d, prefer_new=cols, fill_if_null=["LandingPads"]),
+                  Stage(a, keep_old=[*placeholders, "LandingPads"],
+                        prefer_new=[c for c in cols if c not in placeholders]),
+                  Stage(loc, prefer_new=cols)]
     out = merge_latest(target, stages, STATION_KEYS, "timestamp", cols, cutoff=watermark_cutoff(target, "timestamp"))
     return out.select(*STATION_COLS)
 

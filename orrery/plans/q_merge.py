@@ -69,10 +69,11 @@ def station_latest(target, ev, parity: bool):
             Stage(location, keep_old=["pads"]),
         ]
     else:
+        # Latest known value; the approach placeholders never replace data.
         stages = [
-            Stage(docked, prefer_new=["pads"], fill_if_null=["pads"]),
-            Stage(approach, keep_old=["pads", "station_type", "dist"]),
-            Stage(location, keep_old=["pads", "allegiance"]),
+            Stage(docked, prefer_new=COLS, fill_if_null=["pads"]),
+            Stage(approach, keep_old=["pads", "station_type", "dist"], prefer_new=["market_id", "allegiance"]),
+            Stage(location, prefer_new=COLS),
         ]
     return merge_latest(target, stages, KEYS, "ts", COLS, cutoff=watermark_cutoff(target, "ts"))
 
@@ -129,9 +130,9 @@ def _merge_sql(parity):
     if parity:
         opts = [dict(fill=["pads"]), dict(keep_old=["pads"]), dict(keep_old=["pads"])]
     else:
-        opts = [dict(prefer_new=["pads"], fill=["pads"]),
-                dict(keep_old=["pads", "station_type", "dist"]),
-                dict(keep_old=["pads", "allegiance"])]
+        opts = [dict(prefer_new=COLS, fill=["pads"]),
+                dict(keep_old=["pads", "station_type", "dist"], prefer_new=["market_id", "allegiance"]),
+                dict(prefer_new=COLS)]
     ctes = []
     target = "empty"
     ctes.append("empty AS (SELECT NULL::BIGINT AS user_id, NULL::VARCHAR AS station, NULL::TIMESTAMP AS ts, "

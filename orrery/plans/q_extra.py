@@ -17,53 +17,49 @@ from orrery.sources.tables import table
 
 
 def body_docs(spark, sf):
-    """Per customer ("system") a list of orders ("bodies"), each with two
-    lists of its lines: returned ("rings") and accepted ("belts")."""
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    od = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    """Per order ("system") a list of bodies — its lines grouped by return
+    flag — each with two lists of lines: open ("rings") and filled ("belts").
+    Every list is bounded by the size of one order, so no group grows with
+    the data (a customer-level list would)."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
     ring = F.struct(F.concat_ws(" ", F.concat(F.lit("O"), F.col("l_orderkey").cast("string")),
                                 F.col("l_linenumber").cast("string")).alias("name"),
-                    F.col("l_returnflag").alias("type"))
-    per_order = li.groupBy("l_orderkey").agg(
-        F.collect_list(F.when(F.col("l_returnflag") == "R", ring)).alias("rings"),
-        F.collect_list(F.when(F.col("l_returnflag") == "A", ring)).alias("belts"),
+                    F.col("l_linestatus").alias("type"))
+    per_body = li.groupBy("l_orderkey", "l_returnflag").agg(
+        F.collect_list(F.when(F.col("l_linestatus") == "O", ring)).alias("rings"),
+        F.collect_list(F.when(F.col("l_linestatus") == "F", ring)).alias("belts"),
     )
-    bodies = od.join(per_order, F.col("o_orderkey") == F.col("l_orderkey")).select(
-        "o_custkey",
-        F.struct(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("name"),
-                 F.col("belts"), F.col("rings")).alias("body"),
-    )
-    return bodies.groupBy("o_custkey").agg(F.collect_list("body").alias("bodies"))
+    body = F.struct(F.concat(F.lit("O"), F.col("l_orderkey").cast("string"), F.lit("-"),
+                             F.col("l_returnflag")).alias("name"), "belts", "rings")
+    return per_body.groupBy("l_orderkey").agg(F.collect_list(body).alias("bodies"))
 
 
 @register(
     "ring_hotspots",
     oracle="""
     WITH lines AS (
-      SELECT o.o_custkey, 'O' || l.l_orderkey AS body, 'O' || l.l_orderkey || ' ' || l.l_linenumber AS ring,
-             l.l_returnflag AS type, l.l_quantity
-      FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey),
-    rings AS (SELECT o_custkey, body, ring, type FROM lines WHERE type IN ('R', 'A')),
-    hot AS (SELECT o_custkey, ring, l_quantity AS signals FROM lines WHERE l_quantity > 45)
-    SELECT r.o_custkey, r.body AS name, r.ring AS name_1, r.type, h.signals
-    FROM rings r JOIN hot h ON h.o_custkey = r.o_custkey AND h.ring = r.ring
+      SELECT l_orderkey, 'O' || l_orderkey || '-' || l_returnflag AS body,
+             'O' || l_orderkey || ' ' || l_linenumber AS ring, l_linestatus AS type, l_quantity
+      FROM lineitem),
+    rings AS (SELECT l_orderkey, body, ring, type FROM lines WHERE type IN ('O', 'F')),
+    hot AS (SELECT l_orderkey, ring, l_quantity AS signals FROM lines WHERE l_quantity > 45)
+    SELECT r.l_orderkey, r.body AS name, r.ring AS name_1, r.type, h.signals
+    FROM rings r JOIN hot h ON h.l_orderkey = r.l_orderkey AND h.ring = r.ring
     """,
 )
 def ring_hotspots(spark, sf):
     """Q-O: two-level explode (bodies -> belts + rings, E4/U3), duplicate
     field renamed ``name_1``, joined to hotspots on the compound natural key
     (system, ring name) (J10)."""
-    rings = explode_two_level(body_docs(spark, sf), "bodies", ["belts", "rings"], keep=["o_custkey"])
-    li = table(spark, sf, "lineitem").filter(F.col("l_quantity") > 45)
-    od = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    hot = li.join(od, F.col("o_orderkey") == F.col("l_orderkey")).select(
-        F.col("o_custkey").alias("h_cust"),
+    rings = explode_two_level(body_docs(spark, sf), "bodies", ["belts", "rings"], keep=["l_orderkey"])
+    hot = table(spark, sf, "lineitem").filter(F.col("l_quantity") > 45).select(
+        F.col("l_orderkey").alias("h_order"),
         F.concat_ws(" ", F.concat(F.lit("O"), F.col("l_orderkey").cast("string")),
                     F.col("l_linenumber").cast("string")).alias("h_ring"),
         F.col("l_quantity").alias("signals"),
     )
-    j = rings.join(hot, (F.col("o_custkey") == F.col("h_cust")) & (F.col("name_1") == F.col("h_ring")))
-    return j.select("o_custkey", "name", "name_1", "type", "signals")
+    j = rings.join(hot, (F.col("l_orderkey") == F.col("h_order")) & (F.col("name_1") == F.col("h_ring")))
+    return j.select("l_orderkey", "name", "name_1", "type", "signals")
 
 
 @register(

@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from orrery.operators.nested import (
     explode_two_level,
     explode_with_position,

@@ -3,8 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
-
 from orrery.operators.upsert import cutoff_report, watermark_cutoff
 from orrery.plans import marts
 from orrery.sources import ndjson

@@ -3,7 +3,7 @@
 
 ``events`` rows are rendered as raw NDJSON envelopes by Spark (client
 version from the event type, receive time ``floor(value)`` minutes after the
-event, unparsable times and truncated lines where ``props.k`` is 0-2 or 99),
+event, unparsable times where ``props.k`` is 0-2, corrupted lines where it is 99),
 then run through the real gate: ``try_parse_json`` -> version, time and
 lateness checks.
 """
@@ -38,7 +38,7 @@ def envelopes(spark, sf):
         F.struct(msg_ts.alias("timestamp"), et.alias("event"), F.col("user_id").alias("UserId"),
                  F.col("event_id").alias("EventId"), F.col("value").alias("Value")).alias("message"),
     ))
-    line = F.when(k == 99, F.substring(doc, 1, 20)).otherwise(doc)
+    line = F.when(k == 99, F.concat(F.lit("{"), doc)).otherwise(doc)   # corrupted: not valid JSON
     return ev.select("event_id", "event_type", line.alias("line"))
 
 
@@ -103,8 +103,8 @@ def raw_inspection(spark, sf):
     )
 
 
-def _cap(c):
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1000)))
+def _cap(name: str):
+    return F.expr(f"upper(substr({name}, 1, 1)) || lower(substr({name}, 2))")
 
 
 @register(
@@ -112,9 +112,9 @@ def _cap(c):
     oracle="""
     WITH raw AS (
       SELECT c_custkey,
-             '$economy_' || upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2, 1000)) || ';' AS eco,
+             '$economy_' || upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || ';' AS eco,
              CASE WHEN c_acctbal < 100 THEN '$economy_UNKNOWN_' || c_custkey ELSE NULL END AS eco2,
-             '$government_' || upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2, 1000)) || ';'
+             '$government_' || upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || ';'
                AS gov,
              CASE WHEN c_acctbal < 0 THEN '' ELSE '$faction_' || c_mktsegment || ';' END AS alg,
              CASE WHEN c_acctbal < 0 THEN '$GAlAXY_MAP_INFO_state_anarchy;'
@@ -165,9 +165,9 @@ def normalise_codes(spark, sf):
     with V1 under the ``null`` policy and a quarantine reason."""
     c = table(spark, sf, "customer")
     seg, bal = F.col("c_mktsegment"), F.col("c_acctbal")
-    eco = F.concat(F.lit("$economy_"), _cap(seg), F.lit(";"))
+    eco = F.concat(F.lit("$economy_"), _cap("c_mktsegment"), F.lit(";"))
     eco2 = F.when(bal < 100, F.concat(F.lit("$economy_UNKNOWN_"), F.col("c_custkey").cast("string")))
-    gov = F.concat(F.lit("$government_"), _cap(seg), F.lit(";"))
+    gov = F.concat(F.lit("$government_"), _cap("c_mktsegment"), F.lit(";"))
     alg = F.when(bal < 0, F.lit("")).otherwise(F.concat(F.lit("$faction_"), seg, F.lit(";")))
     sec = (F.when(bal < 0, "$GAlAXY_MAP_INFO_state_anarchy;").when(bal < 2000, "$SYSTEM_SECURITY_low;")
            .when(bal < 5000, "$SYSTEM_SECURITY_medium;").when(bal < 8000, "$SYSTEM_SECURITY_high;")

@@ -77,6 +77,7 @@ def merge_latest(
     ts: str,
     cols: Sequence[str],
     cutoff: Column | None = None,
+    incremental: bool = False,
 ) -> DataFrame:
     """Apply ``stages`` in order to ``target`` (unique on ``keys``).
 
@@ -84,7 +85,22 @@ def merge_latest(
     every column (DuckDB ``arg_max``, which skips NULLs) and ``max(ts)``,
     after the optional ``cutoff`` filter ``ts > cutoff`` (T3).
     Output: ``keys``, ``ts``, ``cols`` — the next snapshot.
+
+    ``incremental=True``: only target rows whose key occurs in a source go
+    through the keyed aggregation; the rest pass through a ``left_anti`` join
+    (broadcast by AQE when the touched keys are measured small), so a daily
+    batch does not shuffle the whole snapshot.  Same result.
     """
+    if incremental:
+        srcs = [st.source if cutoff is None else st.source.filter(F.col(ts) > cutoff) for st in stages]
+        touched = reduce(lambda a, b: a.unionByName(b), [x.select(*keys) for x in srcs]).distinct()
+        changed = merge_latest(
+            target.join(touched, list(keys), "left_semi"),
+            [Stage(x, st.keep_old, st.prefer_new, st.fill_if_null) for x, st in zip(srcs, stages)],
+            keys, ts, cols, cutoff=None,
+        )
+        rest = target.join(touched, list(keys), "left_anti").select(*keys, ts, *cols)
+        return rest.unionByName(changed)
     vcols = [ts, *cols]
     parts = [target.select(*keys, F.lit(0).alias("__stage"), *vcols)]
     for i, st in enumerate(stages, 1):

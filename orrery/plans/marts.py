@@ -67,7 +67,7 @@ def station_sources(docked: DataFrame, approach: DataFrame, location: DataFrame)
 
 
 def station_latest(target: DataFrame | None, docked: DataFrame, approach: DataFrame, location: DataFrame,
-                   parity: bool = False) -> DataFrame:
+                   parity: bool = False, incremental: bool = True) -> DataFrame:
     """Q-B: merge docked, settlement approaches and docked locations into the
     station snapshot, rows newer than ``max(target.timestamp) - 1 hour`` only.
 
@@ -92,7 +92,8 @@ def station_latest(target: DataFrame | None, docked: DataFrame, approach: DataFr
                   Stage(a, keep_old=[*placeholders, "LandingPads"],
                         prefer_new=[c for c in cols if c not in placeholders]),
                   Stage(loc, prefer_new=cols)]
-    out = merge_latest(target, stages, STATION_KEYS, "timestamp", cols, cutoff=watermark_cutoff(target, "timestamp"))
+    out = merge_latest(target, stages, STATION_KEYS, "timestamp", cols,
+                       cutoff=watermark_cutoff(target, "timestamp"), incremental=incremental)
     return out.select(*STATION_COLS)
 
 

@@ -55,3 +55,15 @@ def test_keyed_replace_last_batch_vs_newest(spark):
     newest = {r.k: r.a for r in keyed_replace(t, b, ["k"], ["ts"], newest_wins=True).collect()}
     assert last == {1: "b", 2: "n"}      # Q2: later batch wins although older
     assert newest == {1: "t", 2: "n"}
+
+
+def test_incremental_merge_equals_full(spark):
+    t = spark.createDataFrame([(k, T(2024, 1, 1), f"t{k}", k) for k in range(10)], SCHEMA)
+    s1 = spark.createDataFrame([(1, T(2024, 1, 2), "s1", None), (11, T(2024, 1, 2), "new", 3),
+                                (2, T(2023, 12, 1), "old", 9)], SCHEMA)
+    s2 = spark.createDataFrame([(1, T(2024, 1, 3), None, 4), (3, T(2024, 1, 5), "s2", None)], SCHEMA)
+    stages = [Stage(s1, fill_if_null=["pads"]), Stage(s2, keep_old=["a"])]
+    full = merge_latest(t, stages, ["k"], "ts", ["a", "pads"])
+    inc = merge_latest(t, stages, ["k"], "ts", ["a", "pads"], incremental=True)
+    assert sorted(full.collect()) == sorted(inc.collect())
+    assert inc.count() == 11

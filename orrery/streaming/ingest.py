@@ -98,3 +98,23 @@ def _latest_snapshot(spark: SparkSession, root: str, before: int) -> DataFrame |
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
     """The newest complete snapshot written by :func:`upsert_each_batch`."""
     return _latest_snapshot(spark, root.rstrip("/"), 1 << 62)
+
+
+def station_latest_stream(spark: SparkSession, feed_dir: str, snapshot_root: str,
+                          name: str = "station_latest", trigger_once: bool = True) -> StreamingQuery:
+    """T1-T4 end to end: newly landed Docked / ApproachSettlement / Location
+    files -> gate -> typed projections -> incremental three-stage merge into
+    the station snapshot, one new snapshot version per micro batch."""
+    from orrery.plans import marts  # local import: marts depends on operators only
+
+    stream = read_feed(spark, feed_dir)
+
+    def merge(prev: DataFrame | None, batch: DataFrame) -> DataFrame:
+        def of(kind: str) -> DataFrame:
+            return batch.filter(F.col("file").contains(kind))
+
+        return marts.station_latest(prev, ndjson.docked(of("Docked")),
+                                    ndjson.approach_settlement(of("ApproachSettlement")),
+                                    ndjson.location(of("Location")))
+
+    return upsert_each_batch(spark, stream, merge, snapshot_root, name, trigger_once)

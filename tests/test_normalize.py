@@ -58,3 +58,11 @@ def test_signal_counts_and_happiness(spark):
     assert [(s.Count, s.Type) for s in got] == [(3, "Biological"), (1, "Tritium")]
     assert _one(spark, N.happiness, ["$Faction_HappinessBand1;", "$Faction_HappinessBand5;", "x"]) == [
         "Elated", "Despondent", "Unknown"]
+
+
+def test_constraint_checks(spark):
+    from orrery.functions.validate import assert_not_null, duplicate_keys
+
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, None)], "k int, v string")
+    assert [r.k for r in duplicate_keys(df, ["k"]).collect()] == [1]
+    assert [r.k for r in assert_not_null(df, ["k", "v"]).collect()] == [2]

@@ -87,3 +87,19 @@ def test_watermarked_hourly_window_equals_batch(spark, tmpdir_path):
     # only windows closed by then are emitted in append mode.
     assert got and all(want[k] == v for k, v in got.items())
     assert len(want) - len(got) <= 2
+
+
+def test_station_stream_equals_batch(spark, tmpdir_path):
+    from orrery.plans import marts
+    from tests.feed import build_feed
+
+    feed_dir = os.path.join(tmpdir_path, "feed_all")
+    batch = build_feed(spark, feed_dir)
+    want = marts.station_latest(None, batch["docked"], batch["approach"], batch["location"])
+    snaps = os.path.join(tmpdir_path, "stations")
+    q = ingest.station_latest_stream(spark, feed_dir, snaps)
+    q.awaitTermination()
+    got = ingest.read_snapshot(spark, snaps)
+    cols = ["SystemAddress", "StationName", "timestamp", "StationType", "MarketId", "LandingPads"]
+    assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(
+        tuple(r) for r in want.select(*cols).collect())

@@ -273,3 +273,39 @@ def signals_per_listed(spark, sf):
         F.min("name").alias("first_faction"),
         F.max("name").alias("last_faction"),
     )
+
+
+@register(
+    "settlement_categories",
+    oracle="""
+    WITH s AS (
+      SELECT c_custkey, c_nationkey,
+             CASE c_mktsegment WHEN 'MACHINERY' THEN 'Industrial' WHEN 'AUTOMOBILE' THEN 'High Tech'
+                               WHEN 'HOUSEHOLD' THEN 'Tourism' WHEN 'FURNITURE' THEN 'Agri'
+                               ELSE 'Colony' END AS economy,
+             CAST(floor(c_acctbal / 2500) AS INTEGER) AS small_pads
+      FROM customer),
+    c AS (
+      SELECT *, coalesce(CASE lower(regexp_replace(trim(economy), '\\s+', '', 'g'))
+                  WHEN 'agri' THEN 'agricultural' WHEN 'extraction' THEN 'extraction'
+                  WHEN 'industrial' THEN 'industrial' WHEN 'military' THEN 'military'
+                  WHEN 'hightech' THEN 'hightech' WHEN 'tourism' THEN 'tourist' END, '') AS map_category
+      FROM s)
+    SELECT map_category, small_pads, count(*) AS n FROM c
+    WHERE map_category <> '' AND small_pads BETWEEN 1 AND 3
+    GROUP BY map_category, small_pads
+    """,
+)
+def settlement_categories(spark, sf):
+    """Q-Z/X22/F13: economy -> settlement-map category, then facet filters
+    (category given, exact pad counts) and counts per facet value."""
+    from orrery.plans.adhoc import map_category
+
+    c = table(spark, sf, "customer")
+    seg = F.col("c_mktsegment")
+    economy = (F.when(seg == "MACHINERY", "Industrial").when(seg == "AUTOMOBILE", "High Tech")
+               .when(seg == "HOUSEHOLD", "Tourism").when(seg == "FURNITURE", "Agri").otherwise("Colony"))
+    s = c.select(map_category(economy).alias("map_category"),
+                 F.floor(F.col("c_acctbal") / 2500).cast("int").alias("small_pads"))
+    f = s.filter((F.col("map_category") != "") & F.col("small_pads").between(1, 3))
+    return f.groupBy("map_category", "small_pads").agg(F.count(F.lit(1)).alias("n"))

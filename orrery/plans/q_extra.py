@@ -7,6 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orrery.functions.timefns import cycle_start
+from orrery.operators.chunked import chunked_running_sum, day_chunk, with_chunk
+from orrery.operators.latest import latest_row
 from orrery.operators.nested import exists_in, explode_two_level, inline_rows
 from orrery.operators.timeseries import clean_counter_series
 from orrery.plans.catalog import register
@@ -147,15 +149,20 @@ def prepared_search(spark, sf, prefix="Customer#0000001", min_balance=0):
 def cycle_history(spark, sf):
     """J13 re-aimed: the history rows of the current cycle, each carrying its
     entity's newest-row snapshot, plus the step number.  A flat join instead
-    of one collected list per entity, so no group is ever materialised."""
+    of one collected list per entity, so no group is ever materialised, and
+    no window confines an entity to one task."""
     ev = table(spark, sf, "events")
     c0 = ev.agg(cycle_start(F.max("ts"))).scalar()
-    cyc = ev.filter((F.col("ts") >= c0) & (F.col("ts") < c0 + F.expr("INTERVAL 7 DAYS")))
-    w = Window.partitionBy("user_id")
-    last = F.max_by(F.struct("event_type", "ts"), F.struct("ts", "event_id")).over(w)
-    step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint")
-    return cyc.select("user_id", "ts", "event_type", "value",
-                      last["event_type"].alias("last_type"), last["ts"].alias("last_ts"), step.alias("step"))
+    cyc = ev.filter((F.col("ts") >= c0) & (F.col("ts") < c0 + F.expr("INTERVAL 7 DAYS"))).select(
+        "user_id", "ts", "event_id", "event_type", "value")
+    # Snapshot: a keyed aggregation (partial-aggregated, one row per entity).
+    snap = latest_row(cyc, ["user_id"], ["ts", "event_id"], ["event_type", "ts"]).select(
+        "user_id", F.col("event_type").alias("last_type"), F.col("ts").alias("last_ts"))
+    # Step number: a running count per (entity, day) plus earlier days' counts.
+    steps = chunked_running_sum(with_chunk(cyc, day_chunk("ts")), ["user_id"], ["ts", "event_id"],
+                                F.lit(1).cast("bigint"), "step")
+    return steps.join(snap, "user_id").select("user_id", "ts", "event_type", "value", "last_type", "last_ts",
+                                               "step")
 
 
 @register(

@@ -7,7 +7,6 @@ the (type, value) pair is a one-entry conflict-progress map.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orrery.functions import json as J
@@ -173,12 +172,13 @@ def clean_series_parity(spark, sf):
     """,
 )
 def lag_deltas(spark, sf):
+    """W1/W2 per user, skew-safe: windows per (user, day) with carried
+    boundary rows, so a user holding most events still spreads over tasks."""
     ev = table(spark, sf, "events").select("user_id", "event_id", "ts", "value")
-    out = with_deltas(ev, ["user_id"], ["ts", "event_id"], ["value"])
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    out = with_deltas(ev, ["user_id"], ["ts", "event_id"], ["value"], chunk=day_chunk("ts"), lag_cols=["ts"])
     return out.select(
         "user_id", "event_id", "ts", "d_value",
-        seconds_between(F.lag("ts").over(w), F.col("ts")).alias("gap_s"),
+        seconds_between(F.col("prev_ts"), F.col("ts")).alias("gap_s"),
     )
 
 

@@ -10,7 +10,7 @@ from orrery.functions.timefns import cycle_start
 from orrery.operators.chunked import chunked_running_sum, day_chunk, with_chunk
 from orrery.operators.latest import latest_row
 from orrery.operators.nested import exists_in, explode_two_level, inline_rows
-from orrery.operators.timeseries import clean_counter_series
+from orrery.operators.timeseries import clean_counter_series, with_deltas
 from orrery.plans.catalog import register
 from orrery.plans.q_nested import market_docs, system_docs
 from orrery.plans.q_series import _CLEAN_SQL, series_log
@@ -183,20 +183,22 @@ def cycle_history(spark, sf):
 )
 def clean_series_diagnostics(spark, sf):
     """Q-AD: the cleaned series with per-step deltas, a display label
-    and the net change over each weekly cycle (chained columns, P8)."""
+    and the net change over each weekly cycle (chained columns, P8).
+
+    Skew-safe throughout: the cleaning and the deltas run on (user, day)
+    chunks with carried boundaries, and the net change per (user, cycle) is
+    a keyed aggregation (newest minus oldest value) joined back."""
     log = series_log(spark, sf)
-    c = clean_counter_series(log, "user_id", "ts", "state", "r", "u", progress="progress", control="control")
-    w = Window.partitionBy("user_id").orderBy("ts")
-    cyc = cycle_start("ts").alias("cycle")
+    c = clean_counter_series(log, "user_id", "ts", "state", "r", "u", progress="progress", control="control",
+                             chunk=day_chunk("ts"))
     d = c.select("user_id", "ts", F.date_format("ts", "dd HH:mm").alias("label"), "state",
-                 F.col("r").alias("reinforcement"), F.col("u").alias("undermining"), cyc)
-    d = d.select("*", (F.col("reinforcement") - F.lag("reinforcement").over(w)).alias("d_reinforcement"),
-                 (F.col("undermining") - F.lag("undermining").over(w)).alias("d_undermining"))
-    cw = Window.partitionBy("user_id", "cycle").orderBy("ts").rowsBetween(Window.unboundedPreceding,
-                                                                          Window.unboundedFollowing)
-    return d.select("user_id", "ts", "label", "state", "reinforcement", "undermining", "d_reinforcement",
-                    "d_undermining", "cycle",
-                    (F.last("reinforcement").over(cw) - F.first("reinforcement").over(cw)).alias("net_reinforcement"))
+                 F.col("r").alias("reinforcement"), F.col("u").alias("undermining"), cycle_start("ts").alias("cycle"))
+    d = with_deltas(d, ["user_id"], ["ts"], ["reinforcement", "undermining"], chunk=day_chunk("ts"))
+    net = d.groupBy("user_id", "cycle").agg(
+        (F.max_by("reinforcement", "ts") - F.min_by("reinforcement", "ts")).alias("net_reinforcement"))
+    return d.join(net, ["user_id", "cycle"]).select(
+        "user_id", "ts", "label", "state", "reinforcement", "undermining", "d_reinforcement", "d_undermining",
+        "cycle", "net_reinforcement")
 
 
 @register(

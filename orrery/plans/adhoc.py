@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.timefns import HOUR_US, cycle_start
+from orrery.operators.chunked import day_chunk
 from orrery.operators.latest import latest_row
 from orrery.operators.nested import inline_rows, sort_by_first_field
 from orrery.operators.rules import classify_action, control_score, group_by_category, rule_join, rules_df
@@ -135,7 +136,7 @@ def faction_state_sessions(jl: DataFrame, state: str = "InfrastructureFailure")
         F.coalesce("Happiness", F.lit("")).alias("Happiness"), "ActiveStates")
     return state_sessions(f, ["StarSystem", "Faction"], "timestamp",
                           F.coalesce(F.array_contains("ActiveStates", state), F.lit(False)),
-                          "Influence", "Happiness")
+                          "Influence", "Happiness", chunk=day_chunk("timestamp"))
 
 
 def hourly_state_counts(jl: DataFrame, state: str = "InfrastructureFailure") -> DataFrame:
@@ -168,7 +169,8 @@ def cycle_view(enclave: DataFrame, as_of: Column, offset: int = 0) -> tuple[Data
     hist = cyc.select("StarSystem", "timestamp", "reinforcement", "undermining",
                       F.monotonically_increasing_id().alias("__tb"))
     hist = lookback_rates(hist, ["StarSystem"], "timestamp",
-                          {"ReinforcementRate": "reinforcement", "UnderminingRate": "undermining"}, "__tb")
+                          {"ReinforcementRate": "reinforcement", "UnderminingRate": "undermining"}, "__tb",
+                          chunk_of=lambda c: F.date_trunc("day", c))
     return snap, hist.drop("__tb")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery import schemas as S
+from orrery.operators.chunked import day_chunk
 from orrery.operators.latest import latest_row, latest_state
 from orrery.operators.nested import has_any, inline_rows, or_empty
 from orrery.operators.timeseries import clean_counter_series, fix_control_progress
@@ -164,13 +165,15 @@ def infra_failures(sys_latest: DataFrame, stations: DataFrame, commodities: Data
                                                  F.col("MarketTimestamp").desc_nulls_last())
 
 
-def enclave_activity(jl: DataFrame, names: DataFrame, parity: bool = False) -> DataFrame:
-    """Q-F: cleaned weekly counter series of the listed systems."""
+def enclave_activity(jl: DataFrame, names: DataFrame, parity: bool = False, chunked: bool = True) -> DataFrame:
+    """Q-F: cleaned weekly counter series of the listed systems (windows per
+    (system, day) with carried boundaries unless ``chunked=False``)."""
     listed = jl.join(names.select(F.col("Name").alias("StarSystem")).distinct(), "StarSystem", "left_semi")
     clean = clean_counter_series(
         listed, key="StarSystem", ts="timestamp", state="PowerplayState",
         r="PowerplayStateReinforcement", u="PowerplayStateUndermining",
         progress="PowerplayConflictProgress", control="PowerplayStateControlProgress", parity=parity,
+        chunk=day_chunk("timestamp") if chunked else None,
     )
     return clean.select(
         "timestamp", "StarSystem", "ControllingPower", "Powers", "PowerplayState", "PowerplayConflictProgress",

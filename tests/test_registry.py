@@ -64,3 +64,17 @@ def test_spatial_join_is_equi_join_on_cells(spark):
 def test_clean_series_single_exchange(spark):
     p = _plan(catalog.QUERIES["clean_series"](spark, SF))
     assert p.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("name", ["clean_series_chunked", "state_sessions_chunked", "rolling_8h_rate_chunked",
+                                  "lag_deltas", "cycle_history"])
+def test_chunked_windows_partition_by_entity_and_chunk(spark, name):
+    """Row-level windows are partitioned by (user, chunk); windows partitioned
+    by the user alone only run over the per-(user, chunk) boundary tables,
+    ordered by chunk."""
+    p = _plan(catalog.QUERIES[name](spark, SF))
+    specs = re.findall(r"Window \[.*?\], \[([^\]]*)\], \[([^\]]*)\]", p)
+    entity = [(part, order) for part, order in specs if "user_id" in part]
+    assert entity, specs
+    assert any("__chunk" in part for part, _ in entity)
+    assert all("__chunk" in part or order.startswith("__chunk") for part, order in entity), entity

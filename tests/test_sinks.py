@@ -75,3 +75,25 @@ def test_append_compact_and_land(spark, tmpdir_path):
     publish.land_raw(spark, raw, landed)
     rows = spark.read.parquet(landed).collect()
     assert len(rows) == 2 and str(rows[0].event_date) == "2025-01-03"
+
+
+def test_build_release_end_to_end(spark, tmpdir_path):
+    from orrery.plans import release
+    from tests.feed import build_feed
+
+    landed = os.path.join(tmpdir_path, "landed")
+    build_feed(spark, landed)
+    wh = os.path.join(tmpdir_path, "wh")
+    base = release.build_release(spark, landed, wh, os.path.join(landed, "systemsPopulated.json"),
+                                 os.path.join(landed, "enclave.csv"), generated_at=dt.datetime(2025, 9, 4))
+    assert base.endswith("v=20250904_000000")
+    root = os.path.join(wh, "release")
+    assert publish.read_manifest(spark, root)["tables"][0] == "systems"
+    assert publish.read_published(spark, root, "systems").count() == 3
+    assert publish.read_published(spark, root, "powerplay_support").count() == 1
+    assert publish.read_published(spark, root, "infra_failures").count() == 1
+    assert spark.read.parquet(os.path.join(wh, "logs", "jumps")).count() == 4
+    jl = spark.read.parquet(os.path.join(wh, "logs", "jumps"))
+    out = os.path.join(tmpdir_path, "factions_csv")
+    release.faction_export(jl.drop("event_date"), out)
+    assert spark.read.option("header", True).csv(out).count() == 2

@@ -460,3 +460,32 @@ def faction_inline_counts(spark, sf):
     s = explode_col(f, "active_states", "state", keep=["o_custkey", "name"])
     return s.groupBy("name", "state").agg(F.count(F.lit(1)).alias("n"),
                                           F.countDistinct("o_custkey").alias("n_systems"))
+
+
+@register(
+    "landing_gap",
+    oracle="""
+    WITH files AS (
+      SELECT DISTINCT event_type, event_type || '-' || strftime(ts, '%Y-%m-%d') || '.jsonl' AS file FROM events),
+    latest AS (
+      SELECT event_type, max(CAST(regexp_extract(file, '(\\d{4}-\\d{2}-\\d{2})', 1) AS DATE)) AS latest_day
+      FROM files GROUP BY event_type),
+    today AS (SELECT CAST(max(ts) AS DATE) + 3 AS today FROM events)
+    SELECT event_type, CAST(latest_day AS TIMESTAMP) AS latest_day,
+           CAST(coalesce(least(greatest(date_diff('day', latest_day, today), 1), 30), 1) AS BIGINT) AS lookback_days
+    FROM latest, today
+    """,
+)
+def landing_gap_q(spark, sf):
+    """Per feed, the newest date found in landed file names and the days
+    to re-read (clamped to 1..30).  File names are derived from events (one
+    file per type and day); "today" is three days after the newest event."""
+    from orrery.sources.coverage import date_from_name, lookback_days
+
+    ev = table(spark, sf, "events")
+    files = ev.select("event_type", F.concat("event_type", F.lit("-"), F.date_format("ts", "yyyy-MM-dd"),
+                                             F.lit(".jsonl")).alias("file")).distinct()
+    today = ev.agg(F.date_add(F.to_date(F.max("ts")), 3)).scalar()
+    latest = files.groupBy("event_type").agg(F.max(date_from_name("file")).alias("latest_day"))
+    return latest.select("event_type", F.col("latest_day").cast("timestamp_ntz").alias("latest_day"),
+                         lookback_days(F.col("latest_day"), today).cast("bigint").alias("lookback_days"))

@@ -53,9 +53,12 @@ def chunked_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols:
     srcs = list(dict.fromkeys(cols.values()))
     d = df.select("*", F.row_number().over(w).alias("__rn"),
                   *[F.lag(src).over(w).alias(f"__l_{out}") for out, src in cols.items()])
-    # Boundary rows come from the input (not the window output), so the
-    # aggregation shares the window's exchange instead of recomputing it.
-    last = df.groupBy(*pk).agg(
+    # Boundary rows are aggregated from the window output: it is already
+    # partitioned by (keys, chunk), so the aggregation needs no shuffle and
+    # both branches read one (reused) exchange of the input.  Aggregating the
+    # input instead would add a partial aggregate below a second exchange and
+    # compute the whole upstream plan twice.
+    last = d.groupBy(*pk).agg(
         F.max_by(F.struct(*[F.col(s).alias(s) for s in srcs]), F.struct(*order)).alias("__last"))
     carry = last.select(*pk, F.lag("__last").over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("__carry"))
     j = d.join(carry, pk, "left")
@@ -76,7 +79,7 @@ def chunked_lead(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols:
     srcs = list(dict.fromkeys(cols.values()))
     d = df.select("*", F.lead(F.lit(1)).over(w).isNull().alias("__is_last"),
                   *[F.lead(src).over(w).alias(f"__n_{out}") for out, src in cols.items()])
-    first = df.groupBy(*pk).agg(
+    first = d.groupBy(*pk).agg(
         F.min_by(F.struct(*[F.col(s).alias(s) for s in srcs]), F.struct(*order)).alias("__first"))
     carry = first.select(*pk, F.lead("__first").over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("__carry"))
     j = d.join(carry, pk, "left")
@@ -96,7 +99,7 @@ def chunked_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str]
     pk = [*keys, CHUNK]
     w = Window.partitionBy(*pk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     d = df.withColumn("__v", value).withColumn("__local", F.sum("__v").over(w))
-    tot = df.groupBy(*pk).agg(F.sum(value).alias("__tot"))
+    tot = d.groupBy(*pk).agg(F.sum("__v").alias("__tot"))
     wk = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*pk, F.coalesce(F.sum("__tot").over(wk), F.lit(0)).alias("__off"))
     j = d.join(off, pk, "left")

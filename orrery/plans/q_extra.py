@@ -186,19 +186,21 @@ def clean_series_diagnostics(spark, sf):
     and the net change over each weekly cycle (chained columns, P8).
 
     Skew-safe throughout: the cleaning and the deltas run on (user, day)
-    chunks with carried boundaries, and the net change per (user, cycle) is
-    a keyed aggregation (newest minus oldest value) joined back."""
+    chunks with carried boundaries, and the net change is a window per
+    (user, weekly cycle), a bounded time chunk."""
     log = series_log(spark, sf)
     c = clean_counter_series(log, "user_id", "ts", "state", "r", "u", progress="progress", control="control",
                              chunk=day_chunk("ts"))
     d = c.select("user_id", "ts", F.date_format("ts", "dd HH:mm").alias("label"), "state",
                  F.col("r").alias("reinforcement"), F.col("u").alias("undermining"), cycle_start("ts").alias("cycle"))
     d = with_deltas(d, ["user_id"], ["ts"], ["reinforcement", "undermining"], chunk=day_chunk("ts"))
-    net = d.groupBy("user_id", "cycle").agg(
-        (F.max_by("reinforcement", "ts") - F.min_by("reinforcement", "ts")).alias("net_reinforcement"))
-    return d.join(net, ["user_id", "cycle"]).select(
-        "user_id", "ts", "label", "state", "reinforcement", "undermining", "d_reinforcement", "d_undermining",
-        "cycle", "net_reinforcement")
+    # The weekly cycle is itself a time chunk: a window per (user, cycle)
+    # holds at most one week of one entity, and reuses d's rows in place.
+    cw = Window.partitionBy("user_id", "cycle").orderBy("ts").rowsBetween(Window.unboundedPreceding,
+                                                                          Window.unboundedFollowing)
+    net = F.last("reinforcement").over(cw) - F.first("reinforcement").over(cw)
+    return d.select("user_id", "ts", "label", "state", "reinforcement", "undermining", "d_reinforcement",
+                    "d_undermining", "cycle", net.alias("net_reinforcement"))
 
 
 @register(

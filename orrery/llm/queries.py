@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm import blocknames, packing, secrets
-from orrery.llm.common import documents
+from orrery.llm import blocknames, langid, packing, secrets, simhash, tokencount, toxicity
+from orrery.llm.common import documents, training_row
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,38 @@ def tokenizer_files() -> dict[str, str]:
     return {"tokenizer_path": P.path("byte_bpe_50k.json"), "ranks_path": P.path("byte_bpe_50k.tiktoken"), "pattern": P.PATTERN}
 
 
+def held_out():
+    return (~training_row(F.col("doc_id"))).alias("held_out")
+
+
+@register("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.predict(docs, langid.fit(docs)).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held_out(), "lang_pred", "score")
+
+
+@register("op5_token_counts")
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    return tokencount.count_tokens(documents(spark, sf_dir), P.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
+@register("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, documents(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held_out(), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@register("op2_simhash_neardup")
+def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(documents(spark, sf_dir))
+    return groups.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 @register("op4_packing")
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), **tokenizer_files()).withColumnRenamed("id", "doc_id")

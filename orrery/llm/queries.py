@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm import blocknames, langid, packing, secrets, simhash, tokencount, toxicity
+from orrery.llm import blocknames, decontam, langid, packing, secrets, simhash, tokencount, toxicity
 from orrery.llm.common import documents, training_row
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir), P.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
 
 
+@register("op7_decontamination")
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    return found.drop("rid").withColumnRenamed("id", "doc_id")
+
+
 @register("op8_toxicity")
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)

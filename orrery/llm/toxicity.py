@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from orrery.llm.common import map_batches, store, training_row
 
 SIZES, BITS = (4, 5, 6), 18
-SAMPLE_ROWS, N_FEATURES = 12_000, 4096
+SAMPLE_ROWS, N_FEATURES = 12_000, 2048
 THRESHOLD = 0.3
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 CHUNK = 1 << 20
@@ -129,7 +129,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = np.lexsort((got["y"].to_numpy(), got["id"].to_numpy()))
     y = got["y"].to_numpy()[order].astype(float)
     lists = got["f"].take(pa.array(order)).combine_chunks()
-    cols = lists.values.to_numpy(zero_copy_only=False) if len(lists) else np.zeros(0, np.int32)
     cols = lists.flatten().to_numpy(zero_copy_only=False)
     who = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
     weight = np.where(y == 1, 1 / share[1], 1 / share[0])
@@ -143,7 +142,7 @@ def _lookup(buckets: np.ndarray) -> np.ndarray:
     return lookup
 
 
-def logistic(who, cols, r, y, weight, penalty: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, float]:
+def logistic(who, cols, r, y, weight, penalty: float = 1e-4, steps: int = 600) -> tuple[np.ndarray, float]:
     """Weights on the ratio-scaled features ``r[cols]``, by accelerated gradient descent."""
     x = r[cols]
     n = len(y)

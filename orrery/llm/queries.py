@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm import blocknames, decontam, langid, packing, secrets, simhash, tokencount, toxicity
+from orrery.llm import blocknames, decontam, langid, linededup, packing, secrets, simhash, tokencount, toxicity
 from orrery.llm.common import documents, training_row
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir), P.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
 
 
+@register("op6_line_dedup")
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.line_groups(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), F.col("pos").cast("long").alias("line"), F.col("keep_id").alias("keep_doc_id"),
+                        F.col("keep_pos").cast("long").alias("keep_line"), "group_size", "kept")
+
+
 @register("op7_decontamination")
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))

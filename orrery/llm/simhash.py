@@ -143,6 +143,19 @@ def bucket_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def first_kind(diff: np.ndarray) -> np.ndarray:
+    """The first kind of key that two fingerprints within 4 bits are sure to
+    share, by their difference (see the module's text); kinds as in ``bucket_keys``."""
+    seg = [(diff >> np.uint64(at)) & np.uint64((1 << n) - 1) for at, n in SEGMENTS]
+    err = [np.bitwise_count(s) for s in seg]
+    clean = [((s & np.uint64(0x7FF)) == 0, (s >> np.uint64(11)) == 0) for s in seg]
+    sure = [(err[i] == 0) & (err[j] <= 2) for i in range(3) for j in range(3) if i != j]
+    for k in range(3):
+        i, j = [x for x in range(3) if x != k]
+        sure += [a & b & (err[k] <= 2) for a in clean[i] for b in clean[j]]
+    return np.argmax(np.stack(sure), axis=0)
+
+
 # ------------------------------------------------------------------- links
 
 def _runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
@@ -173,14 +186,22 @@ def _runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.nd
         yield keys, values, True
 
 
-def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Different pairs only."""
-    a, b = np.concatenate(a), np.concatenate(b)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), dtype=bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new]
+def _forest(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A star for each component of the links: as many rows as nodes at most."""
+    nodes, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    x, y = at[: len(at) // 2], at[len(at) // 2 :]
+    label = np.arange(len(nodes))
+    while len(x):
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    leaf = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[leaf], nodes[label[leaf]]
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
@@ -212,12 +233,15 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> Dat
                 at, step = np.flatnonzero(left >= 1), 1
                 while len(at):
                     x, y = fp[at], fp[at + step]
-                    near = np.bitwise_count((x ^ y).view(np.uint64)) <= max_bits
-                    a.append(np.maximum(x, y)[near])
-                    b.append(np.minimum(x, y)[near])
+                    diff = (x ^ y).view(np.uint64)
+                    near = np.flatnonzero(np.bitwise_count(diff) <= max_bits)
+                    # Pairs meet under many keys; each counts under one kind.
+                    near = near[first_kind(diff[near]) == keys[at[near]] >> 58]
+                    a.append(x[near])
+                    b.append(y[near])
                     step += 1
                     at = at[left[at] >= step]
-            x, y = _pairs(a, b)
+            x, y = _forest(a, b)
             m = np.unique(np.concatenate(large))
             if len(x) + len(m):
                 yield pa.RecordBatch.from_arrays(
@@ -256,7 +280,7 @@ def _by_centres(members: DataFrame, max_bits: int) -> DataFrame:
             run = np.cumsum(first)
             hubs = np.concatenate([[0 if hub is None else hub], v[first]])[run]
             last_key, hub = k[-1], hubs[-1]
-            a, b = _pairs([np.maximum(v, hubs)[~first]], [np.minimum(v, hubs)[~first]])
+            a, b = _forest([v[~first]], [hubs[~first]])
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 

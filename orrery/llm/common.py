@@ -82,6 +82,15 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                      F.col(f"`{text_col}`").alias("text"))
 
 
+def without(df: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``df``, all columns, without the rows whose ``keyed`` number is in
+    ``dropped`` (rid).  The list is stored first, so that Spark knows its size
+    and broadcasts it only if it is small."""
+    gone = store(dropped.select(F.col("rid").alias("__orrery_rid")), "dropped")
+    tagged = df.select(F.monotonically_increasing_id().alias("__orrery_rid"), *[F.col(f"`{c}`") for c in df.columns])
+    return tagged.join(gone, "__orrery_rid", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def training_row(id_col):
     """True for the rows that models may learn labels from."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(4)) != 2

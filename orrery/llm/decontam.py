@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from orrery.llm.common import keyed, map_batches
+from orrery.llm.common import keyed, map_batches, without
 
 K1, B, THRESHOLD = 1.2, 0.75, 0.5
 WORDS, OVERLAP = 5, 0.8
@@ -122,7 +122,7 @@ def retrieve(index: Index, ids: np.ndarray, threshold: float) -> list[tuple[int,
             for i in range(b * size, min(len(index.items), (b + 1) * size)):
                 score = float(index.impacts[i][scratch[index.terms[i]]].sum())
                 if score >= low:
-                    found.append((int(p), i, min(1.0, score)))
+                    found.append((int(p), i, round(min(1.0, score), 6)))
         scratch[query] = False
     return found
 
@@ -200,6 +200,4 @@ def _searcher(shared, threshold: float, overlap: float, kind: pa.DataType):
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df``, all columns, that hold no item."""
-    gone = find_leaks(df, benchmark, id_col, text_col, **options).select(F.col("rid").alias("__orrery_rid")).distinct()
-    tagged = df.select(F.monotonically_increasing_id().alias("__orrery_rid"), *[F.col(f"`{c}`") for c in df.columns])
-    return tagged.join(gone, "__orrery_rid", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    return without(df, find_leaks(df, benchmark, id_col, text_col, **options).select("rid").distinct())

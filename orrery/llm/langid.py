@@ -31,12 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from orrery.llm.common import keyed, map_batches, training_row
+from orrery.llm.common import keyed, map_batches, training_row, without
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 16, 8
 STRIDE = WINDOW - max(WIDTHS) + 1
 SAMPLE_ROWS, SAMPLE_WINDOWS, MAX_LANGUAGES = 3000, 4, 64
 EPOCHS, BATCH, SEED = 5, 128, 7
+MIN_SCORE = 0.35  # of four languages, barely above chance
 UNDETERMINED = "und"
 
 
@@ -166,15 +167,15 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
     return train(x, y, languages)
 
 
-def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``(id, lang_pred, score)`` per input row; ``keep`` names columns to pass on."""
+def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(rid, id, lang_pred, score)`` per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.tables() if model else None
         for batch in batches:
             pred, score = [], []
             held, sizes = [], []
-            for text in batch.column("__text"):
+            for text in batch.column("text"):
                 s = text.as_py()
                 if model is None or s is None or not any(map(str.isalpha, s)):
                     sizes.append(0)
@@ -184,13 +185,11 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 if sum(map(len, held)) >= 4096 or len(sizes) >= 2048:
                     _flush(model, tables, held, sizes, pred, score)
             _flush(model, tables, held, sizes, pred, score)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                [*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
+                                             ["rid", "id", "lang_pred", "score"])
 
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), *[F.col(f"`{c}`") for c in keep or []], F.col(f"`{text_col}`").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return map_batches(rows, run, f"{fields}, lang_pred string, score double")
+    rows = keyed(df, id_col, text_col)
+    return map_batches(rows, run, f"rid bigint, id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def _flush(model, tables, held, sizes, pred, score) -> None:
@@ -211,9 +210,8 @@ def _flush(model, tables, held, sizes, pred, score) -> None:
     sizes.clear()
 
 
-def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", min_score: float = 0.35) -> DataFrame:
-    """The rows of ``df`` with a determined language, all columns as they were."""
-    model = fit(df, id_col, text_col, label_col)
-    row = df.select(F.struct([F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    kept = predict(row, model, "id", "text", keep=["row"]).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score))
-    return kept.select(*[F.col("row")[c].alias(c) for c in df.columns])
+def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``df``, all columns, whose language is determined with a score
+    of ``min_score`` or more."""
+    found = predict(df, fit(df, id_col, text_col, label_col), id_col, text_col)
+    return without(df, found.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < min_score)))

@@ -163,12 +163,13 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     given, gets the new number of characters."""
     groups = line_groups(df, id_col, text_col)
     flags = groups.groupBy(F.col("rid").alias("__orrery_rid")).agg(
-        F.min("kept").alias("all_kept"), F.array_sort(F.collect_list(F.struct("pos", "kept"))).alias("__orrery_flags"))
-    flags = flags.where(~F.col("all_kept")).select("__orrery_rid", "__orrery_flags")
+        F.min("kept").alias("all_kept"), F.sort_array(F.collect_list(F.struct("pos", "kept"))).alias("flags"))
+    kept = F.transform("flags", lambda x: x["kept"]).alias("__orrery_kept")
+    flags = store(flags.where(~F.col("all_kept")).select("__orrery_rid", kept), "line-flags")
     tagged = df.select(F.monotonically_increasing_id().alias("__orrery_rid"), *[F.col(f"`{c}`") for c in df.columns])
     text = F.col(f"`{text_col}`")
-    rest = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: F.col("__orrery_flags")[i]["kept"]), "\n")
-    new = {text_col: F.when(F.col("__orrery_flags").isNull(), text).otherwise(rest)}
+    rest = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: F.col("__orrery_kept")[i]), "\n")
+    new = {text_col: F.when(F.col("__orrery_kept").isNull(), text).otherwise(rest)}
     out = tagged.join(flags, "__orrery_rid", "left").select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
     if length_col:
         out = out.withColumn(length_col, F.coalesce(F.length(F.col(f"`{text_col}`")).cast("long"), F.col(f"`{length_col}`")))

@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from orrery.llm.common import keyed, map_batches, store
+from orrery.llm.common import keyed, map_batches, store, without
 from orrery.llm.components import components
 
 WORDS, MAX_BITS, BUCKET, SEED = 4, 4, 512, 42
@@ -311,6 +311,4 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("rid"))
     best = store(groups.groupBy("root").agg(F.min(order).alias("keep")), "simhash-keepers")
     dropped = groups.select("root", "rid").join(best, "root").where(F.col("rid") != F.col("keep.rid")).select("rid")
-    tagged = df.select(F.monotonically_increasing_id().alias("__orrery_rid"), *[F.col(f"`{c}`") for c in df.columns])
-    gone = dropped.withColumnRenamed("rid", "__orrery_rid")
-    return tagged.join(gone, "__orrery_rid", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    return without(df, dropped)

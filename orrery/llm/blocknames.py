@@ -15,9 +15,6 @@ than 1 / MAX_HOT of the rows; the names of the salted parts meet in a table of
 at most ``MAX_HOT`` blocks, small enough to broadcast.  DataFrame operations
 only.
 
-Block numbers follow the scan order, so the input must be a table read from
-files (or any other input that is the same in each evaluation).
-
 Defined results: null counts as the empty text; empty texts are equal to each
 other; of equal texts one row stays, the one with the largest id (null ids
 come last; among repeated rows exactly one); an empty table gives an empty
@@ -28,7 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from orrery.llm.common import keyed, store
+from orrery.llm.common import keyed, stable, store
 
 BLOCK_BYTES = 2048
 MAX_HOT = 256
@@ -54,7 +51,7 @@ def block_names(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     """``(rid, id, text_sha256, n_blocks, name)`` per input row; equal texts, and
     only they, have equal ``(n_blocks, name)``."""
     raw = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
-    docs = keyed(df, id_col, text_col).select("rid", "id", raw.alias("raw"))
+    docs = keyed(stable(df), id_col, text_col).select("rid", "id", raw.alias("raw"))
     n_blocks = F.greatest(F.lit(1), F.ceil(F.length("raw") / F.lit(block_bytes))).cast("int")
     blocks = docs.select("rid", n_blocks.alias("n"), F.posexplode(F.transform(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("raw")), F.lit(block_bytes)),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -71,6 +72,18 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is a plain scan, which gives the same rows in the same
+    places whenever it is evaluated; else a stored copy.
+
+    Operators that number rows in more than one evaluation start with this: a
+    shuffle below them may deal rows differently each time.
+    """
+    nodes = [x.lstrip(" :+-").split(" ")[0] for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    plain = all(re.match(r"Relation|LogicalRDD|LocalRelation|Project|Filter", x) for x in nodes if x)
+    return df if plain else store(df, "input")
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(rid, id, text)``: every input row with an own key ``rid``.
 

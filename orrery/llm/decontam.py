@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from orrery.llm.common import keyed, map_batches, without
+from orrery.llm.common import keyed, map_batches, stable, without
 
 K1, B, THRESHOLD = 1.2, 0.75, 0.5
 WORDS, OVERLAP = 5, 0.8
@@ -200,4 +200,5 @@ def _searcher(shared, threshold: float, overlap: float, kind: pa.DataType):
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df``, all columns, that hold no item."""
+    df = stable(df)
     return without(df, find_leaks(df, benchmark, id_col, text_col, **options).select("rid").distinct())

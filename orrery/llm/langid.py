@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from orrery.llm.common import keyed, map_batches, training_row, without
+from orrery.llm.common import keyed, map_batches, stable, training_row, without
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 16, 8
 STRIDE = WINDOW - max(WIDTHS) + 1
@@ -213,5 +213,6 @@ def _flush(model, tables, held, sizes, pred, score) -> None:
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``df``, all columns, whose language is determined with a score
     of ``min_score`` or more."""
+    df = stable(df)
     found = predict(df, fit(df, id_col, text_col, label_col), id_col, text_col)
     return without(df, found.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < min_score)))

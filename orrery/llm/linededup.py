@@ -4,13 +4,13 @@ A line is compared in lower case without surrounding white space, as the set of
 its character shingles (``SHINGLE`` characters; a shorter line is one shingle).
 Lines link at a Jaccard similarity of 0.8 or more.
 
-* Signature: one 64-bit hash per shingle, sorted.  The hash space is cut into
-  ranges, and the smallest four hashes of a range (fewer if it has fewer) are a
-  band: a MinHash of four rows in one permutation.  Ten ranges find a pair at
-  0.8 with probability 0.995 and a closer one more surely.  Short lines have
-  four or seven ranges: such pairs differ in fewer shingles than there are
-  ranges, so one range is equal.  A line just above a class limit has the bands
-  of the class below too.
+* Signature: one 64-bit hash per shingle, and the smallest of each of 40 bins
+  of the hash space (one-permutation MinHash).  Four bins are a band.  Ten bands
+  find a pair at 0.8 with probability 0.995 and a closer one more surely.  Short
+  lines, told by how many bins they fill, have four bands of ten bins or eight
+  of five: similar ones differ in fewer shingles than there are bands, so a band
+  is equal.  A line just above a class limit has the bands of the class below
+  too.
 * Candidates: different lines that share a band.  A bucket of at most
   ``BUCKET`` lines is compared in pairs.  A larger one is split by the lines'
   other bands, that is, its pairs must share two; what is still larger is a
@@ -24,7 +24,7 @@ Lines link at a Jaccard similarity of 0.8 or more.
 Scale: equal lines are grouped by their hash with map-side combine; only band
 keys (16 bytes each) are shuffled for the signatures, and the texts once to
 fetch the candidates.  No bucket gives more rows than BUCKET times its members.
-Memory holds one line's hashes: 8 bytes a character.
+A line is one row until its shingles are rows.
 
 Defined results: a null text is one empty line; blank lines always stay and
 have no component; equal lines are recognised by a 64-bit hash; repeated rows
@@ -34,16 +34,14 @@ ignored (``drop_lines`` passes them on).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from orrery.llm.common import keyed, store
+from orrery.llm.common import keyed, stable, store
 from orrery.llm.components import components
 
-SHINGLE, SIMILARITY, ROWS, BUCKET = 9, 0.8, 4, 32
-#: (most shingles, ranges) of each class of lines.
-CLASSES = ((12, 4), (24, 7), (None, 10))
+SHINGLE, SIMILARITY, BINS, BUCKET = 9, 0.8, 40, 32
+#: (most bins with a shingle, bins of a band) of each class of lines.
+CLASSES = ((10, 10), (18, 5), (None, 4))
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -67,26 +65,34 @@ def _shingles(wide: str) -> Column:
 
 
 def _bands(lines: DataFrame) -> DataFrame:
-    """``(h, key)`` of all bands of all lines (h, line)."""
-    sets = lines.select("h", _wide("line").alias("wide")).select("h", _shingles("wide").alias("hashes"))
-    m, limits = F.size("hashes"), [most for most, _ in CLASSES[:-1]]
-    number = reduce(lambda rest, k: F.when(m <= limits[k], k).otherwise(rest), reversed(range(len(limits))), F.lit(len(limits)))
-    # Just above a limit: the class below too, so that similar lines always have one in common.
-    below = reduce(lambda rest, k: F.when((m > limits[k]) & (m <= int(limits[k] / SIMILARITY)), k).otherwise(rest), range(len(limits)), F.lit(None))
-    # The outer form: the optimizer adds no filter that would compute the hashes again.
-    sized = sets.select("h", "hashes", F.explode_outer(F.array(number, below)).alias("k")).where("k IS NOT NULL")
-    edges = F.array(*[F.array(*[F.lit(-(1 << 63) + (1 << 64) * j // n) for j in range(n)]) for _, n in CLASSES])
-    # Edges sit in order among the hashes: what lies between two of them is a range.
-    marked = sized.select("h", "k", edges[F.col("k")].alias("e"), F.sort_array(F.concat("hashes", edges[F.col("k")])).alias("s"))
-    most = max(n for _, n in CLASSES)
-    places = [F.array_position("s", F.get("e", F.lit(j))).cast("int").alias(f"p{j}") for j in range(most)]
-    placed = marked.select("h", "k", "s", *places, (F.size("s") + 1).alias(f"p{most}"))
-    keys = []
-    for j in range(most):
-        to = F.coalesce(F.col(f"p{j + 1}"), F.col(f"p{most}"))
-        n = to - F.col(f"p{j}") - 1
-        keys.append(F.when(n > 0, F.xxhash64(F.col("k") * 16 + j, F.slice("s", F.col(f"p{j}") + 1, F.least(n, F.lit(ROWS))))))
-    return placed.select("h", F.explode_outer(F.array(*keys)).alias("key")).where("key IS NOT NULL")
+    """``(h, key)`` of all bands of all lines (h, line).
+
+    Shingles are rows, aggregated in place: lines are dealt by h once, and both
+    aggregations keep to that.
+    """
+    width = 2 * SHINGLE
+    texts = lines.groupBy("h").agg(_wide(F.min("line")).alias("wide"))
+    at = F.explode_outer(F.sequence(F.lit(1), F.greatest(F.length("wide") - width + 1, F.lit(1)), F.lit(2))).alias("at")
+    hashed = texts.select("h", "wide", at).select("h", F.xxhash64(F.substring("wide", F.col("at"), F.lit(width))).alias("x"))
+    # The bin of a hash: its upper half, scaled to BINS.
+    part = F.shiftrightunsigned(F.shiftrightunsigned("x", 32) * BINS, 32)
+    mins = hashed.groupBy("h", part.alias("bin")).agg(F.min("x").alias("x"))
+    one = mins.select("h", "bin", F.xxhash64("bin", "x").alias("y"))
+    # A band is the combination of its bins' minima; 0 where all bins are empty.
+    cols, bands = [], []
+    for k, (_, bins) in enumerate(CLASSES):
+        for j in range(BINS // bins):
+            inside = (F.col("bin") >= j * bins) & (F.col("bin") < (j + 1) * bins)
+            cols.append(F.bit_xor(F.when(inside, F.col("y")).otherwise(F.lit(0))).alias(f"b{k}_{j}"))
+            key = F.when(F.col(f"b{k}_{j}") != 0, F.xxhash64(F.lit(k * 64 + j), f"b{k}_{j}"))
+            low = CLASSES[k - 1][0] if k else 0
+            most = CLASSES[k][0]
+            # Just above a limit: the class below too, so that similar lines always have one in common.
+            mine = F.col("n") > low if most is None else (F.col("n") > low) & (F.col("n") <= int(most / SIMILARITY) + 1)
+            bands.append(F.when(mine, key))
+    signed = one.groupBy("h").agg(F.count("*").alias("n"), *cols)
+    # The outer form: the optimizer adds no filter that would compute the keys again.
+    return signed.select("h", F.explode_outer(F.array(*bands)).alias("key")).where("key IS NOT NULL")
 
 
 def _in_buckets(rows: DataFrame) -> DataFrame:
@@ -112,7 +118,8 @@ def _dense(rows: DataFrame) -> DataFrame:
     """Each row of a large bucket with the bucket's first row and with the row before it."""
     # The order differs from bucket to bucket, so that each has another first row.
     w = Window.partitionBy("key").orderBy(F.xxhash64("key", "h"), "h")
-    near = rows.select("h", F.explode(F.array_distinct(F.array(F.first("h").over(w), F.lag("h").over(w)))).alias("x"))
+    near = rows.select("h", F.array_distinct(F.array(F.first("h").over(w), F.lag("h").over(w))).alias("near"))
+    near = near.select("h", F.explode("near").alias("x"))
     return near.where("x != h").select(F.least("h", "x").alias("a"), F.greatest("h", "x").alias("b"))
 
 
@@ -142,7 +149,7 @@ def links(lines: DataFrame) -> DataFrame:
 def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(rid, id, pos, root, keep_rid, keep_id, keep_pos, group_size, kept)``
     per line of the input; root names the component."""
-    lines = _lines(df, id_col, text_col)
+    lines = _lines(stable(df), id_col, text_col)
     roots = components(links(lines.where("h IS NOT NULL").select("h", "line")))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid", "pos")).alias("first")
     nodes = lines.where("h IS NOT NULL").groupBy("h").agg(first, F.count("*").alias("n"))
@@ -161,6 +168,7 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """``df``, all rows and columns, with only the kept lines in each text; a
     text that loses no line stays as it is (null too).  ``length_col``, if
     given, gets the new number of characters."""
+    df = stable(df)
     groups = line_groups(df, id_col, text_col)
     flags = groups.groupBy(F.col("rid").alias("__orrery_rid")).agg(
         F.min("kept").alias("all_kept"), F.sort_array(F.collect_list(F.struct("pos", "kept"))).alias("flags"))

@@ -44,7 +44,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from orrery.llm.common import keyed, map_batches, store
+from orrery.llm.common import keyed, map_batches, stable, store
 
 LENGTH, GRAM = 200, 32
 BUFFER = 1 << 22  # bytes looked at together; places in it take 24 bits
@@ -343,7 +343,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                    shard_windows: int = SHARD_WINDOWS) -> DataFrame:
     """``(rid, start, end, later)``: spans of repeated strings, which may
     overlap; later: the string has an earlier copy, else only later ones."""
-    docs = keyed(df, id_col, text_col).select("rid", F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("raw"))
+    docs = keyed(stable(df), id_col, text_col).select("rid", F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("raw"))
     local = store(map_batches(docs, _map_segments(length), SEGMENT_SQL), "segments")
     met = local.where("h IS NOT NULL").select("h", "c", "rid", "start", "end", "copied")
     met = met.repartition("h").sortWithinPartitions("h", "c", "rid", "start")
@@ -369,6 +369,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     maximal removed runs as an array of (start, end) in bytes."""
     if keep not in ("first", "none"):
         raise ValueError("keep is first or none")
+    df = stable(df)
     found = repeated_spans(df, id_col, text_col, length, shard_windows)
     if keep == "first":
         found = found.where("later")

@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from orrery.llm.common import keyed, map_batches, store, without
+from orrery.llm.common import keyed, map_batches, stable, store, without
 from orrery.llm.components import components
 
 WORDS, MAX_BITS, BUCKET, SEED = 4, 4, 512, 42
@@ -307,6 +307,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     """The rows of ``df``, all columns, without those that have another of their
     group before them: the row with the smallest id stays (null ids last, then
     the first in scan order)."""
+    df = stable(df)
     groups = store(near_groups(df, id_col, text_col, words, max_bits), "simhash-groups")
     order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("rid"))
     best = store(groups.groupBy("root").agg(F.min(order).alias("keep")), "simhash-keepers")

@@ -26,8 +26,11 @@ never repeats.  So windows are first dealt to places where copies must meet:
    ends of copies, edits inside them).  Only those segments' bytes are fetched,
    one of each content, and dealt in shards by anchor; each shard sorts its
    windows, and LPF and its mirror are computed in suffix order.
-4. An anchor with more than ``SHARD_WINDOWS`` windows of different contents
-   goes to an exact join by 128-bit window hash, which needs no shard.
+4. An anchor with more than ``SHARD_WINDOWS`` windows of different contents (a
+   line that everybody quotes, each time among other text) is split: its
+   segments are cut again by a second anchor under another hash, and a third,
+   so that only windows that agree on all of them stay together.  What is too
+   large after ``LEVELS`` anchors goes to an exact join by 128-bit window hash.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose
 nothing; repeated rows are copies of each other; null ids are passed on; an
@@ -49,14 +52,16 @@ from orrery.llm.common import keyed, map_batches, stable, store
 LENGTH, GRAM = 200, 32
 BUFFER = 1 << 22  # bytes looked at together; places in it take 24 bits
 SHARD_WINDOWS = 120_000
+LEVELS = 6
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)
 PLACE = np.uint64((1 << 24) - 1)
 
 
 # ---------------------------------------------------------------- segments
 
-def gram_hashes(flat: np.ndarray) -> np.ndarray:
-    """64-bit hash of the 32-byte gram at each place; flat: bytes with 32 bytes of padding."""
+def gram_hashes(flat: np.ndarray, level: int = 0) -> np.ndarray:
+    """64-bit hash of the 32-byte gram at each place, another one for each level;
+    flat: bytes with 32 bytes of padding."""
     n = len(flat) - GRAM
     word = np.array(np.lib.stride_tricks.as_strided(flat[:8].view("<u8"), (n + GRAM - 8,), (1,)))
     x = word[:n] * np.uint64(FACTORS[0])
@@ -65,6 +70,10 @@ def gram_hashes(flat: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(29)
     x *= np.uint64(FACTORS[4])
     x ^= x >> np.uint64(32)
+    for k in range(level):
+        x += np.uint64(FACTORS[k % 4])
+        x *= np.uint64(FACTORS[4])
+        x ^= x >> np.uint64(31)
     return x
 
 
@@ -77,7 +86,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def segments(parts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+def segments(parts: list[bytes], length: int = LENGTH, level: int = 0) -> tuple[np.ndarray, ...]:
     """(part, first window, last window, anchor hash) of the segments of some
     texts, in order; together at most about BUFFER bytes."""
     sizes = np.array([len(p) for p in parts])
@@ -86,7 +95,7 @@ def segments(parts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]
     ok = sizes >= length
     if not ok.any():
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    x = gram_hashes(flat)
+    x = gram_hashes(flat, level)
     least = sliding_min((x & ~PLACE) | np.arange(len(x), dtype=np.uint64), length - GRAM + 1)
     # Runs of one anchor, cut at the texts' ends.
     n = int((base[ok] + sizes[ok] - length).max()) + 1
@@ -269,12 +278,13 @@ def _spans(hit: np.ndarray, rid: np.ndarray, start: np.ndarray, length: int) ->
     return r[i], s[i], s[np.append(i[1:], len(r)) - 1] + length if len(r) else s
 
 
-FOUND_SQL = "rid bigint, start int, end int, later boolean, k1 bigint, k2 bigint"
+FOUND_SQL = "rid bigint, start int, end int, later boolean, h bigint, raw binary"
 
 
-def _shard_matches(length: int, most: int):
-    """Segments of mixed anchors, sorted by anchor -> marked spans; windows of
-    anchors beyond ``most`` windows go on with their hash."""
+def _shard_matches(length: int, most: int, level: int):
+    """Segments of mixed anchors, sorted by anchor -> marked spans.  Segments of
+    anchors beyond ``most`` windows go on (``later`` null): cut by one more
+    anchor, or after the last level as single windows."""
 
     def spans(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         text = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8)
@@ -294,21 +304,25 @@ def _shard_matches(length: int, most: int):
             if len(r):
                 yield _found(r, s, e, later)
 
-    def _found(r, s, e, later, k1=None, k2=None) -> pa.RecordBatch:
-        none = pa.nulls(len(r), pa.int64())
+    def _found(r, s, e, later, h=None, raw=None) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [pa.array(r, pa.int64()), pa.array(np.asarray(s, dtype=np.int32)), pa.array(np.asarray(e, dtype=np.int32)),
-             pa.array([later] * len(r), pa.bool_()), none if k1 is None else pa.array(k1), none if k2 is None else pa.array(k2)],
-            ["rid", "start", "end", "later", "k1", "k2"])
-
-    def windows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest as digest
-
-        for _, rid, start, raw in rows:
-            n = len(raw) - length + 1
-            k = np.frombuffer(b"".join(digest(raw[i : i + length]) for i in range(n)), dtype="<i8").reshape(-1, 2)
-            s = np.arange(start, start + n)
-            yield _found(np.full(n, rid), s, s + length, None, np.ascontiguousarray(k[:, 0]), np.ascontiguousarray(k[:, 1]))
+             pa.array([later] * len(r), pa.bool_()), pa.nulls(len(r), pa.int64()) if h is None else pa.array(h),
+             pa.nulls(len(r), pa.binary()) if raw is None else pa.array(raw, pa.binary())],
+            ["rid", "start", "end", "later", "h", "raw"])
+
+    def split(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        parts = [r[3] for r in rows]
+        if level < LEVELS:
+            part, first, last, h = segments(parts, length, level)
+            h = (np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)[part] * np.uint64(FACTORS[1]) ^ h).view(np.int64)
+        else:
+            n = np.array([len(x) - length + 1 for x in parts])
+            part, first = np.repeat(np.arange(len(rows)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            last, h = first, np.zeros(len(part), dtype=np.int64)
+        rid, start = np.array([r[1] for r in rows])[part], np.array([r[2] for r in rows])[part]
+        raw = [parts[p][a : b + length] for p, a, b in zip(part.tolist(), first.tolist(), last.tolist())]
+        yield _found(rid, start + first, start + last + length, None, h, raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: list[tuple] = []
@@ -318,21 +332,26 @@ def _shard_matches(length: int, most: int):
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if group and row[0] != group[0][0]:
-                    shard, n_shard, group, n_group = shard + group, n_shard + n_group, [], 0
-                    if n_shard >= most // 2:
+                    if over == group[0][0]:
+                        yield from split(group)
+                    elif len(group) > 1:  # one content alone has no match
+                        shard, n_shard = shard + group, n_shard + n_group
+                    group, n_group = [], 0
+                    if n_shard >= most:
                         yield from spans(shard)
                         shard, n_shard = [], 0
-                if over is not None and row[0] == over:
-                    yield from windows([row])
-                    continue
                 group.append(row)
                 n_group += len(row[3]) - length + 1
                 if n_group > most:
                     over = row[0]
-                    yield from windows(group)
+                    yield from split(group)
                     group, n_group = [], 0
-        if shard or group:
-            yield from spans(shard + group)
+        if group and over == group[0][0]:
+            yield from split(group)
+        elif len(group) > 1:
+            shard += group
+        if shard:
+            yield from spans(shard)
 
     return run
 
@@ -353,14 +372,18 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bytes_of = docs.join(wanted, "rid").select("rid", F.explode(F.transform(
         "want", lambda w: F.struct(w["h"].alias("h"), w["start"].alias("start"),
                                    F.substring("raw", w["start"] + 1, w["end"] - w["start"]).alias("raw")))).alias("w"))
-    shards = bytes_of.select("w.h", "rid", "w.start", "w.raw").repartition("h").sortWithinPartitions("h", "rid", "start")
-    found = store(map_batches(shards, _shard_matches(length, shard_windows), FOUND_SQL), "segments-found")
-    spans = spans.union(found.where("later IS NOT NULL").select("rid", "start", "end", "later"))
-    single = found.where("later IS NULL").select("rid", "start", "end", "k1", "k2")
-    first = single.groupBy("k1", "k2").agg(F.min(F.struct("rid", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    more = single.join(first, ["k1", "k2"])
+    rows = bytes_of.select("w.h", "rid", "w.start", "w.raw")
+    for level in range(1, LEVELS + 1):
+        shards = rows.repartition("h").sortWithinPartitions("h", "rid", "start")
+        found = store(map_batches(shards, _shard_matches(length, shard_windows, level), FOUND_SQL), "segments-found")
+        spans = spans.union(found.where("later IS NOT NULL").select("rid", "start", "end", "later"))
+        rows = found.where("later IS NULL").select("h", "rid", "start", "raw", "end")
+        if rows.isEmpty():
+            return spans
+    windows = rows.select("rid", "start", "end", F.xxhash64("raw").alias("k1"), F.xxhash64(F.lit(1), "raw").alias("k2"))
+    first = windows.groupBy("k1", "k2").agg(F.min(F.struct("rid", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = F.struct("rid", "start") != F.col("first")
-    return spans.union(more.select("rid", "start", "end", later.alias("later")))
+    return spans.union(windows.join(first, ["k1", "k2"]).select("rid", "start", "end", later.alias("later")))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: str = "first",

@@ -34,10 +34,8 @@ def main() -> None:
     from orrery.session import local_session
 
     catalog.load_all()
-    spark = local_session(cores=cpus, shuffle_partitions=max(2 * cpus, 8), app="orrery-bench")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="orrery-bench-ckpt-"))
+    spark = local_session(cores=cpus, shuffle_partitions=max(2 * cpus, 8), app="orrery-bench",
+                          checkpoint=tempfile.mkdtemp(prefix="orrery-bench-ckpt-"))
 
     names = [n for n in catalog.QUERIES if not only or n in only]
     times: dict[str, float] = {}

@@ -177,7 +177,7 @@ RULES = [
 # Display order of rule categories.
 CATEGORY_ORDER = ["Hauling", "Mining", "Combat", "On Foot", "Misc"]
 
-# Control-point thresholds.
+# Thresholds.
 CONFLICT_THRESHOLD = 36000
 ACQUISITION_THRESHOLD = 120000
 EXPLOITED_THRESHOLD = 350000
@@ -197,17 +197,13 @@ RULE_SCHEMA = T.StructType(
 ACTION_FLAG = {"Acquire": "acquisition", "Reinforce": "reinforcement", "Undermine": "undermining"}
 
 
-_RULES_DF: dict[tuple, DataFrame] = {}
+#: A rule table up to this many rows is broadcast; a larger one is joined by its action.
+MAX_BROADCAST_RULES = 10_000
 
 
 def rules_df(spark: SparkSession) -> DataFrame:
-    """The catalogue as a DataFrame (built once per session)."""
-    key = (id(spark), spark.sparkContext.applicationId)
-    df = _RULES_DF.get(key)
-    if df is None:
-        rows = [(i, *r) for i, r in enumerate(RULES, 1)]
-        df = _RULES_DF[key] = spark.createDataFrame(rows, RULE_SCHEMA)
-    return df
+    """The catalogue as a DataFrame."""
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(RULES, 1)], RULE_SCHEMA)
 
 
 def rules_by_action(rules: DataFrame) -> DataFrame:
@@ -270,7 +266,8 @@ def rule_join(
             "bonus_acquisition", "bonus_reinforcement", "bonus_undermining", "vulnerable")
         for c in ("bonus_acquisition", "bonus_reinforcement", "bonus_undermining", "vulnerable"):
             rba = rba.withColumnRenamed("__" + c, c)
-    j = systems.join(F.broadcast(rba), "action")
+    small = rules.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES
+    j = systems.join(F.broadcast(rba) if small else rba, "action")
     act, cp = F.col("action"), F.col("controlling_power")
     req = (
         F.when(F.col("requirement") == "archon_if_undermine",

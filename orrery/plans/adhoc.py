@@ -220,10 +220,10 @@ def station_pad_configs(stations: DataFrame) -> DataFrame:
 
 def history_of(jl: DataFrame, address: int, pattern: str = "`(timestamp|StarSystem|Powerplay.*)`") -> DataFrame:
     """Q-AC: one system's history newest first, columns picked by pattern,
-    derived control points."""
+    derived merit points."""
     h = jl.filter(F.col("SystemAddress") == address)
     return h.select(h.colRegex(pattern)).withColumn(
-        "ControlPoints", control_score(F.col("PowerplayStateControlProgress"), F.col("PowerplayState"))
+        "MeritPoints", control_score(F.col("PowerplayStateControlProgress"), F.col("PowerplayState"))
     ).orderBy(F.col("timestamp").desc())
 
 

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from orrery.functions import json as J
 from orrery.operators.upsert import Stage, empty_like, keyed_replace, merge_latest, watermark_cutoff
 from orrery.plans.catalog import register
-from orrery.session import checkpoint_dir
 from orrery.sources.tables import table
 
 KEYS = ["user_id", "station"]
@@ -83,11 +82,6 @@ def _two_batches(spark, sf, parity):
     docked, _, _ = _feeds(ev)
     empty = empty_like(docked, [*KEYS, "ts", *COLS])
     first = station_latest(empty, ev.filter(F.col("ts") < F.lit(SPLIT).cast("timestamp_ntz")), parity)
-    # The first snapshot is a published version in a real run; cut lineage
-    # there (reliable checkpoint in the shared spark.checkpoint.dir) so the
-    # second merge and its cutoff read it instead of re-planning it twice.
-    checkpoint_dir(spark)
-    first = first.checkpoint(eager=True)
     return station_latest(first, ev, parity)
 
 

@@ -6,7 +6,6 @@ are given.  ``local_session`` exists for tests, the bench and examples.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -27,7 +26,8 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "orrery") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "orrery",
+                  checkpoint: str | None = None) -> SparkSession:
     """A local session for tests/bench: UI off, UTC, AQE on."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -37,10 +37,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # Small-scale local runs: let AQE keep post-shuffle parallelism even
-        # when a shuffle is only a few MB (cluster jobs keep the defaults).
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
     )
+    if checkpoint:
+        builder = builder.config("spark.checkpoint.dir", checkpoint)
     for k, v in SQL_DEFAULTS.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -51,18 +50,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the operator and must be used as is.  Only
-    when it is unset (local tests) do we create a scratch folder and set it.
+    On a cluster it must be set: a folder of one machine would not do.  Only a
+    local session without the setting gets a scratch folder of its own.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir: executors have folders of their own")
         d = tempfile.mkdtemp(prefix="orrery-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-path of the shared checkpoint folder for intermediate tables."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
+    return checkpoint_dir(spark).rstrip("/") + "/" + name

@@ -1,9 +1,7 @@
-"""Driver tables: one parquet file per table under an ``sf`` directory."""
+"""Driver tables: one Parquet file or folder per table under an ``sf`` directory."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 DRIVER_TABLES = (
@@ -11,20 +9,11 @@ DRIVER_TABLES = (
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-# One relation per (session, path), like a table registered once in a
-# catalog: the file listing and Parquet footer are read on first use only.
-_RELATIONS: dict[tuple, DataFrame] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one driver table.  Parquet: filters and projections reach the scan."""
-    path = os.path.abspath(os.path.join(sf_dir, f"{name}.parquet"))
-    key = (id(spark), spark.sparkContext.applicationId, path)
-    df = _RELATIONS.get(key)
-    if df is None:
-        df = spark.read.parquet(path)
-        _RELATIONS[key] = df
-    return df
+    """Read one driver table; ``sf_dir`` is any path Spark can read.  Filters and
+    projections reach the scan."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> None:

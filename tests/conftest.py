@@ -11,9 +11,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from orrery.session import local_session
 
-    s = local_session(cores="*", shuffle_partitions=8, app="orrery-tests")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="orrery-test-ckpt-"))
+    s = local_session(cores="*", shuffle_partitions=8, app="orrery-tests",
+                      checkpoint=tempfile.mkdtemp(prefix="orrery-test-ckpt-"))
     yield s
     s.stop()
 

@@ -78,4 +78,4 @@ def test_activities_and_rankings(spark, feed):
     assert adhoc.station_pad_configs(st).count() == 2
     hist = adhoc.history_of(jl, 1).collect()
     assert [r.timestamp for r in hist] == [T(2025, 9, 3, 12), T(2025, 9, 3, 10)]
-    assert "ControlPoints" in hist[0].asDict() and "Factions" not in hist[0].asDict()
+    assert "MeritPoints" in hist[0].asDict() and "Factions" not in hist[0].asDict()

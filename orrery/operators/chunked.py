@@ -106,11 +106,13 @@ def chunked_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str]
     return j.select(*df.columns, (F.col("__local") + F.col("__off")).alias(out))
 
 
-def with_lookback_context(df: DataFrame, ts: str, chunk_of: callable, lookback: Column) -> DataFrame:
-    """Rows plus copies of the rows within ``lookback`` of the next chunk,
-    tagged ``__ctx`` (context only).  ``chunk_of(col)`` maps a timestamp to
-    its chunk; the look-back must not exceed a chunk."""
+def with_lookback_context(df: DataFrame, ts: str, chunk_of: callable, lookback: Column,
+                          step: str = "1 DAY") -> DataFrame:
+    """Rows plus copies of the rows within ``lookback`` of later chunks, tagged
+    ``__ctx`` (context only).  ``chunk_of(col)`` maps a timestamp to its chunk,
+    which starts every ``step``; a look-back over several chunks copies a row
+    to each chunk in reach."""
     own = chunk_of(F.col(ts))
     ahead = chunk_of(F.col(ts) + lookback)
-    chunks = F.array_distinct(F.array(own, ahead))
+    chunks = F.array_distinct(F.concat(F.sequence(own, ahead, F.expr(f"INTERVAL {step}")), F.array(ahead)))
     return df.select("*", F.explode(chunks).alias(CHUNK)).withColumn("__ctx", F.col(CHUNK) != own)

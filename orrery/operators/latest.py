@@ -58,11 +58,14 @@ def latest_row(
 ) -> DataFrame:
     """The newest full row per key (DISTINCT ON ... ORDER BY ts DESC).
 
-    ``order`` lists the ordering columns, most significant first; append a
-    unique column as tie-break.  Output: keys followed by ``cols``.
+    ``order`` lists the ordering columns, most significant first, with a unique
+    one as tie-break.  A single column (a timestamp) is not trusted to be
+    unique: a hash of the row breaks its ties, whatever the row order.
+    Output: keys followed by ``cols``.
     """
     cols = list(cols) if cols is not None else [c for c in df.columns if c not in keys]
     packed = F.struct(*[F.col(c) for c in cols])
+    order = [*order, F.xxhash64(*[F.col(c) for c in cols])] if len(order) == 1 and cols else order
     return (
         df.groupBy(*keys)
         .agg(F.max_by(packed, _order(order)).alias("__row"))

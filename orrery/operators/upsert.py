@@ -112,11 +112,13 @@ def merge_latest(
     # expression instead of one Py4J call per node (the plan is identical).
     q = _q
     t = q(ts)
+    # Rows of one time: a hash of the row decides, not the order of arrival.
+    u = u.withColumn("__tie", F.xxhash64(*[F.col(c) for c in vcols]))
     aggs = [f"max_by(struct({', '.join(q(c) for c in vcols)}), CASE WHEN __stage = 0 THEN {t} END) AS __t"]
     for i in range(1, len(stages) + 1):
         aggs.append(f"max(CASE WHEN __stage = {i} THEN {t} END) AS {q(f'__s{i}_{ts}')}")
         for c in cols:
-            aggs.append(f"max_by({q(c)}, CASE WHEN __stage = {i} AND {q(c)} IS NOT NULL THEN {t} END) "
+            aggs.append(f"max_by({q(c)}, CASE WHEN __stage = {i} AND {q(c)} IS NOT NULL THEN struct({t}, __tie) END) "
                         f"AS {q(f'__s{i}_{c}')}")
     g = u.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
 

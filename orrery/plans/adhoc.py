@@ -167,7 +167,7 @@ def cycle_view(enclave: DataFrame, as_of: Column, offset: int = 0) -> tuple[Data
         F.coalesce("Powers", F.array().cast("array<string>")).alias("Powers"),
     ).orderBy(F.when(F.col("Power") == "Uncontrolled", 1).otherwise(0), "Power", "StarSystem")
     hist = cyc.select("StarSystem", "timestamp", "reinforcement", "undermining",
-                      F.monotonically_increasing_id().alias("__tb"))
+                      F.xxhash64("reinforcement", "undermining").alias("__tb"))
     hist = lookback_rates(hist, ["StarSystem"], "timestamp",
                           {"ReinforcementRate": "reinforcement", "UnderminingRate": "undermining"}, "__tb",
                           chunk_of=lambda c: F.date_trunc("day", c))

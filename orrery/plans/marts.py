@@ -70,11 +70,13 @@ def station_sources(docked: DataFrame, approach: DataFrame, location: DataFrame)
 def station_latest(target: DataFrame | None, docked: DataFrame, approach: DataFrame, location: DataFrame,
                    parity: bool = False, incremental: bool = True) -> DataFrame:
     """Q-B: merge docked, settlement approaches and docked locations into the
-    station snapshot, rows newer than ``max(target.timestamp) - 1 hour`` only.
+    station snapshot.
 
     ``parity=True``: a newer docking overwrites pads even with NULL (Q5), an
     approach resets type/distance and a location resets allegiance (Q4).
-    Default keeps the latest known value of every column.
+    and only rows newer than ``max(target.timestamp) - 1 hour`` count, so what
+    is lost depends on how batches are split.
+    Default keeps the latest known value of every column and loses no row.
     """
     d, a, loc = station_sources(docked, approach, location)
     if target is None:
@@ -94,7 +96,7 @@ def station_latest(target: DataFrame | None, docked: DataFrame, approach: DataFr
                         prefer_new=[c for c in cols if c not in placeholders]),
                   Stage(loc, prefer_new=cols)]
     out = merge_latest(target, stages, STATION_KEYS, "timestamp", cols,
-                       cutoff=watermark_cutoff(target, "timestamp"), incremental=incremental)
+                       cutoff=watermark_cutoff(target, "timestamp") if parity else None, incremental=incremental)
     return out.select(*STATION_COLS)
 
 
@@ -176,7 +178,8 @@ def enclave_activity(jl: DataFrame, names: DataFrame, parity: bool = False, chun
         chunk=day_chunk("timestamp") if chunked else None,
     )
     return clean.select(
-        "timestamp", "StarSystem", "ControllingPower", "Powers", "PowerplayState", "PowerplayConflictProgress",
+        "timestamp", "StarSystem", "ControllingPower", or_empty("Powers", "string").alias("Powers"), "PowerplayState",
+        "PowerplayConflictProgress",
         fix_control_progress("PowerplayStateControlProgress", "PowerplayState").alias("PowerplayStateControlProgress"),
         F.col("PowerplayStateReinforcement").alias("reinforcement"),
         F.col("PowerplayStateUndermining").alias("undermining"),

@@ -5,7 +5,7 @@ The station-latest merge of the reference is run over the event log: a
 settlement-approach feed (type 'Empty', no distance or pads) and views with
 value > 5 the docked-location feed (no allegiance or pads).  Two batches:
 events before 2024-01-16 build the first snapshot from nothing, then the
-whole log is merged into it with the 1-hour overlap cutoff.
+whole log is merged into it (in the parity form with a 1-hour overlap cutoff).
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ def _feeds(ev):
 
 
 def station_latest(target, ev, parity: bool):
-    """Q-B: three ordered MERGE stages into ``target`` with the T3 cutoff."""
+    """Q-B: three ordered MERGE stages into ``target``; the parity form has the T3 cutoff."""
     docked, approach, location = _feeds(ev)
     if parity:
         stages = [
@@ -74,7 +74,7 @@ def station_latest(target, ev, parity: bool):
             Stage(approach, keep_old=["pads", "station_type", "dist"], prefer_new=["market_id", "allegiance"]),
             Stage(location, prefer_new=COLS),
         ]
-    return merge_latest(target, stages, KEYS, "ts", COLS, cutoff=watermark_cutoff(target, "ts"))
+    return merge_latest(target, stages, KEYS, "ts", COLS, cutoff=watermark_cutoff(target, "ts") if parity else None)
 
 
 def _two_batches(spark, sf, parity):
@@ -134,8 +134,9 @@ def _merge_sql(parity):
                 "NULL::INTEGER AS pads, NULL::VARCHAR AS allegiance WHERE false)")
     for b, bf in ((1, f"ts < TIMESTAMP '{SPLIT}'"), (2, "true")):
         cut = f"cut{b}"
-        ctes.append(f"{cut} AS (SELECT coalesce(max(ts) - INTERVAL 1 HOUR, TIMESTAMP '1970-01-01') AS cutoff "
-                    f"FROM {target})")
+        # Only the parity form has an overlap cutoff.
+        lost = f"coalesce(max(ts) - INTERVAL 1 HOUR, TIMESTAMP '1970-01-01')" if parity else "min(TIMESTAMP '0001-01-01')"
+        ctes.append(f"{cut} AS (SELECT {lost} AS cutoff FROM " + (target if parity else "(SELECT 1)") + ")")
         srcs = [
             _src_sql("event_type = 'purchase'", "event_type", "value",
                      f"CASE WHEN value >= 10 THEN {_K} END", "props", bf),

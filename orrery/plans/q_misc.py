@@ -472,13 +472,13 @@ def faction_inline_counts(spark, sf):
       FROM files GROUP BY event_type),
     today AS (SELECT CAST(max(ts) AS DATE) + 3 AS today FROM events)
     SELECT event_type, CAST(latest_day AS TIMESTAMP) AS latest_day,
-           CAST(coalesce(least(greatest(date_diff('day', latest_day, today), 1), 30), 1) AS BIGINT) AS lookback_days
+           CAST(coalesce(greatest(date_diff('day', latest_day, today), 1), 1) AS BIGINT) AS lookback_days
     FROM latest, today
     """,
 )
 def landing_gap_q(spark, sf):
     """Per feed, the newest date found in landed file names and the days
-    to re-read (clamped to 1..30).  File names are derived from events (one
+    to re-read (at least 1, no upper limit).  File names are derived from events (one
     file per type and day); "today" is three days after the newest event."""
     from orrery.sources.coverage import date_from_name, lookback_days
 

@@ -33,13 +33,17 @@ def date_from_name(name: str | Column, pattern: str = r"(\d{4}-\d{2}-\d{2})") ->
     return F.try_to_date(F.nullif(F.regexp_extract(n, pattern, 1), F.lit("")), "yyyy-MM-dd")
 
 
-def lookback_days(latest_day: Column, today: Column, max_days: int = 30) -> Column:
-    """Days to re-read = clamp(today - latest, 1, max_days); 1 when nothing landed."""
-    gap = F.datediff(today, latest_day)
-    return F.coalesce(F.least(F.greatest(gap, F.lit(1)), F.lit(max_days)), F.lit(1))
+def lookback_days(latest_day: Column, today: Column, max_days: int | None = None) -> Column:
+    """Days to re-read = today - latest, at least 1; 1 when nothing landed.
+
+    ``max_days=30`` reproduces the usual clamp, which leaves older missing days
+    unread after a longer outage; by default there is none.
+    """
+    gap = F.greatest(F.datediff(today, latest_day), F.lit(1))
+    return F.coalesce(gap if max_days is None else F.least(gap, F.lit(max_days)), F.lit(1))
 
 
-def landing_gap(files: DataFrame, name_col: str, today: Column, max_days: int = 30) -> DataFrame:
+def landing_gap(files: DataFrame, name_col: str, today: Column, max_days: int | None = None) -> DataFrame:
     """S9 over a listing of landed files (e.g. ``_metadata.file_name``): newest
     date in any name and the look-back that follows from it."""
     latest = files.agg(F.max(date_from_name(name_col)).alias("latest_day"))

@@ -23,6 +23,7 @@ from orrery import schemas as S
 from orrery.functions import json as J
 from orrery.functions import normalize as N
 from orrery.functions.validate import validate_enum
+from orrery.operators.latest import latest_row
 
 RAW_FACTION = (
     "array<struct<Name string, Allegiance string, FactionState string, Government string, Influence double, "
@@ -53,6 +54,7 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], glob: str | None
     raw = reader.text(list(paths) if not isinstance(paths, str) else paths)
     return raw.select(
         F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_path").alias("__path"),
         F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__mid"),
@@ -67,14 +69,14 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
     block offsets with a window over that small table, and joined back.
     Within a block rows keep file order, so ``position = id - min(id)``.
     """
-    blocks = lines.groupBy("file", "__block").agg(
+    blocks = lines.groupBy("__path", "__block").agg(
         F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__m0")
     )
-    w = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("__path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-    out = lines.join(blocks.select("file", "__block", "__off", "__m0"), ["file", "__block"])
+    out = lines.join(blocks.select("__path", "__block", "__off", "__m0"), ["__path", "__block"])
     return out.withColumn("line_no", F.col("__off") + F.col("__mid") - F.col("__m0") + 1).drop(
-        "__off", "__m0", "__mid", "__block")
+        "__off", "__m0", "__mid", "__block", "__path")
 
 
 def line_counts(lines: DataFrame) -> DataFrame:
@@ -305,14 +307,16 @@ def systems_dump(spark: SparkSession, path: str) -> DataFrame:
     """S3: the populated-systems dump, one JSON array document.
 
     One gzip document is one task; land it once as Parquet and read that.
+    A repeated id counts once (K3).
     """
     body = S.BODY.simpleString()
     raw = spark.read.option("multiLine", True).schema(
         f"id64 bigint, name string, coords struct<x double, y double, z double>, bodies array<{body}>"
     ).json(path)
-    return raw.select(
+    rows = raw.select(
         F.col("id64").alias("Id64"),
         F.col("name").alias("Name"),
         F.array("coords.x", "coords.y", "coords.z").alias("StarPos"),
         F.col("bodies").alias("Bodies"),
     )
+    return latest_row(rows, ["Id64"], ["Name"])

@@ -8,9 +8,10 @@ pass 1 compares with) and the previous pass-1 survivor (what pass 2
 compares with).  Per-key Python is a small loop over that key's new rows
 of one micro batch; nothing is collected beyond them.
 
-Rows must arrive in event-time order per key across batches; a row older
-than the key's state is dropped (counted) — the batch job over the stored
-log is the source of truth for late data.
+All of a key's rows of one micro batch are put in order first, whatever the
+Arrow batch size.  A row older than the key's state cannot be compared any
+more; it comes out with ``late`` set, to be written to a side table and counted
+there (the batch job over the stored log is the source of truth for it).
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ OUT_SCHEMA = T.StructType([
     T.StructField("state", T.StringType()),
     T.StructField("r", T.LongType()),
     T.StructField("u", T.LongType()),
+    T.StructField("late", T.BooleanType()),
 ])
 STATE_SCHEMA = T.StructType([
     T.StructField("p_us", T.LongType()), T.StructField("p_state", T.StringType()),
@@ -57,12 +59,15 @@ def _clean_key(key, pdfs: Iterator[pd.DataFrame], state: GroupState, unoccupied:
     else:
         p_us = p_state = p_r = p_u = p_prog = q_us = q_r = q_u = None
     out = []
-    for pdf in pdfs:
-        pdf = pdf.sort_values("ts", kind="stable")
+    rows = pd.concat(list(pdfs), ignore_index=True)
+    # Equal times: by the other columns, so that the order of arrival is of no account.
+    for pdf in [rows.sort_values(["ts", "state", "r", "u", "prog"], kind="stable")]:
         for row in pdf.itertuples(index=False):
             us = int(pd.Timestamp(row.ts).value // 1000)
             if p_us is not None and us < p_us:
-                continue  # out of order for this key: left to the batch recompute
+                out.append((key[0], row.ts, row.state if isinstance(row.state, str) else None,
+                            None if pd.isna(row.r) else int(row.r), None if pd.isna(row.u) else int(row.u), True))
+                continue
             st = row.state if isinstance(row.state, str) else unoccupied
             r = None if pd.isna(row.r) else int(row.r)
             u = None if pd.isna(row.u) else int(row.u)
@@ -92,7 +97,7 @@ def _clean_key(key, pdfs: Iterator[pd.DataFrame], state: GroupState, unoccupied:
                 keep2 = changed or us >= _next_tick(q_us) or (us - q_us) > HOUR_US
             q_us, q_r, q_u = us, r, u
             if keep2:
-                out.append((key[0], row.ts, st, r, u))
+                out.append((key[0], row.ts, st, r, u, False))
     state.update((p_us, p_state, p_r, p_u, json.dumps(p_prog) if p_prog is not None else None, q_us, q_r, q_u))
     if out:
         yield pd.DataFrame(out, columns=[f.name for f in OUT_SCHEMA.fields])
@@ -104,8 +109,9 @@ def clean_counter_stream(df: DataFrame, key: str, ts: str, state: str, r: str, u
     """Streaming (or batch) counter cleaning with per-key state.
 
     Same rows as ``clean_counter_series`` (default semantics) for input in
-    event-time order.  ``progress`` is an array of (key, value) structs; it
-    travels as JSON.  Output columns: key, ts (TIMESTAMP), state, r, u.
+    event-time order across micro batches.  ``progress`` is an array of (key,
+    value) structs; it travels as JSON.  Output columns: key, ts (TIMESTAMP),
+    state, r, u and ``late`` (older than the key's state: not cleaned).
     """
     if control is not None:
         st = F.coalesce(F.col(state), F.lit("Unoccupied"))

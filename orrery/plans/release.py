@@ -10,10 +10,13 @@ manifest.  Every step is a Spark job over DataFrames.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orrery.operators.latest import latest_row
 from orrery.plans import marts
@@ -32,10 +35,39 @@ FEEDS = {
 }
 
 
-def ingest(spark: SparkSession, landed: str, policy: str = "fail") -> dict[str, DataFrame]:
-    """Gate and project every event type found under ``landed``."""
+def landed_files(spark: SparkSession, landed: str) -> DataFrame:
+    """``(path, length)`` of the feed files under ``landed``; contents are not read."""
+    return (spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl*").option("recursiveFileLookup", "true")
+            .load(landed).select("path", "length"))
+
+
+def new_files(spark: SparkSession, landed: str, warehouse: str) -> DataFrame:
+    """The landed files that no committed load has read.  A delta lands as a new
+    file; a known path with another length counts as new."""
+    files = landed_files(spark, landed)
+    done = committed(spark, warehouse)
+    return files.join(done.select("path", "length"), ["path", "length"], "left_anti")
+
+
+COMMITTED = "path string, length bigint, load string"
+
+
+def committed(spark: SparkSession, warehouse: str) -> DataFrame:
+    """Files read by earlier runs, with their load; empty before the first."""
+    root = os.path.join(warehouse, "loads")
+    spark.createDataFrame([], COMMITTED).write.mode("append").parquet(root)  # so that the folder exists
+    return spark.read.schema(COMMITTED).parquet(root)
+
+
+def ingest(spark: SparkSession, paths: str | list[str], policy: str = "fail") -> dict[str, DataFrame]:
+    """Gate and project every event type found in a folder or a list of files."""
     def load(sub: str) -> DataFrame:
-        return ndjson.gate(ndjson.read_lines(spark, landed, glob=f"*{sub}*.jsonl*"))
+        if isinstance(paths, str):
+            lines = ndjson.read_lines(spark, paths, glob=f"*{sub}*.jsonl*")
+        else:
+            mine = [p for p in paths if sub in p.rsplit("/", 1)[-1]]
+            lines = ndjson.read_lines(spark, mine) if mine else ndjson.no_lines(spark)
+        return ndjson.gate(lines)
 
     return {
         "jumps": ndjson.jumps(load(FEEDS["jumps"]), policy),
@@ -48,29 +80,68 @@ def ingest(spark: SparkSession, landed: str, policy: str = "fail") -> dict[str,
     }
 
 
+def load_logs(spark: SparkSession, landed: str, warehouse: str, policy: str = "fail") -> dict[str, DataFrame]:
+    """Read each landed file once into ``logs/<event>/load=<id>`` and return all
+    committed logs, read back from Parquet.
+
+    The load's id follows from its file list and its folders are overwritten,
+    so a run that died halfway is repeated without a trace; a load counts only
+    once its list is in ``loads``.
+    """
+    rows = new_files(spark, landed, warehouse).orderBy("path").collect()  # one row per new file
+    tables = ingest(spark, [r.path for r in rows], policy)
+    if rows:
+        load = hashlib.sha256(repr([(r.path, r.length) for r in rows]).encode()).hexdigest()[:16]
+        for name, df in tables.items():
+            by_day = df.drop("file").withColumn("event_date", F.to_date("timestamp"))
+            # One shuffle by day, so that a day is a few files and not one per task; a
+            # day with much of the rows is split.
+            by_day.hint("rebalance", F.col("event_date")).write.mode("overwrite").partitionBy("event_date").parquet(
+                os.path.join(warehouse, "logs", name, f"load={load}"))
+        spark.createDataFrame([(r.path, r.length, load) for r in rows], COMMITTED).write.mode("append").parquet(
+            os.path.join(warehouse, "loads"))
+    done = [r.load for r in committed(spark, warehouse).select("load").distinct().collect()]
+    return {name: read_log(spark, warehouse, name, df.drop("file").schema, done) for name, df in tables.items()}
+
+
+def read_log(spark: SparkSession, warehouse: str, name: str, schema, loads: list[str]) -> DataFrame:
+    """One event's log over the given loads; ``event_date`` prunes partitions."""
+    base = os.path.join(warehouse, "logs", name)
+    columns = [f.name for f in schema.fields]
+    if not loads:
+        return spark.createDataFrame([], schema)
+    dated = T.StructType([*schema.fields, T.StructField("event_date", T.DateType())])
+    parts = [spark.read.schema(dated).parquet(os.path.join(base, f"load={x}")) for x in sorted(loads)]
+    return reduce(DataFrame.unionByName, parts).select(*columns, "event_date")
+
+
 def build_release(spark: SparkSession, landed: str, warehouse: str, systems_dump: str, names_csv: str,
-                  generated_at: dt.datetime | None = None, station_snapshot: DataFrame | None = None,
-                  power: str | None = "Li Yong-Rui") -> str:
-    """Ingest -> append logs -> latest tables -> marts -> versioned publish.
+                  generated_at: dt.datetime | None = None, power: str | None = "Li Yong-Rui") -> str:
+    """New files -> logs -> latest tables and marts over all logs -> versioned publish.
 
-    ``warehouse`` receives ``logs/<event>`` (append, partitioned by day) and
-    ``release/v=<ts>/<mart>`` plus ``release/_manifest``.  Returns the
-    release folder.
+    ``warehouse`` receives ``logs/<event>`` (one folder per load, partitioned
+    by day), ``loads`` (the files read), ``latest/<table>`` and
+    ``release/v=<ts>/<mart>`` plus the manifest.  Raw files are parsed once;
+    everything else reads the Parquet logs, so two runs over one folder equal
+    one run, and a run with new files equals one run over all of them.
+    Returns the release folder.
     """
-    t = ingest(spark, landed)
-    for name in ("jumps", "location", "docked", "approach_settlement", "saasignalsfound"):
-        publish.append(t[name].drop("file"), os.path.join(warehouse, "logs", name))
-    # Keyed latest tables (K2): newest message per market / per system.
-    commodities = latest_row(t["commodities"].drop("file"), ["MarketId"], ["timestamp"])
-    publish.overwrite(latest_row(t["fss_signals"].drop("file"), ["SystemAddress"], ["timestamp"]),
-                      os.path.join(warehouse, "latest", "fsssignaldiscovered"), sort_by=["SystemAddress"])
+    t = {name: df.drop("event_date") for name, df in load_logs(spark, landed, warehouse).items()}
+
+    def latest(name: str, df: DataFrame, key: str) -> DataFrame:
+        path = os.path.join(warehouse, "latest", name)
+        publish.overwrite(df, path, sort_by=[key])
+        return spark.read.schema(df.schema).parquet(path)
 
+    # Keyed latest tables (K2): newest message per market / per system, stored once.
+    commodities = latest("commodities", latest_row(t["commodities"], ["MarketId"], ["timestamp"]), "MarketId")
+    latest("fsssignaldiscovered", latest_row(t["fss_signals"], ["SystemAddress"], ["timestamp"]), "SystemAddress")
     jl = marts.jumps_location(t["jumps"], t["location"])
-    sys_latest = marts.system_latest(jl)
-    stations = marts.station_latest(station_snapshot, t["docked"], t["approach_settlement"], t["location"])
-    populated = ndjson.systems_dump(spark, systems_dump)
+    sys_latest = latest("system", marts.system_latest(jl), "SystemAddress")
+    stations = latest("station", marts.station_latest(None, t["docked"], t["approach_settlement"], t["location"]), "SystemAddress")
+    populated = latest("populated", ndjson.systems_dump(spark, systems_dump), "Id64")
     names = spark.read.option("header", True).csv(names_csv)
-    systems = marts.systems(populated, sys_latest, stations)
+    systems = latest("systems", marts.systems(populated, sys_latest, stations), "SystemAddress")
     tables = {
         "systems": systems,
         "powerplay_support": marts.powerplay_support(sys_latest, power),
@@ -78,12 +149,16 @@ def build_release(spark: SparkSession, landed: str, warehouse: str, systems_dump
         "enclave_activity": marts.enclave_activity(jl, names),
         "settlements": marts.settlements(t["docked"], t["approach_settlement"]),
         "station_latest": stations,
+        "factions": marts.factions(jl),
     }
-    return publish.publish(
+    base = publish.publish(
         spark, os.path.join(warehouse, "release"), tables, generated_at,
         sort_by={"systems": ["SystemAddress"], "settlements": ["SystemAddress", "StationName"],
                  "enclave_activity": ["StarSystem", "timestamp"], "station_latest": ["SystemAddress"]},
     )
+    faction_export(jl, f"{base}/factions_csv")
+    publish.prune_versions(spark, os.path.join(warehouse, "release"), keep=2)
+    return base
 
 
 def faction_export(jl: DataFrame, path: str, since: str | None = None) -> None:

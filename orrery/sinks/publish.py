@@ -1,7 +1,7 @@
 """Table writes and versioned publication.
 
 Parquet has no transactions, so a release is a new folder per version and a
-small manifest written last; readers resolve the manifest, so they see the
+line in the manifest, added last; readers resolve the manifest, so they see the
 old or the new release, never half of one.  Everything here writes with
 Spark's distributed writers; the manifest is one tiny JSON file written by
 Spark as well (no driver-local file I/O), so any Hadoop-compatible shared
@@ -28,7 +28,9 @@ def append(df: DataFrame, path: str, partition_by: Sequence[str] = ("event_date"
     """
     if "event_date" in partition_by and "event_date" not in df.columns and ts_col:
         df = df.withColumn("event_date", F.to_date(ts_col))
-    df.write.mode("append").partitionBy(*partition_by).parquet(path)
+    # Rows of a day together: else every task writes a small file for every day.
+    # A day with much of the rows is split.
+    df.hint("rebalance", *[F.col(c) for c in partition_by]).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def overwrite(df: DataFrame, path: str, sort_by: Sequence[str] = (), partition_by: Sequence[str] = ()) -> None:
@@ -64,15 +66,20 @@ def publish(spark: SparkSession, root: str, tables: Mapping[str, DataFrame],
 
 
 def write_manifest(spark: SparkSession, root: str, manifest: Mapping) -> None:
-    """Write the manifest as one JSON text file (written last, replaced whole)."""
+    """Add one line to the manifest folder, as a file of its own.
+
+    Nothing is replaced: a reader between two releases sees the older one, and
+    a file counts only when Spark's commit has moved it into place.
+    """
     text = json.dumps(manifest, sort_keys=True)
     (spark.createDataFrame([(text,)], T.StructType([T.StructField("value", T.StringType())]))
-     .coalesce(1).write.mode("overwrite").text(f"{root.rstrip('/')}/_manifest"))
+     .coalesce(1).write.mode("append").text(f"{root.rstrip('/')}/_manifest"))
 
 
 def read_manifest(spark: SparkSession, root: str) -> dict:
-    rows = spark.read.text(f"{root.rstrip('/')}/_manifest").collect()
-    return json.loads(rows[0].value)
+    """The newest release's line (by version name; there is one line per release)."""
+    rows = spark.read.text(f"{root.rstrip('/')}/_manifest")
+    return json.loads(rows.orderBy(F.get_json_object("value", "$.version").desc(), F.col("value").desc()).first().value)
 
 
 def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -62,6 +62,13 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], glob: str | None
     )
 
 
+def no_lines(spark: SparkSession) -> DataFrame:
+    """An empty frame of the shape of :func:`read_lines`."""
+    none = spark.range(0).select(F.lit("").alias("value"), F.lit("").alias("file"))
+    return none.select("file", F.col("file").alias("__path"), F.lit(0).cast("long").alias("file_size"),
+                       F.lit(0).cast("long").alias("__block"), F.lit(0).cast("long").alias("__mid"), J.parse_once("value").alias("doc"))
+
+
 def with_line_numbers(lines: DataFrame) -> DataFrame:
     """1-based raw line number within each file, taken before any filter (Q1).
 

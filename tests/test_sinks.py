@@ -1,6 +1,8 @@
 import datetime as dt
 import os
+import shutil
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.sinks import publish, retention
@@ -93,7 +95,42 @@ def test_build_release_end_to_end(spark, tmpdir_path):
     assert publish.read_published(spark, root, "powerplay_support").count() == 1
     assert publish.read_published(spark, root, "infra_failures").count() == 1
     assert spark.read.parquet(os.path.join(wh, "logs", "jumps")).count() == 4
+    assert release.new_files(spark, landed, wh).count() == 0
     jl = spark.read.parquet(os.path.join(wh, "logs", "jumps"))
     out = os.path.join(tmpdir_path, "factions_csv")
-    release.faction_export(jl.drop("event_date"), out)
+    release.faction_export(jl.drop("event_date", "load"), out)
     assert spark.read.option("header", True).csv(out).count() == 2
+
+
+def _release_rows(spark, root):
+    out = {}
+    for name in publish.read_manifest(spark, root)["tables"]:
+        df = publish.read_published(spark, root, name)
+        out[name] = sorted(df.select(F.to_json(F.struct(*sorted(df.columns))).alias("j")).toPandas().j)
+    return out
+
+
+def test_release_accumulates(spark, tmpdir_path):
+    """Two runs over one folder equal one; new files in a second run equal one run over all."""
+    from orrery.plans import release
+    from tests.feed import build_feed
+
+    landed = os.path.join(tmpdir_path, "landed")
+    build_feed(spark, landed)
+    dump, names = os.path.join(landed, "systemsPopulated.json"), os.path.join(landed, "enclave.csv")
+
+    def run(folder, wh, day):
+        release.build_release(spark, folder, wh, dump, names, generated_at=dt.datetime(2025, 9, day))
+        return _release_rows(spark, os.path.join(wh, "release"))
+
+    whole = run(landed, os.path.join(tmpdir_path, "one"), 4)
+    assert whole["systems"] and run(landed, os.path.join(tmpdir_path, "one"), 5) == whole
+
+    part, wh = os.path.join(tmpdir_path, "part"), os.path.join(tmpdir_path, "two")
+    os.makedirs(part)
+    files = sorted(f for f in os.listdir(landed) if ".jsonl" in f)
+    for n, batch in enumerate((files[::2], files[1::2])):
+        for f in batch:
+            shutil.copy(os.path.join(landed, f), part)
+        got = run(part, wh, 6 + n)
+    assert got == whole

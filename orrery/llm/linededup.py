@@ -57,11 +57,11 @@ def _wide(line: str) -> Column:
 
 
 def _shingles(wide: str) -> Column:
-    """The set of hashed shingles of a ``_wide`` column."""
+    """The hashed shingles of a ``_wide`` column, repeats included."""
     width = 2 * SHINGLE
-    return F.array_distinct(F.transform(
+    return F.transform(
         F.sequence(F.lit(1), F.greatest(F.length(wide) - width + 1, F.lit(1)), F.lit(2)),
-        lambda at: F.xxhash64(F.substring(F.col(wide), at, F.lit(width)))))
+        lambda at: F.xxhash64(F.substring(F.col(wide), at, F.lit(width))))
 
 
 def _bands(lines: DataFrame) -> DataFrame:
@@ -141,9 +141,9 @@ def links(lines: DataFrame) -> DataFrame:
     one = texts.select(F.col("h").alias("a"), _wide("line").alias("wide_a"))
     two = texts.select(F.col("h").alias("b"), _wide("line").alias("wide_b"))
     sets = pairs.join(one, "a").join(two, "b").select("a", "b", _shingles("wide_a").alias("x"), _shingles("wide_b").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return store(sets.select("a", "b", common.alias("c"), F.size("x").alias("nx"), F.size("y").alias("ny"))
-                 .where(F.col("c") >= F.lit(SIMILARITY) * (F.col("nx") + F.col("ny") - F.col("c"))).select("a", "b"), "line-links")
+    # Set operations drop repeats themselves.
+    similar = F.size(F.array_intersect("x", "y")) >= F.lit(SIMILARITY) * F.size(F.array_union("x", "y"))
+    return store(sets.where(similar).select("a", "b"), "line-links")
 
 
 def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ from orrery.operators.timeseries import clean_counter_series, with_deltas
 from orrery.plans.catalog import register
 from orrery.plans.q_nested import market_docs, system_docs
 from orrery.plans.q_series import _CLEAN_SQL, series_log
-from orrery.plans.q_spatial import star_systems, support_pairs
+from orrery.plans.q_spatial import SUPPORT_SQL, star_systems, support_pairs
 from orrery.sources.tables import table
 
 
@@ -62,9 +62,7 @@ def ring_hotspots(spark, sf):
                     F.col("l_linenumber").cast("string")).alias("h_ring"),
         F.col("l_quantity").alias("signals"),
     )
-    # Join on the order only (the rings side is already partitioned by it),
-    # then match ring names within the order: at most a few lines each side.
-    j = rings.join(hot, F.col("l_orderkey") == F.col("h_order")).filter(F.col("name_1") == F.col("h_ring"))
+    j = rings.join(hot, (F.col("l_orderkey") == F.col("h_order")) & (F.col("name_1") == F.col("h_ring")))
     return j.select("l_orderkey", "name", "name_1", "type", "signals")
 
 
@@ -205,54 +203,30 @@ def clean_series_diagnostics(spark, sf):
 
 @register(
     "support_lookup",
-    oracle="""
-    WITH s AS (
-      SELECT vec_id AS system_id,
-             [CAST(embedding[1] AS DOUBLE) * 100, CAST(embedding[2] AS DOUBLE) * 100,
-              CAST(embedding[3] AS DOUBLE) * 100] AS star_pos,
-             CASE WHEN label <= 1 THEN 'Stronghold' WHEN label <= 4 THEN 'Fortified'
-                  WHEN label <= 6 THEN 'Exploited' ELSE 'Unoccupied' END AS state,
-             CASE WHEN label <= 6 THEN p[label + 1] END AS controlling_power,
-             [p[label + 1], p[10 - label]] AS powers
-      FROM embeddings, (SELECT ['A. Lavigny-Duval', 'Aisling Duval', 'Archon Delaine', 'Denton Patreus',
-                                'Edmund Mahon', 'Felicia Winters', 'Jerome Archer', 'Li Yong-Rui',
-                                'Nakato Kaine', 'Pranav Antal', 'Yuri Grom', 'Zemina Torval'] AS p) pw),
-    supporting AS (SELECT *, CASE WHEN state = 'Stronghold' THEN 30 ELSE 20 END AS max_distance
-                   FROM s WHERE state IN ('Stronghold', 'Fortified')),
-    supported AS (SELECT system_id, star_pos, unnest(powers) AS power FROM s
-                  WHERE len(powers) > 0 AND state IN ('Exploited', 'Unoccupied')),
-    pairs AS (
-      SELECT t1.system_id AS supporting_id, t2.system_id AS supported_id,
-             sqrt((t2.star_pos[1] - t1.star_pos[1]) * (t2.star_pos[1] - t1.star_pos[1])
-                + (t2.star_pos[2] - t1.star_pos[2]) * (t2.star_pos[2] - t1.star_pos[2])
-                + (t2.star_pos[3] - t1.star_pos[3]) * (t2.star_pos[3] - t1.star_pos[3])) AS distance
-      FROM supporting t1 JOIN supported t2 ON t1.controlling_power = t2.power
-      WHERE sqrt((t2.star_pos[1] - t1.star_pos[1]) * (t2.star_pos[1] - t1.star_pos[1])
-               + (t2.star_pos[2] - t1.star_pos[2]) * (t2.star_pos[2] - t1.star_pos[2])
-               + (t2.star_pos[3] - t1.star_pos[3]) * (t2.star_pos[3] - t1.star_pos[3])) <= t1.max_distance),
-    who AS (SELECT min(supporting_id) AS id FROM pairs)
-    SELECT 'supported' AS direction, p.supported_id AS other_id, s.state AS other_state,
-           round(p.distance, 6) AS distance
-    FROM pairs p JOIN s ON s.system_id = p.supported_id WHERE p.supporting_id = (SELECT id FROM who)
-    UNION ALL
-    SELECT 'supporting' AS direction, p.supporting_id AS other_id, s.state AS other_state,
-           round(p.distance, 6) AS distance
-    FROM pairs p JOIN s ON s.system_id = p.supporting_id
-    WHERE p.supported_id IN (SELECT supported_id FROM pairs WHERE supporting_id = (SELECT id FROM who))
+    oracle=f"""
+    WITH pairs AS ({SUPPORT_SQL}),
+    hero AS (SELECT supported_id FROM pairs WHERE supporting_id = (SELECT min(supporting_id) FROM pairs))
+    SELECT direction, other_id,
+           CASE WHEN k <= 1 THEN 'Stronghold' WHEN k <= 4 THEN 'Fortified' WHEN k <= 6 THEN 'Exploited' ELSE 'Unoccupied' END
+             AS other_state, round(distance, 6) AS distance
+    FROM (SELECT 'supported' AS direction, supported_id AS other_id, supported_label AS k, distance
+          FROM pairs WHERE supporting_id = (SELECT min(supporting_id) FROM pairs)
+          UNION ALL
+          SELECT 'supporting', supporting_id, 9 - supported_label, distance FROM pairs SEMI JOIN hero USING (supported_id))
     """,
 )
 def support_lookup(spark, sf):
     """Q-X: the systems one system supports, and everything supporting those,
     with the dimension attached (J5) — lookups on the pair table."""
-    systems = star_systems(spark, sf)
-    pairs = support_pairs(systems)
-    who = pairs.agg(F.min("supporting_id")).scalar()
+    systems = star_systems(spark, sf).drop("embedding")
+    # The one system first: its pairs are a range join with one side of a row.
+    who = support_pairs(systems).agg(F.min("supporting_id")).scalar()
+    mine = support_pairs(systems, supporting=F.col("system_id") == who)
+    near = mine.select(F.col("supported_id").alias("sid")).distinct()
+    pairs = support_pairs(systems, supported=systems.join(near, F.col("system_id") == F.col("sid"), "left_semi"))
     dim = systems.select(F.col("system_id").alias("other_id"), F.col("state").alias("other_state"))
-    mine = pairs.filter(F.col("supporting_id") == who)
     a = mine.select(F.lit("supported").alias("direction"), F.col("supported_id").alias("other_id"), "distance")
-    b = pairs.join(mine.select(F.col("supported_id").alias("sid")).distinct(),
-                   F.col("supported_id") == F.col("sid"), "left_semi").select(
-        F.lit("supporting").alias("direction"), F.col("supporting_id").alias("other_id"), "distance")
+    b = pairs.select(F.lit("supporting").alias("direction"), F.col("supporting_id").alias("other_id"), "distance")
     out = a.unionByName(b).join(dim, "other_id")
     return out.select("direction", "other_id", "other_state", F.round("distance", 6).alias("distance"))
 

@@ -109,55 +109,17 @@ def _cap(name: str):
 
 @register(
     "normalise_codes",
-    oracle="""
-    WITH raw AS (
-      SELECT c_custkey,
-             '$economy_' || upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || ';' AS eco,
-             CASE WHEN c_acctbal < 100 THEN '$economy_UNKNOWN_' || c_custkey ELSE NULL END AS eco2,
-             '$government_' || upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || ';'
-               AS gov,
-             CASE WHEN c_acctbal < 0 THEN '' ELSE '$faction_' || c_mktsegment || ';' END AS alg,
-             CASE WHEN c_acctbal < 0 THEN '$GAlAXY_MAP_INFO_state_anarchy;'
-                  WHEN c_acctbal < 2000 THEN '$SYSTEM_SECURITY_low;'
-                  WHEN c_acctbal < 5000 THEN '$SYSTEM_SECURITY_medium;'
-                  WHEN c_acctbal < 8000 THEN '$SYSTEM_SECURITY_high;'
-                  ELSE '$GALAXY_MAP_INFO_state_lawless;' END AS sec,
-             CASE WHEN c_nationkey < 3 THEN '' WHEN c_nationkey < 6 THEN 'Megaship' ELSE 'Orbis' END AS st,
-             CAST(CAST(floor(c_acctbal / 3000) AS BIGINT) AS VARCHAR) AS br
-      FROM customer),
-    n AS (
-      SELECT c_custkey,
-             CASE WHEN eco LIKE '$economy_UNKNOWN%' THEN 'Unknown'
-                  WHEN eco LIKE '$economy_%' THEN regexp_replace(regexp_replace(eco, '^\\$economy_', ''), ';$', '')
-                  ELSE 'Unknown' END AS economy,
-             CASE WHEN eco2 LIKE '$economy_UNKNOWN%' THEN 'Unknown'
-                  WHEN eco2 LIKE '$economy_%' THEN regexp_replace(regexp_replace(eco2, '^\\$economy_', ''), ';$', '')
-                  ELSE 'Unknown' END AS second_economy,
-             regexp_replace(regexp_replace(gov, '^\\$government_', ''), ';$', '') AS government,
-             CASE WHEN alg = '' THEN 'None'
-                  ELSE regexp_replace(regexp_replace(alg, '^\\$faction_', ''), ';$', '') END AS allegiance,
-             CASE WHEN sec LIKE '%$SYSTEM_SECURITY_high%' THEN 'High'
-                  WHEN sec LIKE '%$SYSTEM_SECURITY_low%' THEN 'Low'
-                  WHEN sec LIKE '%$SYSTEM_SECURITY_medium%' THEN 'Medium'
-                  WHEN sec LIKE '%$GAlAXY_MAP_INFO_state_anarchy%' THEN 'Anarchy'
-                  WHEN sec LIKE '%$GALAXY_MAP_INFO_state_lawless%' THEN 'Lawless'
-                  ELSE 'Unknown' END AS security,
-             CASE WHEN st = '' THEN 'Empty' WHEN st = 'Megaship' THEN 'MegaShip' ELSE st END AS station_type,
-             CASE WHEN br IN ('0', '') THEN 'None' WHEN br = '1' THEN 'Low' WHEN br = '2' THEN 'Med'
-                  WHEN br = '3' THEN 'High' END AS bracket
-      FROM raw)
-    SELECT c_custkey, economy, second_economy, government, allegiance, security, station_type, bracket,
-           CASE WHEN economy IS NULL OR economy = '' THEN NULL
-                WHEN economy IN ('Service', 'HighTech', 'Tourism', 'Military', 'Industrial', 'Extraction', 'Colony',
-                                 'None', 'Refinery', 'Agri', 'Terraforming', 'Undefined', 'Carrier', 'Rescue',
-                                 'Prison', 'Engineer', 'Repair', 'Damaged', 'Unknown') THEN economy END
-             AS economy_valid,
-           CASE WHEN government IS NULL OR government = ''
-                     OR government IN ('Cooperative', 'Communism', 'PrisonColony', 'Patronage', 'None', 'Feudal',
-                                       'Democracy', 'Confederacy', 'Dictatorship', 'Anarchy', 'Theocracy',
-                                       'Corporate', 'Prison', 'Engineer', 'Carrier', 'Megaconstruction', 'Undefined')
-                THEN NULL ELSE 'unknown' END AS government_reason
-    FROM n
+    oracle=f"""
+    WITH sec(low, security) AS (VALUES (-1e18, 'Anarchy'), (0, 'Low'), (2000, 'Medium'), (5000, 'High'), (8000, 'Lawless')),
+    st(low, station_type) AS (VALUES (-1, 'Empty'), (3, 'MegaShip'), (6, 'Orbis')),
+    br(k, bracket) AS (VALUES (0, 'None'), (1, 'Low'), (2, 'Med'), (3, 'High')),
+    c AS (SELECT *, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS word FROM customer)
+    SELECT c_custkey, word AS economy, 'Unknown' AS second_economy, word AS government,
+           if(c_acctbal < 0, 'None', c_mktsegment) AS allegiance, security, station_type, bracket,
+           if(list_contains({S.ECONOMY}, word), word, NULL) AS economy_valid,
+           if(list_contains({S.GOVERNMENT}, word), NULL, 'unknown') AS government_reason
+    FROM c ASOF JOIN sec ON c_acctbal >= sec.low ASOF JOIN st ON c_nationkey >= st.low
+           LEFT JOIN br ON floor(c_acctbal / 3000) = k
     """,
 )
 def normalise_codes(spark, sf):

@@ -47,42 +47,17 @@ def market_docs(lineitem):
 @register(
     "explode_join_mart",
     oracle="""
-    WITH fac AS (
-      SELECT o_custkey, o_orderpriority, list_sort(array_agg(DISTINCT o_orderstatus)) AS active_states,
-             max(o_orderdate) AS ts
-      FROM orders GROUP BY o_custkey, o_orderpriority),
-    sys_doc AS (
-      SELECT o_custkey, max(ts) AS ts,
-             array_agg({'name': o_orderpriority, 'active_states': active_states}) AS factions
-      FROM fac GROUP BY o_custkey),
-    infra AS (
-      SELECT DISTINCT o_custkey AS system, name AS faction, ts AS infra_ts
-      FROM (SELECT o_custkey, ts, UNNEST(factions, recursive := true) FROM sys_doc) f
-      WHERE list_has_any(active_states, ['F'])),
-    stations AS (
-      SELECT o_custkey AS system, 'S' || o_orderkey AS station, o_orderkey AS market_id,
-             o_orderpriority AS faction
-      FROM orders WHERE o_orderkey IS NOT NULL),
-    mk AS (
-      SELECT l_orderkey, max(l_shipdate) AS market_ts,
-             array_agg({'name': CAST(l_partkey AS VARCHAR), 'buy_price': l_extendedprice,
-                        'stock': l_quantity, 'flag': l_returnflag}) AS commodities
-      FROM lineitem GROUP BY l_orderkey),
-    comm AS (SELECT l_orderkey, market_ts, UNNEST(commodities, recursive := true) FROM mk),
-    swc AS (
-      SELECT s.system, s.station, s.market_id, s.faction, i.infra_ts, c.market_ts,
-             c.name || ':' || CAST(round(c.buy_price * 100) AS BIGINT) || ':'
-               || CAST(round(c.stock) AS BIGINT) AS item
-      FROM stations s JOIN infra i ON s.system = i.system AND s.faction = i.faction
-      JOIN comm c ON s.market_id = c.l_orderkey
-      WHERE c.flag IN ('A', 'R') AND c.stock > 0),
-    wash AS (
-      SELECT system, station, market_id, faction,
-             array_to_string(list_sort(array_agg(item)), ';') AS commodities,
-             max(infra_ts) AS infra_ts, max(market_ts) AS market_ts
-      FROM swc GROUP BY ALL)
-    SELECT w.*, c.c_mktsegment AS power, c.c_nationkey AS state
-    FROM wash w JOIN customer c ON c.c_custkey = w.system
+    SELECT o.o_custkey AS system, 'S' || o.o_orderkey AS station, o.o_orderkey AS market_id, o.o_orderpriority AS faction,
+           string_agg(i.item, ';' ORDER BY i.item) AS commodities, any_value(last_order) AS infra_ts, any_value(i.last_ship) AS market_ts,
+           any_value(c_mktsegment) AS power, any_value(c_nationkey) AS state
+    FROM (SELECT *, max(o_orderdate) OVER (PARTITION BY o_custkey) AS last_order,
+                 bool_or(o_orderstatus = 'F') OVER (PARTITION BY o_custkey, o_orderpriority) AS failing FROM orders) o
+    JOIN (SELECT l_orderkey, l_returnflag, l_quantity, max(l_shipdate) OVER (PARTITION BY l_orderkey) AS last_ship,
+                 printf('%d:%d:%d', l_partkey, CAST(round(l_extendedprice * 100) AS BIGINT), CAST(round(l_quantity) AS BIGINT)) AS item
+          FROM lineitem) i ON i.l_orderkey = o.o_orderkey AND i.l_returnflag <> 'N' AND i.l_quantity > 0
+    JOIN customer ON c_custkey = o.o_custkey
+    WHERE failing
+    GROUP BY o.o_custkey, o.o_orderkey, o.o_orderpriority
     """,
     headline=True,
 )
@@ -100,9 +75,9 @@ def explode_join_mart(spark, sf):
         F.col("o_orderkey").alias("market_id"),
         F.col("o_orderpriority").alias("faction"),
     )
-    comm = inline_rows(market_docs(table(spark, sf, "lineitem")), "commodities").filter(
-        F.col("flag").isin("A", "R") & (F.col("stock") > 0)
-    )
+    # Goods are filtered inside the list, so only wanted ones become rows.
+    wanted = F.filter("commodities", lambda c: c["flag"].isin("A", "R") & (c["stock"] > 0))
+    comm = inline_rows(market_docs(table(spark, sf, "lineitem")).withColumn("commodities", wanted), "commodities")
     item = F.concat_ws(
         ":",
         F.col("name"),
@@ -118,7 +93,7 @@ def explode_join_mart(spark, sf):
     cust = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("system"), F.col("c_mktsegment").alias("power"), F.col("c_nationkey").alias("state")
     )
-    return wash.join(cust, "system").orderBy(F.col("infra_ts").desc(), F.col("market_ts").desc())
+    return wash.join(cust, "system")
 
 
 @register(

@@ -51,24 +51,54 @@ def series_log(spark, sf):
     )
 
 
-_SERIES_SQL = """
-  SELECT user_id, ts, event_id,
-         CASE event_type WHEN 'view' THEN 'Unoccupied' WHEN 'signup' THEN NULL
-                         WHEN 'purchase' THEN 'Fortified' ELSE 'Exploited' END AS state,
-         CAST(floor(value) AS INTEGER) AS r,
-         CAST(json_extract_string(props, '$.k') AS INTEGER) AS u,
-         CASE WHEN event_type <> 'error' THEN value * 30 END AS control,
-         map_from_entries([(event_type, value)]) AS prog
-  FROM events
+_OBS_SQL = """
+  SELECT user_id, ts, event_type, value, raw, coalesce(raw, 'Unoccupied') AS state, r, u, control,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n
+  FROM (SELECT *, CAST(floor(value) AS INTEGER) AS r, CAST(json_extract_string(props, '$.k') AS INTEGER) AS u,
+               if(event_type <> 'error', value * 30, NULL) AS control
+        FROM events LEFT JOIN (VALUES ('view', 'Unoccupied'), ('purchase', 'Fortified'), ('click', 'Exploited'),
+                                      ('error', 'Exploited')) s(event_type, raw) USING (event_type)) e
 """
 
-_FIX_SQL = """
-  CASE WHEN control > 1000 THEN
-         CASE WHEN state = 'Exploited' THEN control - 4294967296 / 349999
-              WHEN state = 'Fortified' THEN control - 4294967296 / 650000
-              WHEN state = 'Stronghold' THEN control - 4294967296 / 1000000 END
-       ELSE control END AS control_progress
-"""
+# The weeks since the first reset after the epoch (a Thursday, 07:00).
+_WEEK = "((epoch_us({0}.ts) - 25200000000) // 604800000000)"
+# The literal formula's tick for a previous row, and whether it lies between both rows.
+_LIT = "(604800000000 * ((epoch_us(p.ts) - 111600000000) // 604800000000) + 630000000000)"
+
+
+def _clean_sql(parity: bool) -> str:
+    """The cleaning as two passes of joins with the row before: the rules as
+    stated in the operator, over one-entry progress maps, which grow when type
+    and sign of the change say so."""
+    if parity:
+        tick = f"(epoch_us(c.ts) >= {_LIT} AND epoch_us(p.ts) < {_LIT})"
+        known = "raw NOT IN ('Fortified', 'Exploited', 'Stronghold') OR control IS NOT NULL"
+        first = f"""c.state <> 'Unoccupied' OR p.raw <> 'Unoccupied' OR (c.event_type = p.event_type AND c.value > p.value)
+                    OR (c.r >= p.r AND c.u >= p.u) OR {tick}"""
+        second = f"c.state = 'Unoccupied' OR (c.r > p.r AND c.u > p.u) OR {tick} OR c.ts > p.ts + INTERVAL 1 HOUR"
+    else:
+        tick = f"{_WEEK.format('c')} > {_WEEK.format('p')}"
+        known = "state NOT IN ('Fortified', 'Exploited', 'Stronghold') OR control IS NOT NULL"
+        first = f"""p.n IS NULL OR {tick} OR if(c.state = 'Unoccupied' AND p.state = 'Unoccupied',
+                      c.event_type = p.event_type AND c.value > p.value,
+                      NOT coalesce((c.r < p.r AND c.u IS NOT NULL AND p.u IS NOT NULL)
+                                   OR (c.u < p.u AND c.r IS NOT NULL AND p.r IS NOT NULL), false))"""
+        second = f"""c.state = 'Unoccupied' OR p.n IS NULL OR {tick} OR c.ts > p.ts + INTERVAL 1 HOUR
+                     OR coalesce(c.r <> p.r OR c.u <> p.u, true)"""
+    return f"""
+    WITH obs AS (SELECT * REPLACE (row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n) FROM ({_OBS_SQL}) WHERE {known}),
+    fresh AS (
+      SELECT c.* REPLACE (row_number() OVER (PARTITION BY c.user_id ORDER BY c.ts) AS n)
+      FROM obs c LEFT JOIN obs p ON p.user_id = c.user_id AND p.n = c.n - 1 WHERE {first}),
+    caps(state, cap) AS (VALUES ('Exploited', 349999), ('Fortified', 650000), ('Stronghold', 1000000))
+    SELECT c.user_id, c.ts, c.state, c.r AS reinforcement, c.u AS undermining,
+           if(c.control > 1000, c.control - 4294967296 / cap, c.control) AS control_progress
+    FROM fresh c LEFT JOIN fresh p ON p.user_id = c.user_id AND p.n = c.n - 1 LEFT JOIN caps ON caps.state = c.state
+    WHERE {second}
+    """
+
+
+_CLEAN_SQL = _clean_sql(False)
 
 
 def _clean(spark, sf, parity):
@@ -85,40 +115,6 @@ def _clean(spark, sf, parity):
     )
 
 
-_TICK = "(time_bucket(INTERVAL '7 days', prev_ts, TIMESTAMP '1970-01-01 07:00:00') + INTERVAL '7 days')"
-_GREW = """CASE WHEN prog IS NULL THEN NULL ELSE coalesce(len(list_filter(map_keys(prog),
-             lambda k: prev_prog[k] IS NOT NULL AND prog[k] > prev_prog[k])) > 0, false) END"""
-
-
-_CLEAN_SQL = f"""
-    WITH src AS ({_SERIES_SQL}),
-    pre AS (SELECT * FROM src
-            WHERE coalesce(state, 'Unoccupied') NOT IN ('Fortified', 'Exploited', 'Stronghold')
-               OR control IS NOT NULL),
-    p1 AS (
-      SELECT user_id, ts, event_id, r, u, control, coalesce(state, 'Unoccupied') AS state, prog,
-             lag(coalesce(state, 'Unoccupied')) OVER w AS prev_state,
-             lag(prog) OVER w AS prev_prog,
-             r - lag(r) OVER w AS dr, u - lag(u) OVER w AS du, lag(ts) OVER w AS prev_ts
-      FROM pre WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-    s1 AS (
-      SELECT * FROM p1
-      WHERE CASE WHEN coalesce(state = 'Unoccupied' AND prev_state = 'Unoccupied', false)
-                 THEN coalesce({_GREW}, false) OR coalesce(ts >= {_TICK}, false)
-                 ELSE ((dr >= 0 AND du >= 0) OR dr IS NULL OR du IS NULL)
-                      OR coalesce(ts >= {_TICK}, false) OR prev_ts IS NULL END),
-    p2 AS (
-      SELECT user_id, ts, r, u, control, state,
-             r - lag(r) OVER w AS dr, u - lag(u) OVER w AS du, lag(ts) OVER w AS prev_ts
-      FROM s1 WINDOW w AS (PARTITION BY user_id ORDER BY ts))
-    SELECT user_id, ts, state, r AS reinforcement, u AS undermining, {_FIX_SQL}
-    FROM p2
-    WHERE state = 'Unoccupied' OR prev_ts IS NULL OR coalesce(dr <> 0 OR du <> 0, true)
-       OR coalesce(ts >= {_TICK}, false)
-       OR coalesce(epoch_us(ts) - epoch_us(prev_ts) > 3600000000, false)
-    """
-
-
 @register(
     "clean_series",
     oracle=_CLEAN_SQL,
@@ -128,35 +124,9 @@ def clean_series(spark, sf):
     return _clean(spark, sf, parity=False)
 
 
-_LIT_TICK = "(date_trunc('week', prev_ts + INTERVAL '3 days' - INTERVAL '7 hours') + INTERVAL '3 days 7 hours')"
-
-
 @register(
     "clean_series_parity",
-    oracle=f"""
-    WITH src AS ({_SERIES_SQL}),
-    diff AS (
-      SELECT * EXCLUDE (state), coalesce(state, 'Unoccupied') AS state,
-             r - lag(r) OVER w AS dr, u - lag(u) OVER w AS du, lag(ts) OVER w AS prev_ts,
-             lag(state) OVER w AS prev_state, lag(prog) OVER w AS prev_prog
-      FROM src
-      WHERE state NOT IN ('Fortified', 'Exploited', 'Stronghold') OR control IS NOT NULL
-      WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-    monotonic AS (
-      SELECT * EXCLUDE (dr, du, prev_ts),
-             r - lag(r) OVER w AS dr, u - lag(u) OVER w AS du, lag(ts) OVER w AS prev_ts
-      FROM diff
-      WHERE (NOT (state = 'Unoccupied' AND prev_state = 'Unoccupied')
-               OR array_has([prog[k] > prev_prog[k] FOR k IN map_keys(prog)
-                             IF element_at(prev_prog, k) IS NOT NULL], true))
-         OR ((dr >= 0 AND du >= 0) OR (ts >= {_LIT_TICK} AND prev_ts < {_LIT_TICK}))
-      WINDOW w AS (PARTITION BY user_id ORDER BY ts))
-    SELECT user_id, ts, state, r AS reinforcement, u AS undermining, {_FIX_SQL}
-    FROM monotonic
-    WHERE state = 'Unoccupied'
-       OR ((dr > 0 AND du > 0) OR (ts >= {_LIT_TICK} AND prev_ts < {_LIT_TICK})
-           OR (ts - prev_ts > INTERVAL '1 hours'))
-    """,
+    oracle=_clean_sql(True),
 )
 def clean_series_parity(spark, sf):
     return _clean(spark, sf, parity=True)
@@ -214,24 +184,22 @@ def rolling_8h_rate(spark, sf):
 @register(
     "state_sessions",
     oracle="""
-    WITH flagged AS (
-      SELECT user_id, ts, value, event_type, event_type = 'error' AS is_in,
-             lag(event_type = 'error', 1, false) OVER w AS was_in,
-             lead(event_type = 'error', 1, true) OVER w AS still_in
-      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-    runs AS (
-      SELECT *, CAST(sum(CASE WHEN is_in AND NOT was_in THEN 1 ELSE 0 END)
-                  OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS session_id
-      FROM flagged WHERE is_in OR was_in)
-    SELECT user_id, session_id,
-           min(ts) AS start_ts,
-           max(CASE WHEN is_in AND NOT still_in THEN ts END) AS end_ts,
-           count(*) AS n_rows,
-           round(avg(value), 6) AS avg_measure,
-           array_to_string(list_sort(array_agg(DISTINCT event_type)), ',') AS labels,
-           (epoch_us(max(CASE WHEN is_in AND NOT still_in THEN ts END)) - epoch_us(min(ts))) / 1e6 AS duration_s
-    FROM runs WHERE session_id > 0
-    GROUP BY user_id, session_id
+    WITH seq AS (
+      SELECT user_id, ts, value, event_type, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n
+      FROM events),
+    starts AS (
+      SELECT c.user_id, c.n, row_number() OVER (PARTITION BY c.user_id ORDER BY c.n) AS session_id
+      FROM seq c LEFT JOIN seq p ON p.user_id = c.user_id AND p.n = c.n - 1 WHERE c.bad AND NOT coalesce(p.bad, false)),
+    members AS (
+      SELECT c.*, if(c.bad AND NOT nx.bad, c.ts, NULL) AS closing
+      FROM seq c LEFT JOIN seq p ON p.user_id = c.user_id AND p.n = c.n - 1
+                 LEFT JOIN seq nx ON nx.user_id = c.user_id AND nx.n = c.n + 1
+      WHERE c.bad OR p.bad)
+    SELECT m.user_id, s.session_id, min(m.ts) AS start_ts, max(closing) AS end_ts, count(*) AS n_rows,
+           round(avg(m.value), 6) AS avg_measure, string_agg(DISTINCT m.event_type, ',' ORDER BY m.event_type) AS labels,
+           (epoch_us(max(closing)) - epoch_us(min(m.ts))) / 1e6 AS duration_s
+    FROM members m ASOF JOIN starts s ON s.user_id = m.user_id AND m.n >= s.n
+    GROUP BY m.user_id, s.session_id
     """,
     headline=True,
 )

@@ -24,6 +24,8 @@ POWER = [
     "Jerome Archer",
     "Zachary Hudson",
 ]
+# Accepted in old messages, but no longer a power.
+FORMER_POWERS = ["Zachary Hudson"]
 POWERPLAYSTATE = [
     "Unoccupied", "Exploited", "Fortified", "Stronghold",
     "Contested", "Controlled", "HomeSystem", "InPrepareRadius", "Prepared", "Turmoil",

@@ -34,6 +34,8 @@ ignored (``drop_lines`` passes them on).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orrery.llm.common import keyed, stable, store
@@ -64,11 +66,12 @@ def _shingles(wide: str) -> Column:
         lambda at: F.xxhash64(F.substring(F.col(wide), at, F.lit(width))))
 
 
-def _bands(lines: DataFrame) -> DataFrame:
-    """``(h, key)`` of all bands of all lines (h, line).
+def _minima(lines: DataFrame) -> DataFrame:
+    """``(h, bin, y)``: the smallest shingle hash of each bin of each line (h,
+    line), hashed together with the bin.
 
-    Shingles are rows, aggregated in place: lines are dealt by h once, and both
-    aggregations keep to that.
+    Shingles are rows, aggregated in place: lines are dealt by h once, and the
+    aggregation, like the ones that follow, keeps to that.
     """
     width = 2 * SHINGLE
     texts = lines.groupBy("h").agg(_wide(F.min("line")).alias("wide"))
@@ -76,8 +79,12 @@ def _bands(lines: DataFrame) -> DataFrame:
     hashed = texts.select("h", "wide", at).select("h", F.xxhash64(F.substring("wide", F.col("at"), F.lit(width))).alias("x"))
     # The bin of a hash: its upper half, scaled to BINS.
     part = F.shiftrightunsigned(F.shiftrightunsigned("x", 32) * BINS, 32)
-    mins = hashed.groupBy("h", part.alias("bin")).agg(F.min("x").alias("x"))
-    one = mins.select("h", "bin", F.xxhash64("bin", "x").alias("y"))
+    return hashed.groupBy("h", part.alias("bin")).agg(F.min("x").alias("x")).select("h", "bin", F.xxhash64("bin", "x").alias("y"))
+
+
+def _bands(lines: DataFrame) -> DataFrame:
+    """``(h, key)`` of all bands of all lines (h, line)."""
+    one = _minima(lines)
     # A band is the combination of its bins' minima; 0 where all bins are empty.
     cols, bands = [], []
     for k, (_, bins) in enumerate(CLASSES):

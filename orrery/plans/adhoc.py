@@ -61,11 +61,12 @@ def with_distance_from(df: DataFrame, systems: DataFrame, origin_address: int, n
 
 
 def nearest_market(systems: DataFrame, stations: DataFrame, commodities: DataFrame, origin: str,
-                   item: str, k: int = 10, sell: bool = True) -> DataFrame:
+                   item: str, k: int = 10, sell: bool = True, order: Sequence[str] = ()) -> DataFrame:
     """Q-I: the ``k`` nearest non-carrier markets selling (or buying) ``item``.
 
     Stations are de-duplicated per market (J8), commodities inlined (E1),
-    distances from the origin system (J7 as a scalar, X12), top-k (O3).
+    distances from the origin system (J7 as a scalar, X12), top-k (O3) by
+    distance, market and ``order``.
     """
     st = latest_row(stations.filter(F.col("MarketId").isNotNull()
                                     & (F.coalesce(F.col("StationType"), F.lit("")) != "FleetCarrier")),
@@ -79,7 +80,7 @@ def nearest_market(systems: DataFrame, stations: DataFrame, commodities: DataFra
     out = j.withColumn("__o", origin_pos).withColumn("Distance", array_distance("StarPos", "__o"))
     return (out.select("StarSystem", "StationName", "MarketId", "BuyPrice", "SellPrice", "Stock", "Demand",
                        F.round("Distance", 2).alias("Distance"))
-            .orderBy(F.col("Distance").asc_nulls_last(), F.col("MarketId")).limit(k))
+            .orderBy(F.col("Distance").asc_nulls_last(), F.col("MarketId"), *order).limit(k))
 
 
 def markets_near(systems: DataFrame, commodities: DataFrame, stations: DataFrame, item: str, origin: str,

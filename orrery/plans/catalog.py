@@ -46,4 +46,5 @@ def load_all() -> None:
         q_misc,
         q_ingest,
         q_extra,
+        q_domain,
     )

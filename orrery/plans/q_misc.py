@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orrery.functions import json as J
 from orrery.functions.timefns import cycle_start
 from orrery.functions.validate import enum_reason
-from orrery.operators.latest import latest_row
+from orrery.operators.latest import latest_row, latest_state
 from orrery.operators.nested import explode_col, inline_rows
 from orrery.operators.rules import ACQUISITION_THRESHOLD, CONFLICT_THRESHOLD, control_score
 from orrery.plans.catalog import register
@@ -133,19 +133,22 @@ RETENTION = {"view": 7, "click": 14}
     "retention",
     oracle="""
     WITH a AS (SELECT max(ts) AS as_of FROM events),
-    e AS (SELECT event_type,
+    e AS (SELECT event_type, strlen(props) AS octets,
                  ts >= as_of - to_days(CASE event_type WHEN 'view' THEN 7 WHEN 'click' THEN 14 ELSE 30 END)
                    AS keep
           FROM events, a)
-    SELECT event_type, count(*) FILTER (WHERE keep) AS kept, count(*) FILTER (WHERE NOT keep) AS dropped
+    SELECT event_type, count(*) FILTER (WHERE keep) AS kept, count(*) FILTER (WHERE NOT keep) AS dropped,
+           CAST(coalesce(sum(octets) FILTER (WHERE keep), 0) AS BIGINT) AS kept_bytes,
+           CAST(coalesce(sum(octets) FILTER (WHERE NOT keep), 0) AS BIGINT) AS dropped_bytes
     FROM e GROUP BY event_type
     """,
 )
 def retention_q(spark, sf):
-    """K14 dry run: rows kept / dropped per type as of the newest event."""
+    """K14 dry run: rows and bytes kept / dropped per type as of the newest event."""
     ev = table(spark, sf, "events")
     as_of = ev.agg(F.max("ts")).scalar()
-    return retention_report(ev, "event_type", "ts", RETENTION, as_of, default_days=30)
+    return retention_report(ev, "event_type", "ts", RETENTION, as_of, default_days=30,
+                            size=F.octet_length("props"))
 
 
 @register(
@@ -243,11 +246,10 @@ def cycle_snapshot(spark, sf):
                     F.when(et != "error", F.col("value") / 500).alias("control"))
     c0 = ev.agg(cycle_start(F.max("ts"))).scalar()
     cyc = log.filter((F.col("ts") >= c0) & (F.col("ts") < c0 + F.expr("INTERVAL 7 DAYS")))
-    newest = latest_row(cyc, ["user_id"], ["ts", "event_id"], ["ts", "state", "control"])
-    hist = cyc.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_history"))
+    newest = latest_state(cyc, ["user_id"], "ts", tiebreak=["event_id"], extra_aggs={"n_history": F.count(F.lit(1))})
     occupied = F.col("state").isin("Exploited", "Fortified", "Stronghold")
     st = F.coalesce(F.col("state"), F.lit("Unoccupied"))
-    return newest.join(hist, "user_id").select(
+    return newest.select(
         "user_id", "ts", st.alias("state"),
         F.when(occupied, F.concat(F.lit("Power"), F.pmod("user_id", F.lit(3)).cast("string")))
         .otherwise("Uncontrolled").alias("power"),

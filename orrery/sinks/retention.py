@@ -36,13 +36,18 @@ def retain(df: DataFrame, type_col: str, ts_col: str, policy: Mapping[str, int],
 
 
 def retention_report(df: DataFrame, type_col: str, ts_col: str, policy: Mapping[str, int], as_of: Column,
-                     default_days: int | None = None) -> DataFrame:
-    """Dry run: kept and dropped row counts per type."""
-    flagged = df.select(type_col, keep_condition(type_col, ts_col, policy, as_of, default_days).alias("__keep"))
-    return flagged.groupBy(type_col).agg(
-        F.count(F.when(F.col("__keep"), 1)).alias("kept"),
-        F.count(F.when(~F.col("__keep"), 1)).alias("dropped"),
-    )
+                     default_days: int | None = None, size: Column | None = None) -> DataFrame:
+    """Dry run: kept and dropped row counts per type, and bytes if ``size``
+    gives a row's (a file listing's length, say)."""
+    keep = F.col("__keep")
+    octets = F.lit(0) if size is None else size
+    flagged = df.select(type_col, keep_condition(type_col, ts_col, policy, as_of, default_days).alias("__keep"),
+                        octets.cast("long").alias("__bytes"))
+    aggs = [F.count(F.when(keep, 1)).alias("kept"), F.count(F.when(~keep, 1)).alias("dropped")]
+    if size is not None:
+        aggs += [F.coalesce(F.sum(F.when(c, F.col("__bytes"))), F.lit(0)).alias(n)
+                 for c, n in ((keep, "kept_bytes"), (~keep, "dropped_bytes"))]
+    return flagged.groupBy(type_col).agg(*aggs)
 
 
 def keep_recent_days(day_col: str, today: Column, days: int = 1) -> Column:

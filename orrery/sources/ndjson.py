@@ -110,23 +110,25 @@ def version_ok(gameversion: Column) -> Column:
     return F.coalesce(gameversion.isin(*S.SERVER_SOURCES) | (major >= S.MIN_CLIENT_MAJOR), F.lit(False))
 
 
-def gate_reason(max_late: str = "1 hour") -> Column:
+def gate_reason(gameversion: Column, gateway: Column, ts: Column, max_late: str = "1 hour") -> Column:
     """NULL when the line is accepted, else the first failing check."""
-    gw = parse_ts(hdr("gatewayTimestamp"))
-    ts = parse_ts(msg("timestamp"))
     return (
         F.when(F.col("doc").isNull(), "malformed")
-        .when(~version_ok(hdr("gameversion")), "version")
-        .when(gw.isNull() | ts.isNull(), "bad_timestamp")
-        .when(ts < gw - F.expr(f"INTERVAL {max_late}"), "late")
+        .when(~version_ok(gameversion), "version")
+        .when(gateway.isNull() | ts.isNull(), "bad_timestamp")
+        .when(ts < gateway - F.expr(f"INTERVAL {max_late}"), "late")
     )
 
 
 def gate(lines: DataFrame, max_late: str = "1 hour") -> DataFrame:
     """Adds ``reject_reason`` (NULL = accepted).  ``doc`` should come from
     ``functions.json.parse_once`` so that filters on the outcome or on
-    message fields do not re-parse the line."""
-    return lines.withColumn("reject_reason", gate_reason(max_late))
+    message fields do not re-parse the line.  The gated fields are taken out of
+    the document once, before the tests."""
+    fields = lines.withColumns({"__gv": hdr("gameversion"), "__gw": parse_ts(hdr("gatewayTimestamp")),
+                                "__ts": parse_ts(msg("timestamp"))})
+    reason = gate_reason(F.col("__gv"), F.col("__gw"), F.col("__ts"), max_late)
+    return fields.withColumn("reject_reason", reason).drop("__gv", "__gw", "__ts")
 
 
 def accepted(gated: DataFrame) -> DataFrame:

@@ -134,3 +134,18 @@ def test_release_accumulates(spark, tmpdir_path):
             shutil.copy(os.path.join(landed, f), part)
         got = run(part, wh, 6 + n)
     assert got == whole
+
+
+def test_keep_recent_days(spark):
+    """Today and the days before it; a future or missing day goes."""
+    days = [dt.date(2025, 1, d) for d in (1, 3, 4, 5, 6)] + [None]
+    df = spark.createDataFrame([(d,) for d in days], "day date")
+    got = df.filter(retention.keep_recent_days("day", F.lit(dt.date(2025, 1, 5)), days=1)).collect()
+    assert sorted(r.day for r in got) == [dt.date(2025, 1, 4), dt.date(2025, 1, 5)]
+
+
+def test_retention_bytes(spark):
+    rows = [("a", dt.datetime(2025, 1, 9), 5), ("a", dt.datetime(2025, 1, 1), 7), ("b", dt.datetime(2020, 1, 1), 9)]
+    df = spark.createDataFrame(rows, "t string, ts timestamp_ntz, n int")
+    out = retention.retention_report(df, "t", "ts", {"a": 3}, F.lit(dt.datetime(2025, 1, 10)).cast("timestamp_ntz"), size=F.col("n"))
+    assert {(r.t, r.kept, r.dropped, r.kept_bytes, r.dropped_bytes) for r in out.collect()} == {("a", 1, 1, 5, 7), ("b", 1, 0, 9, 0)}

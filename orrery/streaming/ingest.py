@@ -60,18 +60,24 @@ def upsert_each_batch(
     snapshot_root: str,
     name: str,
     trigger_once: bool = True,
+    keep: int = 3,
 ) -> StreamingQuery:
     """T4: per micro batch, ``snapshot = merge(previous snapshot, batch)``.
 
     Snapshots are written to ``snapshot_root/batch=<id>``; the id comes from
-    Spark, so a replay of the same batch rewrites the same folder.
+    Spark, so a replay of the same batch rewrites the same folder.  The newest
+    ``keep`` stay (readers may still be on the one before); older ones go.
     """
     root = snapshot_root.rstrip("/")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         prev = _latest_snapshot(spark, root, batch_id)
-        nxt = merge(prev, batch)
-        nxt.write.mode("overwrite").parquet(f"{root}/batch={batch_id:012d}")
+        batch.persist()  # the merge reads it once per stage
+        try:
+            merge(prev, batch).write.mode("overwrite").parquet(f"{root}/batch={batch_id:012d}")
+        finally:
+            batch.unpersist()
+        _prune(spark, root, batch_id, keep)
 
     # One checkpoint per (query name, sink): a restart of the same stream
     # resumes, a stream into another snapshot folder starts fresh.
@@ -82,16 +88,26 @@ def upsert_each_batch(
     return w.queryName(name).start()
 
 
-def _latest_snapshot(spark: SparkSession, root: str, before: int) -> DataFrame | None:
+def _snapshots(spark: SparkSession, root: str) -> tuple[list[int], object]:
+    """Ids of the complete snapshots, in order, and the file system they are in."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        return None
-    ids = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path)
-                 if s.getPath().getName().startswith("batch=") and
-                 fs.exists(jvm.org.apache.hadoop.fs.Path(f"{s.getPath()}/_SUCCESS")))
-    ids = [i for i in ids if i < before]
+        return [], fs
+    return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path)
+                  if s.getPath().getName().startswith("batch=") and
+                  fs.exists(jvm.org.apache.hadoop.fs.Path(f"{s.getPath()}/_SUCCESS"))), fs
+
+
+def _prune(spark: SparkSession, root: str, newest: int, keep: int) -> None:
+    ids, fs = _snapshots(spark, root)
+    for i in [i for i in ids if i <= newest][:-keep]:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/batch={i:012d}"), True)
+
+
+def _latest_snapshot(spark: SparkSession, root: str, before: int) -> DataFrame | None:
+    ids = [i for i in _snapshots(spark, root)[0] if i < before]
     return spark.read.parquet(f"{root}/batch={ids[-1]:012d}") if ids else None
 
 

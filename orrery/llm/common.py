@@ -65,10 +65,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the
-    lineage, survives lost executors and is computed once."""
-    spark = df.sparkSession
+    lineage, survives lost executors and is computed once.
+
+    A small table becomes a few files of the advisory size, not one per core.
+    """
+    spark, key = df.sparkSession, "spark.sql.adaptive.coalescePartitions.parallelismFirst"
     path = f"{shared_dir(spark)}/orrery-llm/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

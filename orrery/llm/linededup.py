@@ -21,10 +21,10 @@ Lines link at a Jaccard similarity of 0.8 or more.
   start.  Of each component the first line stays: the smallest (id, row, line
   number), null ids last.
 
-Scale: equal lines are grouped by their hash with map-side combine; only band
-keys (16 bytes each) are shuffled for the signatures, and the texts once to
-fetch the candidates.  No bucket gives more rows than BUCKET times its members.
-A line is one row until its shingles are rows.
+Scale: equal lines are grouped by their hash with map-side combine.  The texts
+are shuffled once for the signatures and once to fetch the candidates, band
+keys (16 bytes each) once.  No bucket gives more rows than BUCKET times its
+members.  A line is one row until its shingles are rows.
 
 Defined results: a null text is one empty line; blank lines always stay and
 have no component; equal lines are recognised by a 64-bit hash; repeated rows
@@ -34,8 +34,6 @@ ignored (``drop_lines`` passes them on).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orrery.llm.common import keyed, stable, store

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import re
@@ -80,6 +81,13 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of stored steps now: it does so when the
+    driver's memory is cleaned up, which may otherwise come late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stable(df: DataFrame) -> DataFrame:
     """``df`` itself if it is a plain scan, which gives the same rows in the same
     places whenever it is evaluated; else a stored copy.

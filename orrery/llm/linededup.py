@@ -36,7 +36,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from orrery.llm.common import keyed, stable, store
+from orrery.llm.common import keyed, release, stable, store
 from orrery.llm.components import components
 
 SHINGLE, SIMILARITY, BINS, BUCKET = 9, 0.8, 40, 32
@@ -132,6 +132,7 @@ def links(lines: DataFrame) -> DataFrame:
     """``(a, b)``: pairs of different lines (rows h, line; any number of rows
     each) with a verified similarity of ``SIMILARITY`` or more."""
     cand = store(_in_buckets(_bands(lines)), "line-buckets")
+    release(lines.sparkSession)
     texts = store(lines.join(cand.select("h").distinct(), "h").groupBy("h").agg(F.min("line").alias("line")), "line-texts")
     pairs, large = _pairs(cand)
     large = store(large, "line-large")
@@ -142,6 +143,7 @@ def links(lines: DataFrame) -> DataFrame:
         second = store(_in_buckets(twice.select(F.xxhash64("key", "other").alias("key"), "h")), "line-second")
         more, dense = _pairs(second)
         pairs = pairs.union(more).union(_dense(dense))
+    release(lines.sparkSession)
     pairs = store(pairs.distinct(), "line-pairs")
     one = texts.select(F.col("h").alias("a"), _wide("line").alias("wide_a"))
     two = texts.select(F.col("h").alias("b"), _wide("line").alias("wide_b"))
@@ -156,6 +158,7 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     per line of the input; root names the component."""
     lines = _lines(stable(df), id_col, text_col)
     roots = components(links(lines.where("h IS NOT NULL").select("h", "line")))
+    release(df.sparkSession)
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid", "pos")).alias("first")
     nodes = lines.where("h IS NOT NULL").groupBy("h").agg(first, F.count("*").alias("n"))
     nodes = store(nodes.join(roots, nodes.h == roots.node, "left").select("h", F.coalesce("root", "h").alias("root"), "first", "n"), "line-nodes")
@@ -179,11 +182,13 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         F.min("kept").alias("all_kept"), F.sort_array(F.collect_list(F.struct("pos", "kept"))).alias("flags"))
     kept = F.transform("flags", lambda x: x["kept"]).alias("__orrery_kept")
     flags = store(flags.where(~F.col("all_kept")).select("__orrery_rid", kept), "line-flags")
+    release(df.sparkSession)
+    # The flags grow with the corpus, so the join is the same at every size.
     tagged = df.select(F.monotonically_increasing_id().alias("__orrery_rid"), *[F.col(f"`{c}`") for c in df.columns])
     text = F.col(f"`{text_col}`")
     rest = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: F.col("__orrery_kept")[i]), "\n")
     new = {text_col: F.when(F.col("__orrery_kept").isNull(), text).otherwise(rest)}
-    out = tagged.join(flags, "__orrery_rid", "left").select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
+    out = tagged.join(flags.hint("merge"), "__orrery_rid", "left").select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
     if length_col:
         out = out.withColumn(length_col, F.coalesce(F.length(F.col(f"`{text_col}`")).cast("long"), F.col(f"`{length_col}`")))
     return out

@@ -12,10 +12,13 @@ Lines link at a Jaccard similarity of 0.8 or more.
   is equal.  A line just above a class limit has the bands of the class below
   too.
 * Candidates: different lines that share a band.  A bucket of at most
-  ``BUCKET`` lines is compared in pairs.  A larger one is split by the lines'
-  other bands, that is, its pairs must share two; what is still larger is a
-  dense group, whose lines are compared with the group's first line and with
-  their neighbour, for each pair of bands anew.
+  ``BUCKET`` lines is compared in pairs.  In a larger one the lines are first
+  compared with the bucket's first line and with their neighbour, which ties
+  dense groups together.
+* The rest of the large buckets, exactly: lines of different components so far
+  are compared if they share one of their rarest shingles (a prefix filter with
+  the lengths and places that a similarity of 0.8 needs).  No pair of 0.8 is
+  left out, whatever the size of a bucket.
 * Verification: the exact Jaccard similarity of both shingle sets.
 * Distributed union-find over the links; equal lines are one node from the
   start.  Of each component the first line stays: the smallest (id, row, line
@@ -24,7 +27,9 @@ Lines link at a Jaccard similarity of 0.8 or more.
 Scale: equal lines are grouped by their hash with map-side combine.  The texts
 are shuffled once for the signatures and once to fetch the candidates, band
 keys (16 bytes each) once.  No bucket gives more rows than BUCKET times its
-members.  A line is one row until its shingles are rows.
+members; lines of large buckets are shuffled once more, with a fifth of their
+shingles.  Large groups of lines just below 0.8 may give many candidates: they
+are all compared.  A line is one row until its shingles are rows.
 
 Defined results: a null text is one empty line; blank lines always stay and
 have no component; equal lines are recognised by a 64-bit hash; repeated rows
@@ -40,6 +45,7 @@ from orrery.llm.common import keyed, release, stable, store
 from orrery.llm.components import components
 
 SHINGLE, SIMILARITY, BINS, BUCKET = 9, 0.8, 40, 32
+SLOTS = 1 << 20  # counters for how common shingles are
 #: (most bins with a shingle, bins of a band) of each class of lines.
 CLASSES = ((10, 10), (18, 5), (None, 4))
 
@@ -128,29 +134,86 @@ def _dense(rows: DataFrame) -> DataFrame:
     return near.where("x != h").select(F.least("h", "x").alias("a"), F.greatest("h", "x").alias("b"))
 
 
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of lines (h, line) that are similar by their shingle sets."""
+    one = texts.select(F.col("h").alias("a"), _wide("line").alias("wide_a"))
+    two = texts.select(F.col("h").alias("b"), _wide("line").alias("wide_b"))
+    sets = pairs.join(one, "a").join(two, "b").select("a", "b", _shingles("wide_a").alias("x"), _shingles("wide_b").alias("y"))
+    # Set operations drop repeats themselves.
+    similar = F.size(F.array_intersect("x", "y")) >= F.lit(SIMILARITY) * F.size(F.array_union("x", "y"))
+    return sets.where(similar).select("a", "b")
+
+
+def _least(share: float, n: Column) -> Column:
+    """The smallest whole number of at least ``share`` times n; rounding may only make it smaller."""
+    return F.ceil(F.lit(share) * n - F.lit(1e-6)).cast("int")
+
+
+def _prefixes(texts: DataFrame) -> DataFrame:
+    """``(h, n, at, x, short)``: of each line (h, line) with n shingles, the rarest
+    that a similar line must share, with their places in the order of all.
+
+    Of two similar lines the shorter one has a common shingle among its first
+    n - 2t/(1+t) n + 1 (``short``), the longer one among its first n - t n + 1.
+    """
+    wide = texts.groupBy("h").agg(_wide(F.min("line")).alias("wide"))
+    rows = wide.select("h", F.explode(F.array_distinct(_shingles("wide"))).alias("x"))
+    # How common a shingle is, by SLOTS counters; any order that is the same for
+    # all lines gives whole results, a better one fewer candidates.
+    slot = F.pmod("x", F.lit(SLOTS)).cast("int").alias("slot")
+    counts = store(rows.groupBy(slot).agg(F.count("*").alias("n")).where(F.col("n") > 1), "line-slots")
+    ranked = rows.select("h", "x", slot).join(F.broadcast(counts), "slot", "left")
+    ordered = ranked.groupBy("h").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "x"))).alias("all"))
+    ordered = ordered.select("h", F.size("all").alias("n"), "all")
+    long = F.col("n") - _least(SIMILARITY, F.col("n")) + 1
+    short = F.col("n") - _least(2 * SIMILARITY / (1 + SIMILARITY), F.col("n")) + 1
+    first = ordered.select("h", "n", F.posexplode(F.slice("all", F.lit(1), long)).alias("at", "one"))
+    return first.select("h", "n", "at", "one.x", (F.col("at") < short).alias("short"))
+
+
+def _across(texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines (h, line) that can be similar by number and order of
+    their shingles and that have different roots (node, root); without a cap.
+
+    A shingle whose lines all have one root gives no pair.  Of another one, lines
+    of the most frequent root meet only those of other roots.
+    """
+    named = _prefixes(texts).join(roots, F.col("h") == F.col("node"), "left")
+    rows = store(named.select("h", "n", "at", "x", "short", F.coalesce("root", "h").alias("root")), "line-prefixes")
+    release(texts.sparkSession)
+    most = rows.groupBy("x", "root").agg(F.count("*").alias("m"), F.max("short").alias("short"))
+    most = most.groupBy("x").agg(F.max(F.struct("m", "root"))["root"].alias("most"), F.count("*").alias("roots"), F.max("short").alias("any"))
+    rows = rows.join(most.where("roots > 1 AND any").select("x", "most"), "x").withColumn("common", F.col("root") == F.col("most"))
+    meets = F.when(F.col("common"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    one = rows.where("short").select("x", F.explode(meets).alias("common"), *[F.col(c).alias(f"{c}_a") for c in ("h", "n", "at", "root")])
+    two = rows.select("x", "common", *[F.col(c).alias(f"{c}_b") for c in ("h", "n", "at", "root")])
+    # What both share at most, if this shingle is the first that they share.
+    shared = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    fits = ((F.col("root_a") != F.col("root_b")) & (F.col("n_a") <= F.col("n_b")) & (F.col("n_a") >= _least(SIMILARITY, F.col("n_b")))
+            & (shared >= _least(SIMILARITY / (1 + SIMILARITY), F.col("n_a") + F.col("n_b"))))
+    found = one.join(two, ["x", "common"]).where(fits)
+    return found.select(F.least("h_a", "h_b").alias("a"), F.greatest("h_a", "h_b").alias("b")).distinct()
+
+
 def links(lines: DataFrame) -> DataFrame:
     """``(a, b)``: pairs of different lines (rows h, line; any number of rows
-    each) with a verified similarity of ``SIMILARITY`` or more."""
+    each) with a verified similarity of ``SIMILARITY`` or more; of lines that
+    others tie together not every pair."""
     cand = store(_in_buckets(_bands(lines)), "line-buckets")
     release(lines.sparkSession)
     texts = store(lines.join(cand.select("h").distinct(), "h").groupBy("h").agg(F.min("line").alias("line")), "line-texts")
     pairs, large = _pairs(cand)
     large = store(large, "line-large")
-    if not large.isEmpty():
-        # Second level: a pair must share two bands.
-        mine = _bands(texts.join(large.select("h").distinct(), "h"))
-        twice = large.join(mine.select("h", F.col("key").alias("other")), "h").where("other > key")
-        second = store(_in_buckets(twice.select(F.xxhash64("key", "other").alias("key"), "h")), "line-second")
-        more, dense = _pairs(second)
-        pairs = pairs.union(more).union(_dense(dense))
-    release(lines.sparkSession)
+    hot = not large.isEmpty()
+    if hot:
+        pairs = pairs.union(_dense(large))
     pairs = store(pairs.distinct(), "line-pairs")
-    one = texts.select(F.col("h").alias("a"), _wide("line").alias("wide_a"))
-    two = texts.select(F.col("h").alias("b"), _wide("line").alias("wide_b"))
-    sets = pairs.join(one, "a").join(two, "b").select("a", "b", _shingles("wide_a").alias("x"), _shingles("wide_b").alias("y"))
-    # Set operations drop repeats themselves.
-    similar = F.size(F.array_intersect("x", "y")) >= F.lit(SIMILARITY) * F.size(F.array_union("x", "y"))
-    return store(sets.where(similar).select("a", "b"), "line-links")
+    found = store(_similar(pairs, texts), "line-links")
+    if not hot:
+        return found
+    # Whole large buckets, but for the lines that are in one component already.
+    rest = _across(texts.join(large.select("h").distinct(), "h"), components(found))
+    return found.union(store(_similar(rest, texts), "line-links-across"))
 
 
 def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -178,6 +178,26 @@ def test_dense_buckets(make, monkeypatch):
     assert {(at[r.rid], r.pos): (at[r.keep_rid], r.keep_pos) for r in got} == want
 
 
+def test_isolated_pairs_in_large_buckets(make):
+    """Lines with a frequent template: pairs just above 0.8 that no other line ties."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = []
+    for share in (150, 160):  # of 200 characters
+        base = word(share)
+        rows += [(0, base + word(200 - share)) for _ in range(400)]
+        for _ in range(60):
+            end = word(200 - share)
+            rows += [(0, base + end), (0, base + end[: rng.choice([-14, -17, -20])] + word(20))]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = linededup.line_groups(make(rows).coalesce(1)).collect()
+    at = {x: k for k, x in enumerate(sorted({r.rid for r in got}))}
+    found = {at[r.rid]: at[r.keep_rid] for r in got}
+    want = {k: a for (k, _), (a, _) in brute_lines(rows).items()}
+    lost = [k for k in want if found[k] != want[k]]
+    assert sum(want[k] != k for k in want) > 100 and not lost, len(lost)
+
+
 def test_drop_lines(make):
     rows = line_rows()
     keep, df = brute_lines(rows), make(rows).coalesce(1)

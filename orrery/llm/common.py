@@ -11,8 +11,9 @@ import uuid
 import zipfile
 
 import orrery
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+RID = "__orrery_rid"  # the row number that stable() adds
 _SHIPPED: set[str] = set()
 
 
@@ -88,36 +89,61 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _columns(df: DataFrame) -> list:
+    """The columns of ``df`` but for the row number of ``stable``."""
+    return [F.col(f"`{c}`") for c in df.columns if c != RID]
+
+
+def _by_file(df: DataFrame) -> DataFrame | None:
+    """``df`` numbered by file and row in the file, which no split of the files
+    changes; None if it is no plain scan of Parquet files, each read once."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    nodes = [x.lstrip(" :+-") for x in plan.toString().splitlines() if x.strip()]
+    if not plan.deterministic() or not all(re.match(r"Relation\b.* parquet$|Project\b", x) for x in nodes):
+        return None
+    meta, path, row = df.metadataColumn("_metadata"), "__orrery_path", "__orrery_row"
+    rows = df.select(meta["file_path"].alias(path), meta["row_index"].alias(row), *_columns(df))
+    files = rows.groupBy(path).agg(F.count_if(F.col(row) == 0).alias("times"))
+    files = store(files.select(path, "times", F.row_number().over(Window.orderBy(path)).cast("long").alias("__orrery_file")), "files")
+    most = files.agg(F.max("times"), F.max("__orrery_file")).first()
+    if (most[0] or 0) > 1 or (most[1] or 0) >= 1 << 23:
+        return None
+    rid = (F.shiftleft("__orrery_file", 40) + F.col(row)).alias(RID)
+    return rows.join(F.broadcast(files.drop("times")), path).select(rid, *_columns(df))
+
+
 def stable(df: DataFrame) -> DataFrame:
-    """``df`` itself if it is a plain scan, which gives the same rows in the same
-    places whenever it is evaluated; else a stored copy.
+    """``df`` with a row number ``RID`` that is the same in every evaluation.
 
-    Operators that number rows in more than one evaluation start with this: a
-    shuffle below them may deal rows differently each time.
+    Operators that use row numbers in more than one evaluation start with this:
+    a shuffle below them may deal rows differently each time, and a scan is
+    split by the number of cores there are at that moment.  A plain scan of
+    Parquet files takes the number from file and row; other inputs are stored
+    with it.
     """
-    nodes = [x.lstrip(" :+-").split(" ")[0] for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines()]
-    plain = all(re.match(r"Relation|LogicalRDD|LocalRelation|Project|Filter", x) for x in nodes if x)
-    return df if plain else store(df, "input")
+    if RID in df.columns:
+        return df
+    numbered = _by_file(df)
+    return store(df.select(F.monotonically_increasing_id().alias(RID), *_columns(df)), "input") if numbered is None else numbered
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(rid, id, text)``: every input row with an own key ``rid``.
 
-    Only these columns go on, so extra input columns cannot clash.  ``rid``
-    follows the scan order of the input and is the same in every evaluation of
-    a table read from files.
+    Only these columns go on, so extra input columns cannot clash.  ``rid`` is
+    the number of a ``stable`` table; that of another one holds for a single
+    evaluation.
     """
-    return df.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("id"),
-                     F.col(f"`{text_col}`").alias("text"))
+    rid = F.col(RID) if RID in df.columns else F.monotonically_increasing_id()
+    return df.select(rid.alias("rid"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
 
 def without(df: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``df``, all columns, without the rows whose ``keyed`` number is in
-    ``dropped`` (rid).  The list is stored first, so that Spark knows its size
-    and broadcasts it only if it is small."""
-    gone = store(dropped.select(F.col("rid").alias("__orrery_rid")), "dropped")
-    tagged = df.select(F.monotonically_increasing_id().alias("__orrery_rid"), *[F.col(f"`{c}`") for c in df.columns])
-    return tagged.join(gone, "__orrery_rid", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    """The ``stable`` table ``df``, all columns but its row number, without the
+    rows whose number is in ``dropped`` (rid).  The list is stored first, so that
+    Spark knows its size and broadcasts it only if it is small."""
+    gone = store(dropped.select(F.col("rid").alias(RID)), "dropped")
+    return df.join(gone, RID, "left_anti").select(*_columns(df))
 
 
 def training_row(id_col):

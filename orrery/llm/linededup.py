@@ -41,7 +41,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from orrery.llm.common import keyed, release, stable, store
+from orrery.llm.common import RID, keyed, release, stable, store
 from orrery.llm.components import components
 
 SHINGLE, SIMILARITY, BINS, BUCKET = 9, 0.8, 40, 32
@@ -239,19 +239,18 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """``df``, all rows and columns, with only the kept lines in each text; a
     text that loses no line stays as it is (null too).  ``length_col``, if
     given, gets the new number of characters."""
-    df = stable(df)
+    names, df = df.columns, stable(df)
     groups = line_groups(df, id_col, text_col)
-    flags = groups.groupBy(F.col("rid").alias("__orrery_rid")).agg(
+    flags = groups.groupBy(F.col("rid").alias(RID)).agg(
         F.min("kept").alias("all_kept"), F.sort_array(F.collect_list(F.struct("pos", "kept"))).alias("flags"))
     kept = F.transform("flags", lambda x: x["kept"]).alias("__orrery_kept")
-    flags = store(flags.where(~F.col("all_kept")).select("__orrery_rid", kept), "line-flags")
+    flags = store(flags.where(~F.col("all_kept")).select(RID, kept), "line-flags")
     release(df.sparkSession)
     # The flags grow with the corpus, so the join is the same at every size.
-    tagged = df.select(F.monotonically_increasing_id().alias("__orrery_rid"), *[F.col(f"`{c}`") for c in df.columns])
     text = F.col(f"`{text_col}`")
     rest = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: F.col("__orrery_kept")[i]), "\n")
     new = {text_col: F.when(F.col("__orrery_kept").isNull(), text).otherwise(rest)}
-    out = tagged.join(flags.hint("merge"), "__orrery_rid", "left").select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
+    out = df.join(flags.hint("merge"), RID, "left").select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in names])
     if length_col:
         out = out.withColumn(length_col, F.coalesce(F.length(F.col(f"`{text_col}`")).cast("long"), F.col(f"`{length_col}`")))
     return out

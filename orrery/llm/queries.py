@@ -3,11 +3,12 @@ production parameters, to its whole table and returns the full result."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm import blocknames, decontam, langid, linededup, packing, repeats, secrets, simhash, tokencount, toxicity
+from orrery.llm import blocknames, decontam, langid, linededup, packing, repeats, runs, secrets, simhash, tokencount, toxicity
 from orrery.llm.common import documents, training_row
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +100,26 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_secret_scan")
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(documents(spark, sf_dir)))
+
+
+def planted_words(doc_id: int | None, text: str | None) -> list[bytes]:
+    """The words of a text; where crc32 of the id is a multiple of ten, the words
+    from one place on repeat with one period.  A null id changes nothing."""
+    words = runs.words_of(doc_id, text)
+    n, h = len(words), 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+@register("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(documents(spark, sf_dir), split=planted_words)
+    line = F.transform("runs", lambda r: F.concat_ws("", F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000L div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))

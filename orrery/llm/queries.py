@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm import blocknames, decontam, langid, linededup, packing, repeats, runs, secrets, simhash, tokencount, toxicity
+from orrery.llm import bbit, blocknames, decontam, fptree, langid, linededup, packing, repeats, runs, secrets, simhash, tokencount, toxicity
 from orrery.llm.common import documents, training_row
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,54 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
         F.expr("best.length * 1000L div best.period").alias("exponent_milli"),
         F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@register("op12_ranked_search", """
+WITH
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+  FROM documents),
+total AS (SELECT count_if(len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM docs),
+asked AS (
+  SELECT DISTINCT i, item_id, unnest(terms) AS term
+  FROM (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+    FROM benchmark)),
+tf AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term),
+m AS (SELECT r, doc_id, 10 + (90 * len(terms) * n_docs) // n_terms AS m FROM docs, total),
+scored AS (
+  SELECT i, item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+""")
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fptree.search(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+@register("op13_minhash_neardup", """
+WITH RECURSIVE
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+grams AS (
+  SELECT DISTINCT r, unnest(list_transform(generate_series(1, greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i:i+2], ' '))) AS g
+  FROM docs WHERE len(w) > 0),
+sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
+near AS (
+  SELECT a.r AS r, b.r AS s FROM grams a JOIN grams b USING (g)
+  GROUP BY a.r, b.r
+  HAVING 100 * count(*) >= 85 * ((SELECT n FROM sizes WHERE sizes.r = a.r) + (SELECT n FROM sizes WHERE sizes.r = b.r) - count(*))),
+reach(r, s) AS (SELECT r, s FROM near UNION SELECT reach.r, near.s FROM reach JOIN near ON reach.s = near.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least_id, doc_id) AS component_id, coalesce(least_id, doc_id) = doc_id AS kept
+FROM docs LEFT JOIN sizes USING (r)
+LEFT JOIN (SELECT reach.r, min(o.doc_id) AS least_id FROM reach JOIN docs o ON o.r = reach.s GROUP BY reach.r) USING (r)
+""")
+def op13_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bbit.near_groups(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")

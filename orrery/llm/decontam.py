@@ -18,9 +18,12 @@ Verification: an item's question (all sentences but the last) and its answer
 (the last one; the only one is both) must each have ``overlap`` (0.8) or more
 of their 5-word shingles in the passage.
 
-Scale: one pass over whole texts without a shuffle.  The index is broadcast, at
-most ``index_bytes`` of item text at a time; a larger set of items is taken in
-several passes, split by a hash, each with statistics of its own items.
+Scale: whole texts are read without a shuffle.  The index is broadcast, at most
+about ``index_bytes`` of item text at a time; a larger set of items is taken in
+several passes, split by a hash.  Document frequencies, mean length and the
+longest item are counted over all items first, so the passes' number changes no
+result.  A long text is searched in runs of strides, so memory does not grow
+with it.
 
 Defined results: words are runs of letters and digits, lower-cased; null or
 empty texts and items match nothing; an item or part shorter than five words is
@@ -41,11 +44,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from orrery.llm.common import keyed, map_batches, stable, without
+from orrery.llm.common import keyed, map_batches, stable, store, without
 
 K1, B, THRESHOLD = 1.2, 0.75, 0.5
 WORDS, OVERLAP = 5, 0.8
-MIN_STRIDE, BLOCK_ITEMS, INDEX_BYTES = 64, 4, 4 << 20
+MIN_STRIDE, BLOCK_ITEMS, INDEX_BYTES = 64, 4, 1 << 20
+RUN_WORDS = 1 << 14  # words of a text whose bounds are held at once
 WORD = re.compile(r"[^\W_]+")
 SENTENCE_END = re.compile(r"(?<=[.?!])\s+")
 
@@ -61,7 +65,7 @@ def shingles(w: list[str], n: int = WORDS) -> set[tuple[str, ...]]:
 def parts(text: str) -> list[list[str]]:
     """Words of question and answer."""
     s = [x for x in map(words, SENTENCE_END.split(text.strip())) if x]
-    return [sum(s[:-1], []), s[-1]] if len(s) > 1 else [s[0], s[0]]
+    return [[w for x in s[:-1] for w in x], s[-1]] if len(s) > 1 else [s[0], s[0]]
 
 
 @dataclass
@@ -75,23 +79,40 @@ class Index:
     stride: int
 
 
-def build_index(rows: list[tuple], block_items: int = BLOCK_ITEMS) -> Index | None:
-    """rows: (item id, text)."""
+@dataclass
+class Statistics:
+    """Over all items with a word: their number, words and longest, and in how
+    many a word occurs."""
+
+    items: int
+    words: int
+    longest: int
+    df: dict[str, int]
+
+
+def statistics(rows: list[tuple]) -> Statistics:
+    """Of the rows (item id, text) themselves."""
+    sizes = [words(t) for _, t in rows if words(t)]
+    return Statistics(len(sizes), sum(map(len, sizes)), max(map(len, sizes), default=0), Counter(w for ws in sizes for w in set(ws)))
+
+
+def build_index(rows: list[tuple], block_items: int = BLOCK_ITEMS, over: Statistics | None = None) -> Index | None:
+    """rows: (item id, text); ``over``: the statistics of all items, if these are a part."""
+    over = over or statistics(rows)
     rows = [(i, t, words(t)) for i, t in rows]
     rows = [r for r in rows if r[2]]
     if not rows:
         return None
     # Items that share rare words side by side: blocks then bound tightly.
-    df = Counter(w for _, _, ws in rows for w in set(ws))
+    df, n_items, mean = over.df, over.items, over.words / over.items
     rows.sort(key=lambda r: (min(r[2], key=lambda w: (df[w], w)), str(r[0])))
-    vocabulary = {w: k for k, w in enumerate(sorted(df))}
-    mean = sum(len(r[2]) for r in rows) / len(rows)
+    vocabulary = {w: k for k, w in enumerate(sorted({w for r in rows for w in r[2]}))}
     block_max = np.zeros((len(vocabulary) + 1, -(-len(rows) // block_items)), dtype=np.float32)
     terms, impacts = [], []
     for k, (_, _, ws) in enumerate(rows):
         tf = Counter(ws)
         t = np.array([vocabulary[w] for w in tf], dtype=np.int64)
-        idf = np.array([math.log(1 + (len(rows) - df[w] + 0.5) / (df[w] + 0.5)) for w in tf])
+        idf = np.array([math.log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5)) for w in tf])
         f = np.array(list(tf.values()), dtype=float)
         w = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * len(ws) / mean))
         w = (w / w.sum()).astype(np.float32)
@@ -99,19 +120,35 @@ def build_index(rows: list[tuple], block_items: int = BLOCK_ITEMS) -> Index | No
         impacts.append(w)
         np.maximum.at(block_max[:, k // block_items], t, w)
     return Index([r[0] for r in rows], [parts(r[1]) for r in rows], vocabulary, terms, impacts, block_max,
-                 max(MIN_STRIDE, max(len(r[2]) for r in rows)))
+                 max(MIN_STRIDE, over.longest))
+
+
+def _promising(index: Index, ids: np.ndarray, low: float) -> Iterator[int]:
+    """Passages in which some block's bound, with repeats, reaches ``low``; a run
+    of strides at a time."""
+    step = index.stride
+    run = max(1, RUN_WORDS // step) * step
+    last = None
+    for at in range(0, len(ids), run):
+        part = ids[at : at + run]
+        sums = np.add.reduceat(index.block_max.take(part, axis=0), np.arange(0, len(part), step), axis=0)
+        both = sums if last is None else np.concatenate([last, sums])
+        bound = both[:-1] + both[1:] if len(both) > 1 else both
+        first = at // step - (last is not None)
+        if len(ids) > at + run and len(both) == 1:  # one stride so far, more to come
+            last = sums[-1:]
+            continue
+        yield from (first + np.flatnonzero((bound >= low).any(axis=1))).tolist()
+        last = sums[-1:]
 
 
 def retrieve(index: Index, ids: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
     """(passage, item, score) at or above the threshold; ids: term of each word
     of one text (last row of the table: none).  Passage p covers strides p and p + 1."""
     step, low = index.stride, threshold - 1e-4
-    edges = np.arange(0, len(ids), step)
-    sums = np.add.reduceat(index.block_max.take(ids, axis=0), edges, axis=0)
-    bound = sums[:-1] + sums[1:] if len(sums) > 1 else sums
     found = []
     scratch = np.zeros(len(index.block_max), dtype=bool)
-    for p in np.flatnonzero((bound >= low).any(axis=1)):
+    for p in _promising(index, ids, low):
         query = np.unique(ids[p * step : (p + 2) * step])
         blocks = np.flatnonzero(index.block_max[query].sum(axis=0) >= low)
         if not len(blocks):
@@ -157,6 +194,26 @@ def matches(index: Index, text: str | None, threshold: float, overlap: float) ->
     return [(i, *x) for i, x in sorted(best.items())]
 
 
+def _all_items(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Numbers of items, words and longest over all items, and (word, df), counted by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ws = [words(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(map(len, ws), pa.int64()), pa.array([sorted(set(w)) for w in ws], pa.list_(pa.string()))], ["n", "words"])
+
+    seen = store(map_batches(items.select("text"), run, "n bigint, words array<string>").where("n > 0"), "item-words")
+    total = seen.agg(F.count("*").alias("items"), F.coalesce(F.sum("n"), F.lit(0)).alias("words"), F.coalesce(F.max("n"), F.lit(0)).alias("longest"))
+    return total, store(seen.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df")), "item-df")
+
+
+def _over(counted: tuple[DataFrame, DataFrame], rows: list[tuple]) -> Statistics:
+    """The statistics of all items for the words of ``rows``."""
+    total, df = counted
+    mine = df.sparkSession.createDataFrame([(w,) for w in sorted({w for _, t in rows for w in words(t)})], "word string")
+    return Statistics(*total.first(), {r.word: r.df for r in df.join(mine, "word").collect()})
+
+
 def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                item_text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``(rid, id, item_id, score, question_overlap, answer_overlap)``: a row for
@@ -168,9 +225,11 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // index_bytes)
     out = df.sparkSession.createDataFrame([], schema)
+    counted = _all_items(items) if n > 1 else None
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else items
-        index = build_index([tuple(r) for r in part.collect()])  # about index_bytes of text
+        mine = [tuple(r) for r in part.collect()]  # about index_bytes of text
+        index = build_index(mine, over=counted and _over(counted, mine))
         if index:
             shared = df.sparkSession.sparkContext.broadcast(index)
             found = map_batches(rows, _searcher(shared, threshold, overlap, to_arrow_type(items.schema["item"].dataType)), schema)

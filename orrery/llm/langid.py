@@ -11,8 +11,7 @@ pairs: a filter's response at a place is the sum of two table rows, so a batch
 of windows costs two gathers, one sum and one maximum.
 
 Scale: training reads at most about ``sample_rows`` labelled rows, spread
-evenly over the ``max_languages`` most frequent labels and chosen by a hash, at
-most ``sample_windows`` windows of each; the driver holds nothing else.  The
+evenly over all labels (one row of each at least) and chosen by a hash, at most ``sample_windows`` windows of each; the driver holds nothing else.  The
 model (about 60 kB) goes to the tasks with their code; prediction is one pass
 without a shuffle.
 
@@ -35,9 +34,11 @@ from orrery.llm.common import keyed, map_batches, stable, training_row, without
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 16, 8
 STRIDE = WINDOW - max(WIDTHS) + 1
-SAMPLE_ROWS, SAMPLE_WINDOWS, MAX_LANGUAGES = 3000, 4, 64
+SAMPLE_ROWS, SAMPLE_WINDOWS = 3000, 4
 EPOCHS, BATCH, SEED = 5, 128, 7
-MIN_SCORE = 0.0  # short clean texts may score low, so only undetermined ones go
+#: Texts of a whole window must have a language that holds the majority; shorter
+#: clean ones may score low.
+MIN_SCORE = 0.5
 UNDETERMINED = "und"
 
 
@@ -138,11 +139,11 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = EPOC
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_rows: int = SAMPLE_ROWS,
-        sample_windows: int = SAMPLE_WINDOWS, max_languages: int = MAX_LANGUAGES) -> Model | None:
+        sample_windows: int = SAMPLE_WINDOWS) -> Model | None:
     """Train on a bounded sample of the labelled rows that may be learnt from."""
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").cast("string").alias("label"))
     rows = rows.where(training_row(F.col("id")) & F.col("label").isNotNull() & F.col("text").isNotNull())
-    counts = {r.label: r["count"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_languages).collect()}
+    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}  # one row per label
     if not counts:
         return None
     languages, quota = sorted(counts), max(1, sample_rows // len(counts))
@@ -155,7 +156,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
                                                   lambda i: F.floor(last * i / max(1, sample_windows - 1)).cast("int"))),
                       lambda at: F.substring(raw, at + 1, F.lit(WINDOW)))
     picked = rows.where(F.col("text").rlike(r"\p{L}") & (draw < share[F.col("label")]))
-    got = picked.select("label", cut.alias("parts"), draw.alias("draw")).orderBy("draw").limit(2 * sample_rows).collect()
+    got = picked.select("label", cut.alias("parts"), draw.alias("draw")).orderBy("draw").limit(2 * max(sample_rows, len(counts))).collect()
     if not got:
         return None
     x = np.zeros((sum(len(r.parts) for r in got), WINDOW), dtype=np.uint8)
@@ -168,28 +169,30 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
 
 
 def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(rid, id, lang_pred, score)`` per input row."""
+    """``(rid, id, lang_pred, score, n_bytes)`` per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.tables() if model else None
         for batch in batches:
-            pred, score = [], []
+            pred, score, n_bytes = [], [], []
             held, sizes = [], []
             for text in batch.column("text"):
                 s = text.as_py()
+                raw = (s or "").encode()
+                n_bytes.append(len(raw))
                 if model is None or s is None or not any(map(str.isalpha, s)):
                     sizes.append(0)
                     continue
-                held.append(windows(s.encode()))
+                held.append(windows(raw))
                 sizes.append(len(held[-1]))
                 if sum(map(len, held)) >= 4096 or len(sizes) >= 2048:
                     _flush(model, tables, held, sizes, pred, score)
             _flush(model, tables, held, sizes, pred, score)
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                                             ["rid", "id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()),
+                                              pa.array(n_bytes, pa.int64())], ["rid", "id", "lang_pred", "score", "n_bytes"])
 
     rows = keyed(df, id_col, text_col)
-    return map_batches(rows, run, f"rid bigint, id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")
+    return map_batches(rows, run, f"rid bigint, id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, n_bytes bigint")
 
 
 def _flush(model, tables, held, sizes, pred, score) -> None:
@@ -211,8 +214,13 @@ def _flush(model, tables, held, sizes, pred, score) -> None:
 
 
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``df``, all columns, whose language is determined with a score
-    of ``min_score`` or more."""
+    """The rows of ``df``, all columns, with a determined language: texts with a
+    letter, and of ``WINDOW`` bytes or more only those whose language scores
+    ``min_score`` or more.  Without any labelled row all texts with a letter stay."""
     df = stable(df)
-    found = predict(df, fit(df, id_col, text_col, label_col), id_col, text_col)
-    return without(df, found.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < min_score)))
+    model = fit(df, id_col, text_col, label_col)
+    if model is None:
+        return without(df, keyed(df, id_col, text_col).where(~F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))))
+    found = predict(df, model, id_col, text_col)
+    unsure = (F.col("n_bytes") >= WINDOW) & (F.col("score") < min_score)
+    return without(df, found.where((F.col("lang_pred") == UNDETERMINED) | unsure))

@@ -16,7 +16,7 @@ padding.
 Scale: packing is local.  A task reads its share of the input once, in blocks
 of ``block_tokens`` tokens, and writes pieces; nothing is shuffled, no block
 holds more than its bound (a longer document streams out as full sequences),
-and padding is zero but for the segment limit.  ``sequence_id`` is made of the
+and padding is zero unless a segment limit is given.  ``sequence_id`` is made of the
 partition and a counter: unique, and equal when a lost task runs again over
 the same files.
 
@@ -28,6 +28,7 @@ table gives an empty table; other columns of the input are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -41,7 +42,6 @@ from pyspark.sql import DataFrame, functions as F
 from orrery.llm.common import keyed, map_batches
 
 CAPACITY = 1024
-MAX_SEGMENTS = 64
 BLOCK_TOKENS = 1 << 21
 END_ID = 0
 #: Runs beyond this go to the reference tokenizer, whose cost does not explode on them.
@@ -150,11 +150,15 @@ def powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]
 
 @lru_cache(maxsize=2)
 def encoder(json_path: str, ranks_path: str | None, pattern: str | None):
-    """text -> uint32 ids, as the ``tokenizers`` file gives without special
-    tokens (their strings in a text are ordinary text).  With the same
-    vocabulary as a rank file, tiktoken computes the same ids about three times
-    as fast; texts with very long runs go to ``tokenizers`` itself."""
+    """text -> uint32 ids, as the ``tokenizers`` file as loaded gives with
+    ``add_special_tokens=False``.  With the same vocabulary as a rank file,
+    tiktoken computes the same ids about three times as fast; texts with very
+    long runs, or with the string of an added token (which is one id), go to
+    ``tokenizers`` itself."""
     slow = None
+    with open(json_path, encoding="utf-8") as f:
+        added = [t["content"] for t in json.load(f).get("added_tokens") or []]
+    has_added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
 
     def by_file(text: str) -> np.ndarray:
         nonlocal slow
@@ -162,7 +166,6 @@ def encoder(json_path: str, ranks_path: str | None, pattern: str | None):
             from tokenizers import Tokenizer
 
             slow = Tokenizer.from_file(json_path)
-            slow.encode_special_tokens = True
         return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     if not ranks_path:
@@ -174,7 +177,7 @@ def encoder(json_path: str, ranks_path: str | None, pattern: str | None):
     fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def by_ranks(text: str) -> np.ndarray:
-        if len(text) >= 4096 and LONG_RUN.search(text):
+        if has_added.search(text) or (len(text) >= 4096 and LONG_RUN.search(text)):
             return by_file(text)
         return np.array(fast.encode_ordinary(text), dtype=np.uint32)
 
@@ -203,7 +206,7 @@ PIECE = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, seque
 
 def pack_documents(df: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None,
                    id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-                   max_segments: int = MAX_SEGMENTS, block_tokens: int = BLOCK_TOKENS, with_ids: bool = False) -> DataFrame:
+                   max_segments: int | None = None, block_tokens: int = BLOCK_TOKENS, with_ids: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset, and with ``with_ids`` the ids themselves (binary, little-endian
     unsigned 32-bit).  Every id of a document, its end id included, lies in
@@ -224,7 +227,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, ranks_path: str | None =
 
         def close() -> None:
             nonlocal n_seq, held
-            for bin_ in pack_rests([len(x[1]) for x in block], capacity, max_segments):
+            for bin_ in pack_rests([len(x[1]) for x in block], capacity, max_segments or capacity):
                 offset = 0
                 for i, at, n in bin_:
                     doc, ids, place, total = block[i]

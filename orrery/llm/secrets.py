@@ -12,8 +12,8 @@ part lies within that reach:
 * a weak secret needs an identifier or an endpoint in reach,
 * an endpoint needs an identifier and a secret in reach.
 
-Spans of one kind never overlap, so starts and ends are both sorted and the
-interval join is one binary search per part.
+The interval join is one binary search per part: spans are sorted by start, with
+the furthest end so far.
 
 Defined results: a null or empty text has no spans; every input row gives one
 output row, repeated rows and null ids included; an empty table gives an
@@ -26,10 +26,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -71,34 +72,39 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
-def _near(spans: list[tuple[int, int]], lo: int, hi: int) -> bool:
-    """Does any of the sorted, disjoint spans overlap [lo, hi)?"""
-    if not spans:
-        return False
-    i = int(np.searchsorted([e for _, e in spans], lo, "right"))
-    return i < len(spans) and spans[i][0] < hi
+class _Spans:
+    """Sorted spans, and whether any overlaps [lo, hi): one binary search, by the
+    furthest end of all spans up to a place."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts = [s for s, _ in spans]
+        self.furthest = list(accumulate((e for _, e in spans), max))
+
+    def meets(self, lo: int, hi: int) -> bool:
+        i = bisect_left(self.starts, hi)
+        return i > 0 and self.furthest[i - 1] > lo
 
 
 def scan(text: str, reach: int = REACH) -> list[tuple[str, int, int]]:
     """All spans of one text, by start, then kind as in ``KINDS``."""
     strong = base_spans(text)
     low = text.lower()
-    taken = sorted((s, e) for _, s, e in strong)
     ident = [m.span() for m in IDENT.finditer(text)] if any(w in low for w in IDENT_WORDS) else []
     token = [m.span() for m in TOKEN.finditer(text) if _random_looking(m[0])]
     ends = [m.span() for m in ENDPOINT.finditer(text)] if any(w in low for w in ENDPOINT_WORDS) else []
     weak: list[tuple[str, int, int]] = []
     if ident or token or ends:
-        token = [s for s in token if not any(a < s[1] and s[0] < b for a, b in taken)]
-        cuts = np.array([0, *(m.end() for m in PARAGRAPH_END.finditer(text)), len(text) + 1])
-        by = {"ident": [[*ident], [(s, e) for k, s, e in strong if k == "access"]],
-              "secret": [token, [(s, e) for k, s, e in strong if k == "assign"], [(s, e) for k, s, e in strong if k == "hex"]],
-              "endpoint": [ends]}
+        taken = _Spans([(s, e) for _, s, e in strong])
+        token = [x for x in token if not taken.meets(*x)]
+        cuts = [0, *(m.end() for m in PARAGRAPH_END.finditer(text)), len(text) + 1]
+        by = {"ident": _Spans(ident + [(s, e) for k, s, e in strong if k == "access"]),
+              "secret": _Spans(token + [(s, e) for k, s, e in strong if k in ("assign", "hex")]),
+              "endpoint": _Spans(ends)}
 
         def has(kind: str, span: tuple[int, int]) -> bool:
-            p = int(np.searchsorted(cuts, span[0], "right"))
-            lo, hi = max(span[0] - reach, int(cuts[p - 1])), min(span[1] + reach, int(cuts[p]))
-            return any(_near(x, lo, hi) for x in by[kind])
+            p = bisect_right(cuts, span[0])
+            return by[kind].meets(max(span[0] - reach, cuts[p - 1]), min(span[1] + reach, cuts[p]))
 
         weak += [("ident", *x) for x in ident if has("secret", x)]
         weak += [("secret", *x) for x in token if has("ident", x) or has("endpoint", x)]

@@ -205,10 +205,10 @@ def _forest(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.nd
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
-    """``(a, b)``: links that connect all fingerprints within ``max_bits`` (at
-    most 4) of each other; fps has one row per different fingerprint."""
-    if not 0 <= max_bits <= 4:
-        raise ValueError("the Golay keys hold for 4 bits at most")
+    """``(a, b)``: links that connect all fingerprints within ``max_bits`` (0,
+    2 or 4) of each other; fps has one row per different fingerprint."""
+    if max_bits not in (0, 2, 4):
+        raise ValueError("the Golay keys hold for 4 bits at most, the centres of large buckets for even distances")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,8 +260,6 @@ def _by_centres(members: DataFrame, max_bits: int) -> DataFrame:
     """Links of members of large buckets by common values within half the distance."""
     near = max_bits // 2
     masks = np.array([sum(1 << p for p in c) for k in range(near + 1) for c in combinations(range(64), k)], dtype=np.uint64)
-    # An odd distance: one side reaches one bit further.
-    odd = max_bits % 2
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,8 +282,6 @@ def _by_centres(members: DataFrame, max_bits: int) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    if odd:
-        raise ValueError("large buckets need an even distance")
     centres = map_batches(members, emit, "centre bigint, fp bigint").repartition("centre").sortWithinPartitions("centre", "fp")
     return map_batches(centres, star, "a bigint, b bigint")
 

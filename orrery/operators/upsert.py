@@ -122,17 +122,26 @@ def merge_latest(
                         f"AS {q(f'__s{i}_{c}')}")
     g = u.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
 
-    # Fold the stages: state = target, then each MERGE in order.  Each stage
-    # is projected into plain columns so the next stage refers to columns,
-    # not to (repeated) copies of the previous stage's CASE expressions.
-    stage_cols = [f"__s{i}_{c}" for i in range(1, len(stages) + 1) for c in vcols]
-    kq = [q(k) for k in keys]
-    cur = g.selectExpr(
-        *kq,
+    start = g.selectExpr(
+        *[q(k) for k in keys],
         *[f"__t.{q(c)} AS {q('__c_' + c)}" for c in vcols],
         f"__t.{t} IS NOT NULL AS __present",
-        *[q(c) for c in stage_cols],
+        *[q(f"__s{i}_{c}") for i in range(1, len(stages) + 1) for c in vcols],
     )
+    return fold_stages(start, stages, keys, ts, cols)
+
+
+def fold_stages(start: DataFrame, stages: Sequence[Stage], keys: Sequence[str], ts: str, cols: Sequence[str]) -> DataFrame:
+    """Apply the WHEN rules of ``stages`` in order to one row per key: ``__c_<col>``
+    is the target's value (``__present``: there is one), ``__s<i>_<col>`` what
+    stage i's source has.
+
+    Each stage is projected into plain columns so the next stage refers to
+    columns, not to (repeated) copies of the previous stage's CASE expressions.
+    """
+    q, vcols = _q, [ts, *cols]
+    stage_cols = [f"__s{i}_{c}" for i in range(1, len(stages) + 1) for c in vcols]
+    kq, cur = [q(k) for k in keys], start
     for i, st in enumerate(stages, 1):
         sts, cts = q(f"__s{i}_{ts}"), q(f"__c_{ts}")
         has_s = f"({sts} IS NOT NULL)"

@@ -47,4 +47,5 @@ def load_all() -> None:
         q_ingest,
         q_extra,
         q_domain,
+        q_stream,
     )

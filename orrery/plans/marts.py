@@ -15,6 +15,7 @@ from orrery import schemas as S
 from orrery.operators.chunked import day_chunk
 from orrery.operators.latest import latest_row, latest_state
 from orrery.operators.nested import has_any, inline_rows, or_empty
+from orrery.operators.state import Part, latest_parts, latest_rows, reduce_rows, stage_rows, stage_state
 from orrery.operators.timeseries import clean_counter_series, fix_control_progress
 from orrery.operators.upsert import Stage, empty_like, merge_latest, watermark_cutoff
 from orrery.plans.q_spatial import support_pairs
@@ -50,6 +51,30 @@ def system_latest(jl: DataFrame) -> DataFrame:
     )
 
 
+SYSTEM_KEYS = ["SystemAddress"]
+SYSTEM_TIMES = {"PowerplayTimestamp": "PowerplayStateControlProgress IS NOT NULL"}
+
+
+def system_state(jl: DataFrame) -> DataFrame:
+    """The mergeable state behind :func:`system_latest`."""
+    other = [c for c in JUMP_COLS if c not in ("SystemAddress", "timestamp")]
+    parts = latest_parts(jl.columns, SYSTEM_KEYS, "timestamp", COUNTERS, {n: F.expr(x) for n, x in SYSTEM_TIMES.items()})
+    return reduce_rows(jl, SYSTEM_KEYS, [F.col("timestamp"), _row_hash(jl, other)], parts)
+
+
+def system_from_state(state: DataFrame) -> DataFrame:
+    return latest_rows(state, SYSTEM_KEYS, "timestamp", COUNTERS, SYSTEM_TIMES)
+
+
+def row_state(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """The mergeable state behind ``latest_row`` by time: the newest ``cols`` per key."""
+    return reduce_rows(df, keys, [F.col("timestamp"), _row_hash(df, cols)], [Part("row", F.struct(*[F.col(c) for c in cols]))])
+
+
+def row_from_state(state: DataFrame, keys: list[str]) -> DataFrame:
+    return state.select(*keys, "row.v.*")
+
+
 def station_sources(docked: DataFrame, approach: DataFrame, location: DataFrame):
     d = docked.select(*STATION_COLS)
     a = approach.select(
@@ -67,6 +92,28 @@ def station_sources(docked: DataFrame, approach: DataFrame, location: DataFrame)
     return d, a, loc
 
 
+STATION_VALUES = [c for c in STATION_COLS if c not in STATION_KEYS and c != "timestamp"]
+
+
+def _station_stages(d: DataFrame | None = None, a: DataFrame | None = None, loc: DataFrame | None = None) -> list[Stage]:
+    """Latest known value: a newer row's non-NULL values win, NULLs keep the old
+    value; the approach feed's placeholder type and distance never replace known
+    ones."""
+    cols, placeholders = STATION_VALUES, ["StationType", "DistFromStarLS"]
+    return [Stage(d, prefer_new=cols, fill_if_null=["LandingPads"]),
+            Stage(a, keep_old=[*placeholders, "LandingPads"], prefer_new=[c for c in cols if c not in placeholders]),
+            Stage(loc, prefer_new=cols)]
+
+
+def station_state(docked: DataFrame, approach: DataFrame, location: DataFrame) -> DataFrame:
+    """The mergeable state behind :func:`station_latest` over whole logs."""
+    return stage_state(_station_stages(*station_sources(docked, approach, location)), STATION_KEYS, "timestamp", STATION_VALUES)
+
+
+def station_from_state(state: DataFrame) -> DataFrame:
+    return stage_rows(state, _station_stages(), STATION_KEYS, "timestamp", STATION_VALUES).select(*STATION_COLS)
+
+
 def station_latest(target: DataFrame | None, docked: DataFrame, approach: DataFrame, location: DataFrame,
                    parity: bool = False, incremental: bool = True) -> DataFrame:
     """Q-B: merge docked, settlement approaches and docked locations into the
@@ -81,20 +128,13 @@ def station_latest(target: DataFrame | None, docked: DataFrame, approach: DataFr
     d, a, loc = station_sources(docked, approach, location)
     if target is None:
         target = empty_like(d, STATION_COLS)
-    cols = [c for c in STATION_COLS if c not in STATION_KEYS and c != "timestamp"]
+    cols = STATION_VALUES
     if parity:
         stages = [Stage(d, fill_if_null=["LandingPads"]),
                   Stage(a, keep_old=["LandingPads"]),
                   Stage(loc, keep_old=["LandingPads"])]
     else:
-        # Latest known value: a newer row's non-NULL values win, NULLs keep
-        # the old value; the approach feed's placeholder type and distance
-        # never replace known ones.
-        placeholders = ["StationType", "DistFromStarLS"]
-        stages = [Stage(d, prefer_new=cols, fill_if_null=["LandingPads"]),
-                  Stage(a, keep_old=[*placeholders, "LandingPads"],
-                        prefer_new=[c for c in cols if c not in placeholders]),
-                  Stage(loc, prefer_new=cols)]
+        stages = _station_stages(d, a, loc)
     out = merge_latest(target, stages, STATION_KEYS, "timestamp", cols,
                        cutoff=watermark_cutoff(target, "timestamp") if parity else None, incremental=incremental)
     return out.select(*STATION_COLS)

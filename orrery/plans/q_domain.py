@@ -8,15 +8,18 @@ order's lines the goods of that market.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from orrery import schemas as S
 from orrery.functions import normalize as N
 from orrery.operators.nested import struct_columns
 from orrery.operators.union import union_by_name
-from orrery.plans import adhoc, marts
+from orrery.plans import adhoc, marts, sqlnames
 from orrery.plans.catalog import register
 from orrery.plans.q_spatial import POWERS
+from orrery.session import scratch_path
 from orrery.sources.tables import table
 
 GOODS = ("gold", "silver", "palladium", "tritium", "steel")  # by part key modulo 5
@@ -326,3 +329,24 @@ def normalise_lists(spark, sf):
         "r")
     # The struct's fields as columns.
     return struct_columns(text, "r", [x for x in text.columns if x != "r"]).withColumnRenamed("Name", "name").withColumnRenamed("FactionState", "state")
+
+
+@register(
+    "distances_by_name",
+    oracle=f"""
+    WITH o AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 1)
+    SELECT c.c_custkey AS "SystemAddress", c.c_name AS "StarSystem", {_far('o', 'c')} AS distance, {_far('o', 'c')} AS by_address, {_far('o', 'c')} AS by_name
+    FROM customer c, o WHERE {_far('o', 'c')} <= 20
+    """,
+)
+def distances_by_name(spark, sf):
+    """Tables and distance functions asked for by their SQL names."""
+    at = scratch_path(spark, f"orrery-names-{uuid.uuid4().hex}")
+    s = populated(spark, sf).select(F.col("Id64").cast("long").alias("SystemAddress"), F.col("Name").alias("StarSystem"), "StarPos")
+    s.write.parquet(f"{at}/systems")
+    sqlnames.install(spark, {"systems": f"{at}/systems"})
+    origin = s.orderBy("SystemAddress").first().StarSystem
+    return spark.sql("""
+        SELECT SystemAddress, StarSystem, distance, star.distance_from(SystemAddress, :origin) AS by_address,
+               star.system_distance(:origin, StarSystem) AS by_name
+        FROM systems_within(:origin, 20D)""", args={"origin": origin})

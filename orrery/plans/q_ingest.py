@@ -151,3 +151,59 @@ def normalise_codes(spark, sf):
         validate_enum("economy", S.ECONOMY, "Economy", "null").alias("economy_valid"),
         enum_reason("government", S.GOVERNMENT).alias("government_reason"),
     )
+
+
+# --- quarantine (S1, V1, V2, F1-F3) ------------------------------------------
+
+_SERVICES = "CASE event_id % 5 WHEN 0 THEN 'Odd' WHEN 1 THEN 'Coriolis' WHEN 2 THEN 'Ocellus' WHEN 3 THEN 'MegaShip' END"
+
+
+def station_lines(spark, sf):
+    """Docked envelopes derived from events: a fifth of the station types is
+    unknown, every seventh line has no name, and the gate's cases are those of
+    ``envelopes``."""
+    env = envelopes(spark, sf).withColumnRenamed("line", "__line")
+    ev = table(spark, sf, "events").select("event_id", "user_id")
+    j = env.join(ev, "event_id")
+    extra = F.to_json(F.struct(
+        F.when(F.col("event_id") % 7 != 0, F.concat(F.lit("S"), F.col("user_id"))).alias("StationName"),
+        F.expr(_SERVICES).alias("StationType"), F.col("event_id").alias("MarketID"), F.col("user_id").alias("SystemAddress")))
+    # The message is the line's last object: its braces are opened once more.
+    line = F.concat(F.expr("substring(__line, 1, length(__line) - 2)"), F.lit(","), F.expr("substring(x, 2)"), F.lit("}"))
+    return j.withColumn("x", extra).select("event_id", "event_type", line.alias("value"))
+
+
+@register(
+    "ingest_quarantine",
+    oracle=f"""
+    WITH g AS ({_GATE_SQL}),
+    r AS (SELECT event_type, CASE WHEN outcome <> 'accepted' THEN outcome WHEN event_id % 5 = 0 THEN 'value: StationType'
+                                  WHEN event_id % 7 = 0 THEN 'missing: StationName' ELSE 'kept' END AS outcome FROM g)
+    SELECT event_type, outcome, count(*) AS n FROM r GROUP BY ALL
+    """,
+)
+def ingest_quarantine(spark, sf):
+    """Every line with a row or with the reason why there is none: malformed,
+    rejected by the gate, outside a domain, or without a column it must have."""
+    lines = station_lines(spark, sf).withColumn("doc", J.parse_once("value"))
+    seen = ndjson.checked(ndjson.gate(lines), "docked")
+    return seen.groupBy("event_type", F.coalesce("reason", F.lit("kept")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "nested_documents",
+    oracle="""
+    SELECT event_id, user_id AS id, [value, value * 2] AS readings, event_type AS kind FROM events
+    WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) <> 99
+    """,
+)
+def nested_documents(spark, sf):
+    """JSON text -> a typed nested struct; text that is no JSON gives none."""
+    ev = table(spark, sf, "events")
+    doc = F.to_json(F.struct(F.col("user_id").alias("id"), F.array(F.col("value"), F.col("value") * 2).alias("readings"),
+                             F.struct(F.col("event_type").alias("kind"), F.lit(1).alias("more")).alias("tag")))
+    broken = J.text_field("props", "$.k", "int") == 99
+    text = ev.select("event_id", F.when(broken, F.concat(F.lit("["), doc)).otherwise(doc).alias("text"))
+    shape = "struct<id: bigint, readings: array<double>, tag: struct<kind: string>>"
+    d = text.select("event_id", J.as_nested(J.parse_once("text"), shape).alias("d")).where("d IS NOT NULL")
+    return d.select("event_id", "d.id", "d.readings", "d.tag.kind")

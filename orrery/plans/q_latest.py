@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from orrery.functions import json as J
 from orrery.operators.latest import latest_row, latest_state
-from orrery.plans.catalog import register
+from orrery.operators.state import latest_parts, latest_rows, merge, reduce_rows
+from orrery.plans.catalog import ORACLES, register
+from orrery.session import scratch_path
+from orrery.sinks.buckets import Buckets
 from orrery.sources.tables import table
 
 
@@ -139,3 +144,19 @@ def latest_over_union(spark, sf):
         extra_aggs={"n_rows": F.count(F.lit(1))},
     )
     return st
+
+
+@register(
+    "latest_over_union_state",
+    oracle=f"SELECT * EXCLUDE (n_rows) FROM ({ORACLES['latest_over_union']})",
+)
+def latest_over_union_state(spark, sf):
+    """Q-A incrementally: each log is a load of its own, merged into a bucketed
+    state; the result reads the state only and equals the whole recompute."""
+    u = activity_log(spark, sf)
+    order, cond = [F.col("ts"), F.col("src"), F.col("item_id")], {"last_order_ts": F.col("src") == "order"}
+    parts = latest_parts(u.columns, ["entity_id"], "ts", filtered_ts=cond)
+    state_table = Buckets(spark, scratch_path(spark, f"orrery-latest-state-{uuid.uuid4().hex}"), ["entity_id"], buckets=16)
+    for src in ("order", "event"):
+        state_table.update(reduce_rows(u.where(F.col("src") == src), ["entity_id"], order, parts), merge)
+    return latest_rows(state_table.read(), ["entity_id"], "ts", filtered_ts=cond)

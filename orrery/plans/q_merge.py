@@ -10,11 +10,16 @@ whole log is merged into it (in the parity form with a 1-hour overlap cutoff).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from orrery.functions import json as J
 from orrery.operators.upsert import Stage, empty_like, keyed_replace, merge_latest, watermark_cutoff
+from orrery.operators.state import merge, stage_rows, stage_state
 from orrery.plans.catalog import register
+from orrery.session import scratch_path
+from orrery.sinks.buckets import Buckets
 from orrery.sources.tables import table
 
 KEYS = ["user_id", "station"]
@@ -58,6 +63,15 @@ def _feeds(ev):
     return docked, approach, location
 
 
+def _stages(docked=None, approach=None, location=None):
+    """Latest known value; the approach placeholders never replace data."""
+    return [
+        Stage(docked, prefer_new=COLS, fill_if_null=["pads"]),
+        Stage(approach, keep_old=["pads", "station_type", "dist"], prefer_new=["market_id", "allegiance"]),
+        Stage(location, prefer_new=COLS),
+    ]
+
+
 def station_latest(target, ev, parity: bool):
     """Q-B: three ordered MERGE stages into ``target``; the parity form has the T3 cutoff."""
     docked, approach, location = _feeds(ev)
@@ -68,12 +82,7 @@ def station_latest(target, ev, parity: bool):
             Stage(location, keep_old=["pads"]),
         ]
     else:
-        # Latest known value; the approach placeholders never replace data.
-        stages = [
-            Stage(docked, prefer_new=COLS, fill_if_null=["pads"]),
-            Stage(approach, keep_old=["pads", "station_type", "dist"], prefer_new=["market_id", "allegiance"]),
-            Stage(location, prefer_new=COLS),
-        ]
+        stages = _stages(docked, approach, location)
     return merge_latest(target, stages, KEYS, "ts", COLS, cutoff=watermark_cutoff(target, "ts") if parity else None)
 
 
@@ -120,7 +129,7 @@ def _stage_sql(t, s, keep_old=(), prefer_new=(), fill=()):
             f"ON t.user_id = s.user_id AND t.station = s.station")
 
 
-def _merge_sql(parity):
+def _merge_sql(parity, batches=((1, f"ts < TIMESTAMP '{SPLIT}'"), (2, "true"))):
     if parity:
         opts = [dict(fill=["pads"]), dict(keep_old=["pads"]), dict(keep_old=["pads"])]
     else:
@@ -132,7 +141,7 @@ def _merge_sql(parity):
     ctes.append("empty AS (SELECT NULL::BIGINT AS user_id, NULL::VARCHAR AS station, NULL::TIMESTAMP AS ts, "
                 "NULL::BIGINT AS market_id, NULL::VARCHAR AS station_type, NULL::DOUBLE AS dist, "
                 "NULL::INTEGER AS pads, NULL::VARCHAR AS allegiance WHERE false)")
-    for b, bf in ((1, f"ts < TIMESTAMP '{SPLIT}'"), (2, "true")):
+    for b, bf in batches:
         cut = f"cut{b}"
         # Only the parity form has an overlap cutoff.
         lost = f"coalesce(max(ts) - INTERVAL 1 HOUR, TIMESTAMP '1970-01-01')" if parity else "min(TIMESTAMP '0001-01-01')"
@@ -161,6 +170,19 @@ def merge_feeds_parity(spark, sf):
     return _two_batches(spark, sf, parity=True)
 
 
+@register("merge_feeds_state", oracle=_merge_sql(False, ((1, "true"),)))
+def merge_feeds_state(spark, sf):
+    """Q-B/K2/T4 incrementally: the log arrives in two loads, the later rows first;
+    each is merged into a bucketed state, of which only the touched buckets are
+    rewritten.  Equal to one merge of the whole log."""
+    ev = table(spark, sf, "events")
+    state_table = Buckets(spark, scratch_path(spark, f"orrery-merge-state-{uuid.uuid4().hex}"), KEYS, buckets=16)
+    early = F.col("ts") < F.lit(SPLIT).cast("timestamp_ntz")
+    for part in (ev.where(~early), ev.where(early)):
+        state_table.update(stage_state(_stages(*_feeds(part)), KEYS, "ts", COLS), merge)
+    return stage_rows(state_table.read(), _stages(), KEYS, "ts", COLS)
+
+
 # --- keyed replace (K2) ----------------------------------------------------
 
 _B1 = ("signup", "click", "view")

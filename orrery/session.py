@@ -69,3 +69,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-path of the shared checkpoint folder for intermediate tables."""
     return checkpoint_dir(spark).rstrip("/") + "/" + name
+
+
+def keep(df, name: str = "step"):
+    """Write a frame to the shared checkpoint folder and read it back: computed
+    once, with a measured size and a short lineage."""
+    import uuid
+
+    path = scratch_path(df.sparkSession, f"orrery-{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

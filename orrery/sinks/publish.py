@@ -146,3 +146,15 @@ def migrate(df: DataFrame, schema: T.StructType) -> DataFrame:
         for f in schema.fields
     ]
     return df.select(*cols)
+
+
+def migrate_release(spark: SparkSession, root: str, schemas: Mapping[str, T.StructType], generated_at: dt.datetime | None = None) -> str:
+    """The current release with some tables re-shaped, as a new release.
+
+    Every table is written anew beside the old ones and the manifest line is
+    added last: readers change over at once or, if anything fails, not at all.
+    The old version stays as a backup until :func:`prune_versions`.
+    """
+    names = read_manifest(spark, root)["tables"]
+    tables = {name: read_published(spark, root, name) for name in names}
+    return publish(spark, root, {n: migrate(t, schemas[n]) if n in schemas else t for n, t in tables.items()}, generated_at)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ from orrery.functions import json as J
 from orrery.functions import normalize as N
 from orrery.functions.validate import validate_enum
 from orrery.operators.latest import latest_row
+from orrery.sources import jsonarray
 
 RAW_FACTION = (
     "array<struct<Name string, Allegiance string, FactionState string, Government string, Influence double, "
@@ -187,14 +189,9 @@ def _system_cols(policy: str) -> list[Column]:
 _SYSTEM_FACTION_POS = 14  # index of SystemFaction in _system_cols
 
 
-def _keep_good_system(df: DataFrame) -> DataFrame:
-    """rows whose security or economy did not normalise are bad data."""
-    return df.filter(F.col("SystemSecurity").isNotNull() & F.col("SystemEconomy").isNotNull())
-
-
 def jumps(gated: DataFrame, policy: str = "fail") -> DataFrame:
     """FSDJump / CarrierJump -> ``jumps`` rows."""
-    return _keep_good_system(accepted(gated).select(*_system_cols(policy), "file"))
+    return _rows(gated, "jumps", policy)
 
 
 def _station_cols(policy: str) -> list[Column]:
@@ -208,15 +205,15 @@ def _station_cols(policy: str) -> list[Column]:
     ]
 
 
-def location(gated: DataFrame, policy: str = "fail") -> DataFrame:
-    """Location -> ``location`` rows (system columns + station columns + Docked)."""
+def _location_cols(policy: str) -> list[Column]:
     # Unlike jumps, the location importer defaults the system faction state.
     sys_cols = [
         N.faction_ref(msg("SystemFaction", "struct<Name string, FactionState string>")).alias("SystemFaction")
         if i == _SYSTEM_FACTION_POS else c
         for i, c in enumerate(_system_cols(policy))
     ]
-    extra = [
+    return [
+        *sys_cols,
         validate_enum(msg("BodyType"), S.BODY_TYPE, "BodyType", policy).alias("BodyType"),
         msg("DistFromStarLS", "double").alias("DistFromStarLS"),
         msg("Docked", "boolean").alias("Docked"),
@@ -226,13 +223,11 @@ def location(gated: DataFrame, policy: str = "fail") -> DataFrame:
         .alias("StationType"),
         *_station_cols(policy),
     ]
-    return _keep_good_system(accepted(gated).select(*sys_cols, *extra, "file"))
 
 
-def docked(gated: DataFrame, policy: str = "fail") -> DataFrame:
-    """Docked -> ``docked`` rows (the allegiance is kept, quirk Q12 'ours')."""
+def _docked_cols(policy: str) -> list[Column]:
     st = F.coalesce(msg("stationType"), msg("StationType"))
-    return accepted(gated).select(
+    return [
         parse_ts(msg("timestamp")).alias("timestamp"),
         msg("StarSystem").alias("StarSystem"),
         msg("SystemAddress", "bigint").alias("SystemAddress"),
@@ -244,13 +239,11 @@ def docked(gated: DataFrame, policy: str = "fail") -> DataFrame:
         validate_enum(msg("StationAllegiance"), S.ALLEGIANCE, "StationAllegiance", policy).alias("StationAllegiance"),
         *_station_cols(policy),
         msg("LandingPads", "struct<Large int, Medium int, Small int>").alias("LandingPads"),
-        "file",
-    ).filter(F.col("StationName").isNotNull())
+    ]
 
 
-def approach_settlement(gated: DataFrame, policy: str = "fail") -> DataFrame:
-    """ApproachSettlement -> ``approach_settlement`` rows."""
-    return accepted(gated).select(
+def _approach_cols(policy: str) -> list[Column]:
+    return [
         parse_ts(msg("timestamp")).alias("timestamp"),
         msg("StarSystem").alias("StarSystem"),
         msg("SystemAddress", "bigint").alias("SystemAddress"),
@@ -264,13 +257,11 @@ def approach_settlement(gated: DataFrame, policy: str = "fail") -> DataFrame:
         _pos(policy).alias("StarPos"),
         validate_enum(msg("StationAllegiance"), S.ALLEGIANCE, "StationAllegiance", policy).alias("StationAllegiance"),
         *_station_cols(policy),
-        "file",
-    ).filter(F.col("Name").isNotNull())
+    ]
 
 
-def saa_signals(gated: DataFrame, policy: str = "fail") -> DataFrame:
-    """SAASignalsFound -> ``saasignalsfound`` rows."""
-    return accepted(gated).select(
+def _saa_cols(policy: str) -> list[Column]:
+    return [
         parse_ts(msg("timestamp")).alias("timestamp"),
         msg("StarSystem").alias("StarSystem"),
         msg("SystemAddress", "bigint").alias("SystemAddress"),
@@ -279,25 +270,21 @@ def saa_signals(gated: DataFrame, policy: str = "fail") -> DataFrame:
         msg("Genuses", "array<struct<Genus string>>").alias("Genuses"),
         N.signal_counts(msg("Signals", "array<struct<Count int, Type string>>"), policy).alias("Signals"),
         _pos(policy).alias("StarPos"),
-        "file",
-    )
+    ]
 
 
-def fss_signals(gated: DataFrame, policy: str = "fail") -> DataFrame:
-    """FSSSignalDiscovered -> rows for ``fsssignaldiscovered_latest``."""
-    return accepted(gated).select(
+def _fss_cols(policy: str) -> list[Column]:
+    return [
         parse_ts(msg("timestamp")).alias("timestamp"),
         msg("StarSystem").alias("StarSystem"),
         msg("SystemAddress", "bigint").alias("SystemAddress"),
         N.fss_signals(msg("signals", "array<struct<IsStation string, SignalName string, SignalType string>>"),
                       policy).alias("Signals"),
-        "file",
-    )
+    ]
 
 
-def commodities(gated: DataFrame, policy: str = "fail") -> DataFrame:
-    """Commodity market messages -> rows for ``commodities_latest``."""
-    return accepted(gated).select(
+def _commodity_cols(policy: str) -> list[Column]:
+    return [
         msg("marketId", "bigint").alias("MarketId"),
         msg("systemName").alias("SystemName"),
         msg("stationName").alias("StationName"),
@@ -308,24 +295,105 @@ def commodities(gated: DataFrame, policy: str = "fail") -> DataFrame:
         validate_enum(msg("carrierDockingAccess"), S.CARRIER_DOCKING_ACCESS, "CarrierDockingAccess", policy)
         .alias("CarrierDockingAccess"),
         N.commodities(msg("commodities", RAW_COMMODITIES), policy).alias("Commodities"),
-        "file",
-    )
+    ]
+
+
+#: Columns of each event type, by enum policy, and those that a row must have
+#: (F3: a system whose security or economy did not normalise is bad data).
+EVENT_TYPES = {
+    "jumps": (_system_cols, ("SystemSecurity", "SystemEconomy")),
+    "location": (_location_cols, ("SystemSecurity", "SystemEconomy")),
+    "docked": (_docked_cols, ("StationName",)),
+    "approach_settlement": (_approach_cols, ("Name",)),
+    "commodities": (_commodity_cols, ()),
+    "saasignalsfound": (_saa_cols, ()),
+    "fss_signals": (_fss_cols, ()),
+}
+
+
+def _rows(gated: DataFrame, event: str, policy: str) -> DataFrame:
+    columns, required = EVENT_TYPES[event]
+    out = accepted(gated).select(*columns(policy), "file")
+    for c in required:
+        out = out.filter(F.col(c).isNotNull())
+    return out
+
+
+def location(gated: DataFrame, policy: str = "fail") -> DataFrame:
+    """Location -> ``location`` rows (system columns + station columns + Docked)."""
+    return _rows(gated, "location", policy)
+
+
+def docked(gated: DataFrame, policy: str = "fail") -> DataFrame:
+    """Docked -> ``docked`` rows (the allegiance is kept, quirk Q12 'ours')."""
+    return _rows(gated, "docked", policy)
+
+
+def approach_settlement(gated: DataFrame, policy: str = "fail") -> DataFrame:
+    """ApproachSettlement -> ``approach_settlement`` rows."""
+    return _rows(gated, "approach_settlement", policy)
+
+
+def saa_signals(gated: DataFrame, policy: str = "fail") -> DataFrame:
+    """SAASignalsFound -> ``saasignalsfound`` rows."""
+    return _rows(gated, "saasignalsfound", policy)
+
+
+def fss_signals(gated: DataFrame, policy: str = "fail") -> DataFrame:
+    """FSSSignalDiscovered -> rows for ``fsssignaldiscovered_latest``."""
+    return _rows(gated, "fss_signals", policy)
+
+
+def commodities(gated: DataFrame, policy: str = "fail") -> DataFrame:
+    """Commodity market messages -> rows for ``commodities_latest``."""
+    return _rows(gated, "commodities", policy)
+
+
+def checked(gated: DataFrame, event: str) -> DataFrame:
+    """V1/V2 'ours': every line with the row it gives, or the reason why it gives none.
+
+    ``reason`` is the gate's, ``value: <columns>`` where a value is outside its
+    domain (keeping and nulling it differ), or ``missing: <columns>``; NULL for a
+    good line.  ``row`` is the typed row.  Other columns of ``gated`` pass through.
+    """
+    columns, required = EVENT_TYPES[event]
+    d = gated.select("*", F.struct(*columns("keep")).alias("__keep"), F.struct(*columns("null")).alias("row"))
+    names = [f.name for f in d.schema["row"].dataType.fields]
+    bad = F.array_compact(F.array(*[F.when(~F.col(f"__keep.{c}").eqNullSafe(F.col(f"row.{c}")), c) for c in names]))
+    gone = F.array_compact(F.array(*[F.when(F.col(f"row.{c}").isNull(), c) for c in required] or [F.lit(None).cast("string")]))
+    reason = F.coalesce("reject_reason", F.when(F.size("__bad") > 0, F.concat(F.lit("value: "), F.array_join("__bad", ", "))),
+                        F.when(F.size("__gone") > 0, F.concat(F.lit("missing: "), F.array_join("__gone", ", "))))
+    return d.withColumns({"__bad": bad, "__gone": gone}).withColumn("reason", reason).drop("__keep", "__bad", "__gone", "doc", "reject_reason")
 
 
 def systems_dump(spark: SparkSession, path: str) -> DataFrame:
     """S3: the populated-systems dump, one JSON array document.
 
-    One gzip document is one task; land it once as Parquet and read that.
-    A repeated id counts once (K3).
+    The document is streamed element by element (one task a file); see
+    :func:`land_systems`.  A repeated id counts once (K3).
     """
     body = S.BODY.simpleString()
-    raw = spark.read.option("multiLine", True).schema(
-        f"id64 bigint, name string, coords struct<x double, y double, z double>, bodies array<{body}>"
-    ).json(path)
+    shape = f"struct<id64: bigint, name: string, coords: struct<x: double, y: double, z: double>, bodies: array<{body}>>"
+    raw = jsonarray.read(spark, path).select(J.as_nested(J.parse("value"), shape).alias("d"))
     rows = raw.select(
-        F.col("id64").alias("Id64"),
-        F.col("name").alias("Name"),
-        F.array("coords.x", "coords.y", "coords.z").alias("StarPos"),
-        F.col("bodies").alias("Bodies"),
+        F.col("d.id64").alias("Id64"),
+        F.col("d.name").alias("Name"),
+        F.when(F.col("d.coords").isNotNull(), F.array("d.coords.x", "d.coords.y", "d.coords.z")).alias("StarPos"),
+        F.col("d.bodies").alias("Bodies"),
     )
     return latest_row(rows, ["Id64"], ["Name"])
+
+
+def land_systems(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """The dump as Parquet under ``folder``, written once for each state of the
+    file (name, length, time): later calls read what is there."""
+    one = spark.read.format("binaryFile").load(path).select("path", "length", F.col("modificationTime").cast("string").alias("at"))
+    name = one.agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("path", "length", "at")))), 256).alias("id")).first().id[:16]
+    out = f"{folder.rstrip('/')}/dump={name}"
+    try:
+        return spark.read.parquet(out)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    systems_dump(spark, path).sortWithinPartitions("Id64").write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)

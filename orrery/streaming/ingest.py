@@ -1,18 +1,15 @@
 """Structured Streaming ingestion and latest-state maintenance.
 
-* The file source sees each landed file once; its checkpoint replaces the
-  reference's per-file ledger, so every delta must land as a new immutable
-  file (growing files are not re-read).
+* ``read_feed`` reads files that land whole (Spark's file source);
+  ``read_growing`` reads files that grow, each appended line once.  In both the
+  checkpoint replaces the reference's per-file ledger.
 * Lines are parsed and gated with the same column expressions as the batch
   path (``orrery.sources.ndjson``), so stream and batch agree row for row.
-* The latest-state tables are maintained in ``foreachBatch``: each micro
-  batch is merged into the current snapshot with ``merge_latest`` and
-  written as a new version — an idempotent function of (snapshot, batch), so
-  a replayed batch after an executor or driver failure yields the same
-  snapshot.
+* The latest-state tables are maintained in ``foreachBatch``: each micro batch
+  becomes a state (``operators.state``) that is merged into the touched buckets
+  of a bucketed table (``sinks.buckets``).
 * ``latest_per_key_stream`` is the pure streaming form of A2: a streaming
-  ``max_by`` aggregation with state in the state store (RocksDB by default
-  here), output in update mode.
+  ``max_by`` aggregation with state in the state store, output in update mode.
 
 Checkpoints go under the shared ``spark.checkpoint.dir``.
 """
@@ -27,8 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from orrery.functions import json as J
+from orrery.operators.state import merge
 from orrery.session import scratch_path
-from orrery.sources import ndjson
+from orrery.sinks.buckets import Buckets
+from orrery.sources import growing, ndjson
 
 
 def read_feed(spark: SparkSession, folder: str, glob: str | None = None, max_files: int = 1000) -> DataFrame:
@@ -41,6 +40,12 @@ def read_feed(spark: SparkSession, folder: str, glob: str | None = None, max_fil
     return ndjson.gate(lines)
 
 
+def read_growing(spark: SparkSession, folder: str, glob: str = "*.jsonl*", settle_seconds: float = 3600) -> DataFrame:
+    """T1 for files that grow: stream of gated lines, each appended line once."""
+    raw = growing.read_stream(spark, folder, glob=glob, settleSeconds=settle_seconds)
+    return ndjson.gate(raw.select("file", "path", "at", J.parse_once("value").alias("doc")))
+
+
 def with_event_time(df: DataFrame, ts: str = "timestamp", watermark: str = "1 hour") -> DataFrame:
     """Event-time column for watermarking (streams need TIMESTAMP,
     not TIMESTAMP_NTZ; under a UTC session the cast is the identity)."""
@@ -48,89 +53,63 @@ def with_event_time(df: DataFrame, ts: str = "timestamp", watermark: str = "1 ho
 
 
 def latest_per_key_stream(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
-    """A2 on a stream: newest row per key, kept in the state store."""
+    """A2 on a stream: newest row per key, kept in the state store; a hash of the
+    row breaks ties, not the order of arrival."""
     cols = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col(ts)).alias("__row")).select(*keys, "__row.*")
+    order = F.struct(F.col(ts), F.xxhash64(*cols))
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*cols), order).alias("__row")).select(*keys, "__row.*")
 
 
 def upsert_each_batch(
     spark: SparkSession,
     stream: DataFrame,
-    merge: Callable[[DataFrame | None, DataFrame], DataFrame],
-    snapshot_root: str,
+    state_of: Callable[[DataFrame], DataFrame],
+    keys: Sequence[str],
+    path: str,
     name: str,
     trigger_once: bool = True,
-    keep: int = 3,
+    buckets: int = 64,
 ) -> StreamingQuery:
-    """T4: per micro batch, ``snapshot = merge(previous snapshot, batch)``.
+    """T4: per micro batch, merge ``state_of(batch)`` (an ``operators.state``
+    state by ``keys``) into the bucketed table at ``path``.
 
-    Snapshots are written to ``snapshot_root/batch=<id>``; the id comes from
-    Spark, so a replay of the same batch rewrites the same folder.  The newest
-    ``keep`` stay (readers may still be on the one before); older ones go.
+    Only touched buckets are read and rewritten.  Merging a batch twice changes
+    nothing, so a replay after a failure gives the same table.
     """
-    root = snapshot_root.rstrip("/")
-
     def run(batch: DataFrame, batch_id: int) -> None:
-        prev = _latest_snapshot(spark, root, batch_id)
-        batch.persist()  # the merge reads it once per stage
-        try:
-            merge(prev, batch).write.mode("overwrite").parquet(f"{root}/batch={batch_id:012d}")
-        finally:
-            batch.unpersist()
-        _prune(spark, root, batch_id, keep)
+        Buckets(spark, path, keys, buckets).update(state_of(batch), merge)
 
     # One checkpoint per (query name, sink): a restart of the same stream
-    # resumes, a stream into another snapshot folder starts fresh.
-    ident = hashlib.sha1(root.encode()).hexdigest()[:12]
+    # resumes, a stream into another table starts fresh.
+    ident = hashlib.sha1(path.rstrip("/").encode()).hexdigest()[:12]
     ckpt = scratch_path(spark, f"stream-{name}-{ident}")
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="1 minute")
     return w.queryName(name).start()
 
 
-def _snapshots(spark: SparkSession, root: str) -> tuple[list[int], object]:
-    """Ids of the complete snapshots, in order, and the file system they are in."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return [], fs
-    return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path)
-                  if s.getPath().getName().startswith("batch=") and
-                  fs.exists(jvm.org.apache.hadoop.fs.Path(f"{s.getPath()}/_SUCCESS"))), fs
-
-
-def _prune(spark: SparkSession, root: str, newest: int, keep: int) -> None:
-    ids, fs = _snapshots(spark, root)
-    for i in [i for i in ids if i <= newest][:-keep]:
-        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/batch={i:012d}"), True)
-
-
-def _latest_snapshot(spark: SparkSession, root: str, before: int) -> DataFrame | None:
-    ids = [i for i in _snapshots(spark, root)[0] if i < before]
-    return spark.read.parquet(f"{root}/batch={ids[-1]:012d}") if ids else None
-
-
-def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
-    """The newest complete snapshot written by :func:`upsert_each_batch`."""
-    return _latest_snapshot(spark, root.rstrip("/"), 1 << 62)
-
-
-def station_latest_stream(spark: SparkSession, feed_dir: str, snapshot_root: str,
-                          name: str = "station_latest", trigger_once: bool = True) -> StreamingQuery:
-    """T1-T4 end to end: newly landed Docked / ApproachSettlement / Location
-    files -> gate -> typed projections -> incremental three-stage merge into
-    the station snapshot, one new snapshot version per micro batch."""
+def station_latest_stream(spark: SparkSession, feed_dir: str, path: str, name: str = "station_latest",
+                          trigger_once: bool = True, settle_seconds: float = 3600) -> StreamingQuery:
+    """T1-T4 end to end: lines appended to Docked / ApproachSettlement / Location
+    files -> gate -> typed projections -> three-stage merge into the bucketed
+    station state."""
     from orrery.plans import marts  # local import: marts depends on operators only
 
-    stream = read_feed(spark, feed_dir)
+    stream = read_growing(spark, feed_dir, settle_seconds=settle_seconds)
 
-    def merge(prev: DataFrame | None, batch: DataFrame) -> DataFrame:
+    def state_of(batch: DataFrame) -> DataFrame:
         def of(kind: str) -> DataFrame:
             return batch.filter(F.col("file").contains(kind))
 
-        return marts.station_latest(prev, ndjson.docked(of("Docked")),
-                                    ndjson.approach_settlement(of("ApproachSettlement")),
-                                    ndjson.location(of("Location")))
+        return marts.station_state(ndjson.docked(of("Docked")), ndjson.approach_settlement(of("ApproachSettlement")),
+                                   ndjson.location(of("Location")))
+
+    return upsert_each_batch(spark, stream, state_of, marts.STATION_KEYS, path, name, trigger_once)
+
+
+def station_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+    """The station table kept by :func:`station_latest_stream`."""
+    from orrery.plans import marts
 
-    return upsert_each_batch(spark, stream, merge, snapshot_root, name, trigger_once)
+    state = Buckets(spark, path, marts.STATION_KEYS).read()
+    return None if state is None else marts.station_from_state(state)

@@ -11,7 +11,7 @@ from orrery.operators.latest import latest_row
 from orrery.operators.spatial import range_join
 from orrery.operators.timeseries import lookback_rates, state_sessions
 from orrery.operators.upsert import Stage, empty_like, merge_latest
-from orrery.streaming.stateful import clean_counter_stream
+from orrery.streaming import ordered
 
 T0 = dt.datetime(2025, 1, 1)
 
@@ -72,13 +72,12 @@ def test_stateful_cleaning_does_not_depend_on_arrow_batches(spark, tmpdir_path):
     got = []
     for n in ("10000", "7"):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
-        stream = clean_counter_stream(spark.readStream.schema(df.schema).parquet(f"{tmpdir_path}/in"), "key", "ts", "state", "r", "u")
-        q = (stream.writeStream.format("parquet").option("checkpointLocation", f"{tmpdir_path}/c{n}").option("path", f"{tmpdir_path}/o{n}")
-             .trigger(availableNow=True).start())
-        q.awaitTermination()
+        stream = ordered.clean_counters(spark.readStream.schema(df.schema).parquet(f"{tmpdir_path}/in"), "key", "ts", "state", "r", "u")
+        ordered.write_with_late(stream, f"{tmpdir_path}/o{n}", f"{tmpdir_path}/l{n}", f"{tmpdir_path}/c{n}", f"clean{n}").awaitTermination()
         got.append(_rows(spark.read.parquet(f"{tmpdir_path}/o{n}")))
+        assert spark.read.parquet(f"{tmpdir_path}/l{n}").count() == 0
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert got[0] == got[1] and not any("late=True" in r for r in got[0])
+    assert got[0] == got[1] and len(got[0]) > 50
 
 
 def test_look_back_over_several_chunks(spark):

@@ -2,6 +2,7 @@ import datetime as dt
 import os
 import shutil
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,7 +96,8 @@ def test_build_release_end_to_end(spark, tmpdir_path):
     assert publish.read_published(spark, root, "powerplay_support").count() == 1
     assert publish.read_published(spark, root, "infra_failures").count() == 1
     assert spark.read.parquet(os.path.join(wh, "logs", "jumps")).count() == 4
-    assert release.new_files(spark, landed, wh).count() == 0
+    release.ingest(spark, landed, wh)  # nothing new: no load
+    assert [d for d in os.listdir(os.path.join(wh, "loads")) if "=" in d] == ["load=00000000"]
     jl = spark.read.parquet(os.path.join(wh, "logs", "jumps"))
     out = os.path.join(tmpdir_path, "factions_csv")
     release.faction_export(jl.drop("event_date", "load"), out)
@@ -149,3 +151,19 @@ def test_retention_bytes(spark):
     df = spark.createDataFrame(rows, "t string, ts timestamp_ntz, n int")
     out = retention.retention_report(df, "t", "ts", {"a": 3}, F.lit(dt.datetime(2025, 1, 10)).cast("timestamp_ntz"), size=F.col("n"))
     assert {(r.t, r.kept, r.dropped, r.kept_bytes, r.dropped_bytes) for r in out.collect()} == {("a", 1, 1, 5, 7), ("b", 1, 0, 9, 0)}
+
+
+def test_migrate_release_swaps_and_keeps_a_backup(spark, tmpdir_path):
+    root = os.path.join(tmpdir_path, "release")
+    a = spark.createDataFrame([(1, "5")], "k int, v string")
+    old = publish.publish(spark, root, {"a": a, "b": a}, dt.datetime(2025, 9, 1))
+    shape = T.StructType.fromDDL("k bigint, v int, extra string")
+    publish.migrate_release(spark, root, {"a": shape}, dt.datetime(2025, 9, 2))
+    assert publish.read_published(spark, root, "a").schema == shape
+    assert publish.read_published(spark, root, "a").first() == (1, 5, None) and publish.read_published(spark, root, "b").schema == a.schema
+    assert spark.read.parquet(f"{old}/a").schema["v"].dataType == T.StringType()  # the backup
+    with pytest.raises(Exception):  # a value that does not fit: nothing changes
+        bad = spark.createDataFrame([(1, "x")], "k int, v string")
+        publish.publish(spark, root, {"a": bad}, dt.datetime(2025, 9, 3))
+        publish.migrate_release(spark, root, {"a": shape}, dt.datetime(2025, 9, 4))
+    assert publish.read_manifest(spark, root)["version"] == "v=20250903_000000"

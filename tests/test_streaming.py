@@ -2,34 +2,15 @@ import os
 
 from pyspark.sql import functions as F
 
-from orrery.operators.timeseries import clean_counter_series
-from orrery.operators.upsert import Stage, merge_latest
-from orrery.plans.q_series import series_log
-from orrery.streaming import ingest, stateful
+from orrery.operators.upsert import Stage
+from orrery.operators.state import stage_rows, stage_state
+from orrery.sinks.buckets import Buckets
+from orrery.streaming import ingest
 from tests.feed import envelope, write_lines
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_stateful_stream_equals_batch(spark, tmpdir_path):
-    log = series_log(spark, SF)
-    batch = clean_counter_series(log, "user_id", "ts", "state", "r", "u", progress="progress", control="control")
-    want = sorted((str(r.user_id), r.ts, r.state, r.r, r.u) for r in batch.collect())
-
-    # Stream the same log from parquet files, in event-time order per key.
-    src = os.path.join(tmpdir_path, "log")
-    log.orderBy("ts").coalesce(1).write.parquet(src)
-    stream = spark.readStream.schema(log.schema).parquet(src)
-    out = stateful.clean_counter_stream(stream, "user_id", "ts", "state", "r", "u", progress="progress",
-                                        control="control")
-    q = (out.writeStream.format("memory").queryName("clean_stream").outputMode("append")
-         .option("checkpointLocation", os.path.join(tmpdir_path, "ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    got = sorted((r.key, r.ts.replace(tzinfo=None), r.state, r.r, r.u)
-                 for r in spark.sql("SELECT * FROM clean_stream").collect())
-    assert got == want
-
-
 def test_feed_stream_upsert(spark, tmpdir_path):
     feed = os.path.join(tmpdir_path, "feed")
     msgs = [
@@ -45,14 +26,15 @@ def test_feed_stream_upsert(spark, tmpdir_path):
         ingest.ndjson.msg("MarketID", "bigint").alias("MarketId"),
     )
 
-    def merge(prev, batch):
-        target = prev if prev is not None else batch.limit(0)
-        return merge_latest(target, [Stage(batch)], ["SystemAddress", "StationName"], "ts", ["MarketId"])
+    keys, stages = ["SystemAddress", "StationName"], [Stage(None)]
+
+    def state_of(batch):
+        return stage_state([Stage(batch)], keys, "ts", ["MarketId"])
 
     snaps = os.path.join(tmpdir_path, "snap")
-    q = ingest.upsert_each_batch(spark, stream, merge, snaps, "docked_latest")
+    q = ingest.upsert_each_batch(spark, stream, state_of, keys, snaps, "docked_latest")
     q.awaitTermination()
-    snap = ingest.read_snapshot(spark, snaps)
+    snap = stage_rows(Buckets(spark, snaps, keys).read(), stages, keys, "ts", ["MarketId"])
     assert sorted((r.SystemAddress, r.MarketId) for r in snap.collect()) == [(1, 2), (2, 3)]
 
 
@@ -99,7 +81,7 @@ def test_station_stream_equals_batch(spark, tmpdir_path):
     snaps = os.path.join(tmpdir_path, "stations")
     q = ingest.station_latest_stream(spark, feed_dir, snaps)
     q.awaitTermination()
-    got = ingest.read_snapshot(spark, snaps)
+    got = ingest.station_snapshot(spark, snaps)
     cols = ["SystemAddress", "StationName", "timestamp", "StationType", "MarketId", "LandingPads"]
     assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(
         tuple(r) for r in want.select(*cols).collect())

@@ -301,3 +301,21 @@ def pack_vectors(df: DataFrame, id_cols: list[str], tokens: str, loss: str, capa
     count = [F.coalesce(F.col(f"`{c}`").cast("long"), F.lit(0)).alias(n) for c, n in ((tokens, "tokens"), (loss, "loss"))]
     rows = df.select(*[F.col(f"`{c}`") for c in id_cols], *count)
     return map_batches(rows, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id bigint")
+
+
+def conversation_sizes(df: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, id_col: str = "conv_id",
+                       role_col: str = "role", text_col: str = "text", learnt_role: str = "assistant") -> DataFrame:
+    """``(<id_col>, tokens, loss, turns)`` per conversation: all tokens, an end id a
+    turn included, and those of the turns that a model learns from.  A null text
+    is an empty one; turns without a conversation's id are one conversation."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer_path, ranks_path, pattern)
+        for batch in batches:
+            n = [1 + sum(len(encode(c)) for c in chunks(t.as_py() or "")) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("role"), pa.array(n, pa.int64())], ["id", "role", "n"])
+
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{role_col}`").cast("string").alias("role"), F.col(f"`{text_col}`").alias("text"))
+    sized = map_batches(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, role string, n bigint")
+    learnt = F.sum(F.when(F.col("role") == learnt_role, F.col("n")).otherwise(0))
+    return sized.groupBy("id").agg(F.sum("n").alias("tokens"), learnt.alias("loss"), F.count("*").alias("turns")).withColumnRenamed("id", id_col)

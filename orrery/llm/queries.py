@@ -174,3 +174,11 @@ LEFT JOIN (SELECT reach.r, min(o.doc_id) AS least_id FROM reach JOIN docs o ON o
 def op13_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bbit.near_groups(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+@register("pack_conversations")
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations under three limits at once: tokens, segments, and
+    tokens of the assistant's turns."""
+    sizes = packing.conversation_sizes(documents(spark, sf_dir, "conversations"), **tokenizer_files())
+    return packing.pack_vectors(sizes, ["conv_id"], "tokens", "loss", capacity=2048, max_segments=8, max_loss=1024)

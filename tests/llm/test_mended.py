@@ -1,13 +1,17 @@
 """Faults found by review, each with a test of its own."""
 
+import math
 import random
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from orrery.llm import decontam, langid, packing, secrets, simhash
-from orrery.llm.queries import tokenizer_files
+from orrery.llm import decontam, langid, packing, secrets, simhash, toxicity
+from orrery.llm.queries import QUERIES, tokenizer_files
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_decontamination_is_the_same_in_any_number_of_slices(spark, make):
@@ -101,3 +105,72 @@ def test_odd_distances_are_refused(spark):
     for n in (1, 3, 5):
         with pytest.raises(ValueError):
             simhash.links(fps, max_bits=n)
+
+
+def test_language_scores_equal_a_plain_network(make):
+    """Embedding, convolutions, max pooling and softmax as their definitions say."""
+    en, de = "the quick dog and the cat went there. ", "der schnelle hund und die katze über straße. "
+    rows = [(i, (en if i % 2 else de) * 4, "en" if i % 2 else "de") for i in range(120)]
+    model = langid.fit(make(rows))
+    texts = [(1, "a"), (2, en * 20), (3, de + en), (4, "xyz 123 über")]
+    got = {r.id: (r.lang_pred, r.score) for r in langid.predict(make(texts), model).collect()}
+    for i, text in texts:
+        raw, total, n = text.encode(), np.zeros(2), 0
+        at = 0
+        while True:
+            window = (raw[at : at + 256] + b"\0" * 256)[:256]
+            e = model.embed[np.frombuffer(window, np.uint8)].astype(float)
+            hidden = []
+            for w, conv in zip(langid.WIDTHS, model.conv):
+                place = [sum(e[t + j] @ conv[j].astype(float) for j in range(w)) for t in range(256 - 3)]
+                hidden.append(np.max(place, axis=0))
+            z = np.maximum(np.concatenate(hidden) + model.conv_bias, 0) @ model.out + model.out_bias
+            p = np.exp(z - z.max())
+            total, n = total + p / p.sum(), n + 1
+            at += 253
+            if at + 3 >= len(raw):
+                break
+        assert got[i][0] == model.languages[int(total.argmax())] and abs(got[i][1] - total.max() / n) < 1e-4
+
+
+def test_toxicity_ratios_and_optimum(spark, make):
+    """Log-count ratios by plain counting; the weights are where the loss has no slope."""
+    rng = random.Random(3)
+    words = ["good", "calm", "kind", "tree", "awful", "nasty", "river", "stone"]
+    rows = [(i, " ".join(rng.choice(words[:4] + words[6:] if i % 3 else words[3:]) for _ in range(8))) for i in range(300)]
+    labels = [(i, int(i % 3 == 0)) for i, _ in rows]
+    model = toxicity.fit(make(rows), spark.createDataFrame(labels, "doc_id bigint, toxic int"), n_features=60)
+    learnt = [(t, y) for (i, t), (_, y) in zip(rows, labels) if __import__("zlib").crc32(str(i).encode()) % 4 != 2]
+    count = {0: Counter(), 1: Counter()}
+    for t, y in learnt:
+        count[y].update({int(b) for b in toxicity.grams(t.encode())})
+    n = {y: sum(1 for _, v in learnt if v == y) for y in (0, 1)}
+    ratio = np.array([math.log((count[1][int(f)] + 1) / (n[1] + 2)) - math.log((count[0][int(f)] + 1) / (n[0] + 2)) for f in model.buckets])
+    x = np.array([[f in {int(b) for b in toxicity.grams(t.encode())} for f in map(int, model.buckets)] for t, _ in learnt]) * ratio
+    y = np.array([v for _, v in learnt])
+    w = model.weights / ratio
+    p = 1 / (1 + np.exp(-(x @ w + model.intercept)))
+    slope = x.T @ (p - y) / len(y) + 1e-4 * w
+    assert np.abs(slope).max() < 2e-3 and abs((p - y).mean()) < 2e-3
+    got = {r.id: r.score for r in toxicity.score(make(rows[:20]), model).collect()}
+    for i, t in rows[:20]:
+        z = sum(float(v) for f, v in zip(model.buckets, model.weights) if int(f) in {int(b) for b in toxicity.grams(t.encode())}) + model.intercept
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_conversations_under_three_limits(spark):
+    import pandas as pd
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_files()["tokenizer_path"])
+    conv = pd.read_parquet(f"{SF}/conversations.parquet")
+    conv["n"] = [1 + len(tok.encode(t or "", add_special_tokens=False).ids) for t in conv.text]
+    got = QUERIES["pack_conversations"](spark, SF).toPandas().set_index("conv_id")
+    want = conv.groupby("conv_id").n.sum()
+    learnt = conv[conv.role == "assistant"].groupby("conv_id").n.sum().reindex(want.index).fillna(0)
+    assert (got.tokens.sort_index() == want.sort_index()).all() and (got.loss.sort_index() == learnt.sort_index()).all()
+    bins = got.groupby("sequence_id").agg(tokens=("tokens", "sum"), loss=("loss", "sum"), n=("tokens", "size"))
+    alone = bins.n == 1
+    assert ((bins.tokens <= 2048) | alone).all() and ((bins.loss <= 1024) | alone).all() and (bins.n <= 8).all()
+    least = max(want.sum() / 2048, learnt.sum() / 1024, len(want) / 8)
+    assert len(bins) <= 1.5 * least + 2

@@ -335,7 +335,7 @@ def normalise_lists(spark, sf):
     "distances_by_name",
     oracle=f"""
     WITH o AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 1)
-    SELECT c.c_custkey AS "SystemAddress", c.c_name AS "StarSystem", {_far('o', 'c')} AS distance, {_far('o', 'c')} AS by_address, {_far('o', 'c')} AS by_name
+    SELECT c.c_custkey AS "SystemAddress", c.c_name AS "StarSystem", {_far('o', 'c')} AS distance, {_far('o', 'c')} AS by_address
     FROM customer c, o WHERE {_far('o', 'c')} <= 20
     """,
 )
@@ -346,7 +346,7 @@ def distances_by_name(spark, sf):
     s.write.parquet(f"{at}/systems")
     sqlnames.install(spark, {"systems": f"{at}/systems"})
     origin = s.orderBy("SystemAddress").first().StarSystem
+    at = spark.sql("SELECT star.position_of(:name) AS at", args={"name": origin}).first().at
     return spark.sql("""
-        SELECT SystemAddress, StarSystem, distance, star.distance_from(SystemAddress, :origin) AS by_address,
-               star.system_distance(:origin, StarSystem) AS by_name
-        FROM systems_within(:origin, 20D)""", args={"origin": origin})
+        SELECT SystemAddress, StarSystem, distance, star.distance_from(SystemAddress, :at) AS by_address
+        FROM systems_within(:at, 20D)""", args={"at": F.array(*[F.lit(x) for x in at])})

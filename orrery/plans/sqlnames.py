@@ -4,8 +4,8 @@
 SQL functions in it, so that analysts ask for distances by name:
 
     SELECT star.system_distance('Sol', 'Achenar');
-    SELECT StationName, star.distance_from(SystemAddress, 'Sol') FROM star.stations;
-    SELECT * FROM systems_within('Sol', 20);
+    SELECT StationName, star.distance_from(SystemAddress, array(0D, 0D, 0D)) FROM star.stations;
+    SELECT * FROM systems_within(array(0D, 0D, 0D), 20D);
 
 The functions are SQL text that Catalyst inlines into the caller's plan; there is
 no Python in them.  ``systems`` needs SystemAddress, StarSystem and StarPos.
@@ -38,12 +38,11 @@ FUNCTIONS = (
        RETURN {ns}.position_distance({ns}.position_of(a), {ns}.position_of(b))""",
     """CREATE OR REPLACE FUNCTION {ns}.position_at(address BIGINT) RETURNS ARRAY<DOUBLE>
        RETURN (SELECT first(StarPos) FROM {ns}.systems WHERE SystemAddress = address)""",
-    """CREATE OR REPLACE FUNCTION {ns}.distance_from(address BIGINT, origin STRING) RETURNS DOUBLE
-       RETURN {ns}.position_distance({ns}.position_at(address), {ns}.position_of(origin))""",
+    """CREATE OR REPLACE FUNCTION {ns}.distance_from(address BIGINT, origin ARRAY<DOUBLE>) RETURNS DOUBLE
+       RETURN {ns}.position_distance({ns}.position_at(address), origin)""",
     # A table function is called by a bare name, so it belongs to the session.
-    """CREATE OR REPLACE TEMPORARY FUNCTION systems_within(origin STRING, reach DOUBLE)
+    """CREATE OR REPLACE TEMPORARY FUNCTION systems_within(origin ARRAY<DOUBLE>, reach DOUBLE)
        RETURNS TABLE (SystemAddress BIGINT, StarSystem STRING, distance DOUBLE)
-       RETURN SELECT s.SystemAddress, s.StarSystem, {ns}.position_distance(s.StarPos, o.p) AS distance
-              FROM {ns}.systems s, (SELECT {ns}.position_of(origin) AS p) o
-              WHERE {ns}.position_distance(s.StarPos, o.p) <= reach""",
+       RETURN SELECT s.SystemAddress, s.StarSystem, {ns}.position_distance(s.StarPos, origin) AS distance
+              FROM {ns}.systems s WHERE {ns}.position_distance(s.StarPos, origin) <= reach""",
 )

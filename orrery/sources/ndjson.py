@@ -357,9 +357,12 @@ def checked(gated: DataFrame, event: str) -> DataFrame:
     good line.  ``row`` is the typed row.  Other columns of ``gated`` pass through.
     """
     columns, required = EVENT_TYPES[event]
-    d = gated.select("*", F.struct(*columns("keep")).alias("__keep"), F.struct(*columns("null")).alias("row"))
-    names = [f.name for f in d.schema["row"].dataType.fields]
-    bad = F.array_compact(F.array(*[F.when(~F.col(f"__keep.{c}").eqNullSafe(F.col(f"row.{c}")), c) for c in names]))
+    null = columns("null")
+    # Only columns with a domain differ by policy; the others are taken once.
+    keep = [k for k, n in zip(columns("keep"), null) if str(k) != str(n)]
+    d = gated.select("*", F.struct(*keep or [F.lit(None).alias("none")]).alias("__keep"), F.struct(*null).alias("row"))
+    names = [f.name for f in d.schema["__keep"].dataType.fields if keep]
+    bad = F.array_compact(F.array(*[F.when(~F.col(f"__keep.{c}").eqNullSafe(F.col(f"row.{c}")), c) for c in names] or [F.lit(None).cast("string")]))
     gone = F.array_compact(F.array(*[F.when(F.col(f"row.{c}").isNull(), c) for c in required] or [F.lit(None).cast("string")]))
     reason = F.coalesce("reject_reason", F.when(F.size("__bad") > 0, F.concat(F.lit("value: "), F.array_join("__bad", ", "))),
                         F.when(F.size("__gone") > 0, F.concat(F.lit("missing: "), F.array_join("__gone", ", "))))

@@ -270,3 +270,16 @@ def test_latest_row_state(spark):
     df = spark.createDataFrame([(1, 5, "a"), (1, 5, "b"), (1, 4, "c"), (2, None, "d")], "k int, timestamp int, v string")
     got = marts.row_from_state(state.merge([marts.row_state(df.where(x), ["k"], ["timestamp", "v"]) for x in ("v < 'b'", "v >= 'b'")], ["k"]), ["k"])
     assert sorted(map(str, got.collect())) == sorted(map(str, latest_row(df, ["k"], ["timestamp"]).collect()))
+
+
+def test_distances_by_sql_names(spark, tmpdir_path):
+    from orrery.plans import sqlnames
+
+    path = os.path.join(tmpdir_path, "systems")
+    rows = [(1, "Sol", [0.0, 0.0, 0.0]), (2, "Near", [3.0, 4.0, 0.0]), (3, "Far", [0.0, 0.0, 90.0])]
+    spark.createDataFrame(rows, "SystemAddress bigint, StarSystem string, StarPos array<double>").write.parquet(path)
+    sqlnames.install(spark, {"systems": path}, "names_test")
+    one = spark.sql("SELECT names_test.system_distance('Sol', 'Near'), names_test.system_distance('Sol', 'None'), names_test.distance_from(3, array(0D, 0D, 1D))")
+    assert tuple(one.first()) == (5.0, None, 89.0)
+    got = spark.sql("SELECT StarSystem, distance FROM systems_within(array(0D, 0D, 0D), 5D) ORDER BY distance").collect()
+    assert [tuple(r) for r in got] == [("Sol", 0.0), ("Near", 5.0)]

@@ -36,9 +36,7 @@ WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 16, 8
 STRIDE = WINDOW - max(WIDTHS) + 1
 SAMPLE_ROWS, SAMPLE_WINDOWS = 3000, 4
 EPOCHS, BATCH, SEED = 5, 128, 7
-#: Texts of a whole window must have a language that holds the majority; shorter
-#: clean ones may score low.
-MIN_SCORE = 0.5
+MAX_FLOOR = 0.45  # a language that holds half of the probability is always enough
 UNDETERMINED = "und"
 
 
@@ -50,6 +48,7 @@ class Model:
     conv_bias: np.ndarray
     out: np.ndarray
     out_bias: np.ndarray
+    floor: float = 0.0  # texts of a whole window that score less have no clear language
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """For byte pairs: what places 0-1 and places 2-3 of every filter add."""
@@ -165,7 +164,19 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
         for part in r.parts:
             x[k, : len(part)], y[k] = np.frombuffer(bytes(part), dtype=np.uint8), languages.index(r.label)
             k += 1
-    return train(x, y, languages)
+    model = train(x, y, languages)
+    model.floor = _floor(model, x, [len(r.parts) for r in sorted(got, key=lambda r: (r.draw, r.label))])
+    return model
+
+
+def _floor(model: Model, x: np.ndarray, parts: list[int]) -> float:
+    """Twice as unsure as the least sure hundredth of the sampled texts that fill
+    a window, at most MAX_FLOOR: a model of few rows, unsure of all texts, has a
+    low floor."""
+    p = probabilities(model, model.tables(), x)
+    edges = np.concatenate([[0], np.cumsum(parts)])
+    scores = [p[a:b].mean(axis=0).max() for a, b in zip(edges, edges[1:]) if x[a, -1]]
+    return float(np.clip(2 * np.quantile(scores, 0.01) - 1, 0, MAX_FLOOR)) if scores else 0.0
 
 
 def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,14 +224,15 @@ def _flush(model, tables, held, sizes, pred, score) -> None:
     sizes.clear()
 
 
-def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
+def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", min_score: float | None = None) -> DataFrame:
     """The rows of ``df``, all columns, with a determined language: texts with a
     letter, and of ``WINDOW`` bytes or more only those whose language scores
-    ``min_score`` or more.  Without any labelled row all texts with a letter stay."""
+    ``min_score`` (by default the model's floor) or more.  Without any labelled
+    row all texts with a letter stay."""
     df = stable(df)
     model = fit(df, id_col, text_col, label_col)
     if model is None:
         return without(df, keyed(df, id_col, text_col).where(~F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))))
     found = predict(df, model, id_col, text_col)
-    unsure = (F.col("n_bytes") >= WINDOW) & (F.col("score") < min_score)
+    unsure = (F.col("n_bytes") >= WINDOW) & (F.col("score") < (model.floor if min_score is None else min_score))
     return without(df, found.where((F.col("lang_pred") == UNDETERMINED) | unsure))

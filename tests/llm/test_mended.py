@@ -90,6 +90,16 @@ def test_language_stage_uses_the_score(make):
     assert kept == {i for i, _, _ in rows if scores[i] >= least} | {900}
 
 
+def test_floor_follows_the_model():
+    """A model that is unsure of everything drops nothing; no floor is above MAX_FLOOR."""
+    rng = np.random.default_rng(0)
+    model = langid.train(rng.integers(1, 256, (40, 256)).astype(np.uint8), np.arange(40) % 2, ["a", "b"], epochs=0)
+    x = rng.integers(1, 256, (200, 256)).astype(np.uint8)
+    assert langid._floor(model, x, [4] * 50) < 0.2
+    model.out_bias = np.array([50.0, -50.0], np.float32)
+    assert langid._floor(model, x, [4] * 50) == langid.MAX_FLOOR and langid._floor(model, x * 0, [4] * 50) == 0.0
+
+
 def test_language_stage_without_labels_keeps_texts(make):
     df = make([(1, "some text", None), (2, None, None), (3, "12 !", None), (4, "été", None)])
     assert sorted(r.doc_id for r in langid.keep_identified(df).collect()) == [1, 4]

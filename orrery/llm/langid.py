@@ -176,7 +176,7 @@ def _floor(model: Model, x: np.ndarray, parts: list[int]) -> float:
     p = probabilities(model, model.tables(), x)
     edges = np.concatenate([[0], np.cumsum(parts)])
     scores = [p[a:b].mean(axis=0).max() for a, b in zip(edges, edges[1:]) if x[a, -1]]
-    return float(np.clip(2 * np.quantile(scores, 0.01) - 1, 0, MAX_FLOOR)) if scores else 0.0
+    return float(np.clip(2 * float(np.quantile(scores, 0.01)) - 1, 0, MAX_FLOOR)) if scores else 0.0
 
 
 def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -45,7 +45,7 @@ from orrery.llm.common import RID, keyed, release, stable, store
 from orrery.llm.components import components
 
 SHINGLE, SIMILARITY, BINS, BUCKET = 9, 0.8, 40, 32
-SLOTS = 1 << 20  # counters for how common shingles are
+SLOTS = 1 << 18  # counters for how common shingles are
 #: (most bins with a shingle, bins of a band) of each class of lines.
 CLASSES = ((10, 10), (18, 5), (None, 4))
 
@@ -161,9 +161,13 @@ def _prefixes(texts: DataFrame) -> DataFrame:
     # How common a shingle is, by SLOTS counters; any order that is the same for
     # all lines gives whole results, a better one fewer candidates.
     slot = F.pmod("x", F.lit(SLOTS)).cast("int").alias("slot")
-    counts = store(rows.groupBy(slot).agg(F.count("*").alias("n")).where(F.col("n") > 1), "line-slots")
-    ranked = rows.select("h", "x", slot).join(F.broadcast(counts), "slot", "left")
-    ordered = ranked.groupBy("h").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "x"))).alias("all"))
+    counts = rows.groupBy(slot).agg(F.count("*").cast("int").alias("n")).where(F.col("n") > 1)
+    # One row, an array of SLOTS numbers: a place to look up, not a join with a row per shingle.
+    every = rows.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(counts, "slot", "left")
+    listed = F.sort_array(F.collect_list(F.struct("slot", F.coalesce("n", F.lit(1)).alias("n"))))
+    dense = store(every.agg(listed.alias("all")).select(F.transform("all", lambda s: s["n"]).alias("n")), "line-slots")
+    ranked = rows.select("h", "x", slot).withColumn("n", F.element_at(dense.scalar(), F.col("slot") + 1))
+    ordered = ranked.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("all"))
     ordered = ordered.select("h", F.size("all").alias("n"), "all")
     long = F.col("n") - _least(SIMILARITY, F.col("n")) + 1
     short = F.col("n") - _least(2 * SIMILARITY / (1 + SIMILARITY), F.col("n")) + 1

@@ -1,19 +1,25 @@
 """Stateful streams that see each key's rows in event-time order.
 
 Cleaning, sessions and look-back rates depend on the order of a key's rows, but
-rows arrive late and out of order.  ``transformWithState`` keeps, per key:
-
-* ``buffer``: rows that the watermark has not passed yet, by time bucket.  A
-  timer at the bucket's end fires once the watermark is there; then the bucket's
-  rows are put in order and processed, and the bucket is dropped.  Arrival order
-  and batch split are of no account.
-* ``run``: what processing carries from row to row (the last row, an open
-  session, the look-back's head), of a size that the log does not grow.
-
-A key's rows of a micro batch come as an iterator of frames and go to their
-buckets; no frame ever holds a whole key, only one bucket of it.  A row whose
-bucket the watermark has passed comes out with ``late`` set and its content as
-JSON: :func:`write_with_late` puts such rows into a table of their own.
+rows arrive late and out of order.  ``transformWithState`` keeps the keys in
+``SLOTS`` groups, by a hash, so that one call to the state store serves all rows
+of a group, not one row or one key.  Per group:
+
+* ``buffer``: rows that the watermark has not passed yet, by time bucket, one
+  value per bucket and arriving frame; ``parts`` counts them.  A timer at the
+  bucket's end fires once the watermark is there; then the rows of all buckets
+  that it has passed are put in order key by key and processed, bucket by bucket,
+  and dropped.  Arrival order and batch split are of no account.
+* ``run``: what processing carries from row to row of each key (the last row, an
+  open session, the look-back's head), of a size that the log does not grow.
+* ``seen``: of look-back rates, the processed rows that are in reach, by bucket.
+
+A group's rows of a micro batch come as an iterator of frames and go to their
+buckets; no frame ever holds a whole group, only one bucket of it is taken up at
+once.  A row whose bucket the watermark has passed comes out with ``late`` set and
+its content as JSON: :func:`write_with_late` puts such rows into a table of their
+own.  The number of groups belongs to a stream's checkpoint like the number of
+shuffle partitions.
 
 The results equal the batch operators' on the rows that are not late:
 ``clean_counter_series``, ``state_sessions`` (its closed sessions) and
@@ -36,6 +42,8 @@ HOUR_US = 3_600_000_000
 WEEK_US = 168 * HOUR_US
 TICK_US = 7 * HOUR_US  # the epoch is a Thursday; cycles start on Thursdays at 07:00 UTC
 MINUTE_MS = 60_000
+SLOTS = 512  # groups of keys
+ROWS = 10_000  # about as many rows come out in one frame
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -149,64 +157,156 @@ class Rates:
 
 # ------------------------------------------------------------- processor
 
+class Seen:
+    """Processed rows of a group in reach of the look-back: texts by bucket and key."""
+
+    def __init__(self, state, buckets: list[int]):
+        self.state, self.buckets, self.texts, self.changed = state, set(buckets), {}, set()
+
+    def of(self, bucket: int) -> dict[str, str]:
+        if bucket not in self.texts:
+            self.texts[bucket] = json.loads(self.state.getValue((bucket,))[0]) if bucket in self.buckets else {}
+        return self.texts[bucket]
+
+    def forget(self, until: int) -> None:
+        """Drop the buckets that end at ``until`` or before."""
+        for b in [b for b in {*self.texts, *self.buckets} if b <= until]:
+            self.texts.pop(b, None)
+            self.changed.discard(b)
+            if b in self.buckets:
+                self.buckets.remove(b)
+                self.state.removeKey((b,))
+
+    def store(self) -> list[int]:
+        for b in sorted(self.changed):
+            self.state.updateValue((b,), (json.dumps(self.texts[b]),))
+            self.buckets.add(b)
+        return sorted(self.buckets)
+
+
+class SeenOfKey:
+    """One key's part of :class:`Seen`, as a map state.  Rows out of reach go with
+    their whole bucket."""
+
+    def __init__(self, seen: Seen, key: str):
+        self.seen, self.key = seen, key
+
+    def getValue(self, bucket: tuple[int]) -> tuple[str]:
+        return (self.seen.of(bucket[0]).get(self.key, "[]"),)
+
+    def updateValue(self, bucket: tuple[int], text: tuple[str]) -> None:
+        self.seen.of(bucket[0])[self.key] = text[0]
+        self.seen.changed.add(bucket[0])
+
+    def removeKey(self, bucket: tuple[int]) -> None:
+        pass
+
+
 class Ordered(StatefulProcessor):
     """Runs a step over each key's rows in order (see the module's text)."""
 
     def __init__(self, step, names: Sequence[str], bucket_ms: int):
         self.step, self.names, self.bucket_ms = step, list(names), bucket_ms
         self.keeps = isinstance(step, Rates)  # processed rows stay for the look-back
+        self.fired = {}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        bucket, text = T.StructType([T.StructField("bucket", T.LongType())]), T.StructType([T.StructField("text", T.StringType())])
+        def fields(**types) -> T.StructType:
+            return T.StructType([T.StructField(n, t()) for n, t in types.items()])
+
         self.handle = handle
-        self.buffer = handle.getMapState("buffer", bucket, text)
-        self.run = handle.getValueState("run", text)
-        self.seen = handle.getMapState("seen", bucket, text) if self.keeps else None
+        self.parts = handle.getMapState("parts", fields(bucket=T.LongType), fields(n=T.LongType))
+        self.buffer = handle.getMapState("buffer", fields(bucket=T.LongType, part=T.LongType), fields(text=T.StringType))
+        self.run = handle.getValueState("run", fields(text=T.StringType))
+        self.seen = handle.getMapState("seen", fields(bucket=T.LongType), fields(text=T.StringType)) if self.keeps else None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
+        passed, known = timerValues.getCurrentWatermarkInMs(), {}
         for frame in rows:
-            parts, late = {}, []
-            for us, tie, row in zip(frame["us"], frame["tie"], frame["row"]):
-                end = (int(us) // 1000 // self.bucket_ms + 1) * self.bucket_ms
+            if frame["bucket"].isnull().any():
+                raise ValueError("a row has no event time")
+            parts = {}
+            for end, line in zip(frame["bucket"].tolist(), frame["line"].tolist()):
+                parts.setdefault(int(end), []).append(line)
+            late = []
+            for end, lines in parts.items():
                 if end <= passed:
-                    late.append((int(us), row))
-                else:
-                    parts.setdefault(end, []).append([int(us), [int(t) for t in tie], row])
-            for end, new in parts.items():
-                old = json.loads(self.buffer.getValue((end,))[0]) if self.buffer.containsKey((end,)) else []
-                if not old:
-                    self.handle.registerTimer(end)
-                self.buffer.updateValue((end,), (json.dumps(old + new),))
+                    late += [(_name(name), *[None] * (len(self.names) - 4), True, int(us), row) for us, _, name, row in (x.split("\t", 3) for x in lines)]
+                    continue
+                if end not in known:
+                    known[end] = self.parts.getValue((end,))[0] if self.parts.containsKey((end,)) else 0
+                    if not known[end]:
+                        self.handle.registerTimer(end)
+                self.buffer.updateValue((end, known[end]), ("\n".join(lines),))
+                known[end] += 1
             if late:
-                yield self._frame(key, [(*[None] * (len(self.names) - 4), *x) for x in late], True)
+                yield self._frame(late)
+        for end, n in known.items():
+            self.parts.updateValue((end,), (n,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        run = json.loads(self.run.get()[0]) if self.run.exists() else {}
-        if self.buffer.containsKey((end,)):
-            rows = sorted((us, tie, row) for us, tie, row in json.loads(self.buffer.getValue((end,))[0]))
-            rows = [(us, tie, json.loads(row)) for us, tie, row in rows]
-            self.buffer.removeKey((end,))
-            out = list(self.step.rows(run, rows, self.seen, end) if self.keeps else self.step.rows(run, rows))
-            if self.keeps:  # forget the key's rows when none can be in reach any more
-                run["last"] = end
-                self.handle.registerTimer(end + self.step.window_us // 1000 + self.bucket_ms)
-            if out:
-                yield self._frame(key, [(*x, None, None) for x in out], False)
-        elif self.keeps and run.get("last", end) + self.step.window_us // 1000 + self.bucket_ms <= end:
-            self.seen.clear()
-            self.run.clear()
+        passed = timerValues.getCurrentWatermarkInMs()
+        if self.fired.get(key[0]) == passed:  # another timer of the group has done all
             return
-        self.run.update((json.dumps(run),))
+        self.fired[key[0]] = passed
+        state = json.loads(self.run.get()[0]) if self.run.exists() else {"runs": {}, "seen": []}
+        runs, seen, out = state["runs"], Seen(self.seen, state["seen"]), []
+        ends = sorted(end for end, in self.parts.keys() if end <= passed)
+        for end in ends:
+            lines = []
+            for part in range(self.parts.getValue((end,))[0]):
+                lines += self.buffer.getValue((end, part))[0].split("\n")
+                self.buffer.removeKey((end, part))
+            self.parts.removeKey((end,))
+            if self.keeps:  # what no row of this bucket can reach
+                seen.forget(end - self.bucket_ms - self.step.window_us // 1000)
+            for x in self._processed(end, lines, runs, seen):
+                out.append(x)
+                if len(out) >= ROWS:
+                    yield self._frame(out)
+                    out = []
+        if out:
+            yield self._frame(out)
+        if self.keeps:  # forget a key when none of its rows can be in reach any more
+            stay = self.step.window_us // 1000 + self.bucket_ms
+            seen.forget(passed - stay)
+            for name in [name for name, run in runs.items() if run["last"] + stay <= passed]:
+                del runs[name]
+            if runs and ends and ends[-1] + stay > passed:
+                self.handle.registerTimer(ends[-1] + stay)
+            state["seen"] = seen.store()
+        if runs:
+            self.run.update((json.dumps(state),))
+        else:
+            self.run.clear()
+
+    def _processed(self, end: int, lines: list[str], runs: dict, seen: Seen) -> Iterator[tuple]:
+        """What comes out of one bucket's rows."""
+        keys = {}
+        for us, ties, name, row in (x.split("\t", 3) for x in lines):
+            keys.setdefault(name, []).append((int(us), [int(t) for t in ties.split(",")], row))
+        for name, rows in keys.items():
+            rows.sort()
+            read = json.loads("[" + ",".join([row for _, _, row in rows]) + "]")
+            rows = [(us, ties, x) for (us, ties, _), x in zip(rows, read)]
+            run, key = runs.setdefault(name, {}), _name(name)
+            if self.keeps:
+                run["last"] = end
+            for x in self.step.rows(run, rows, SeenOfKey(seen, name), end) if self.keeps else self.step.rows(run, rows):
+                yield (key, *x, False, None, None)
 
-    def _frame(self, key, rows: list[tuple], late: bool) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *x[:-2], late, *x[-2:]) for x in rows], columns=self.names, dtype=object)
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=self.names, dtype=object)
 
     def close(self) -> None:
         pass
 
 
+def _name(text: str) -> str | None:
+    """The key of a row's text."""
+    return json.loads(text).get("key")
+
+
 def _run(df: DataFrame, key: str, ts: str, ties: Sequence[Column], row: Column, step, watermark: str, bucket_ms: int) -> DataFrame:
     """Columns: key, the step's fields, late, and of late rows late_us and late_row."""
     import sys
@@ -214,13 +314,15 @@ def _run(df: DataFrame, key: str, ts: str, ties: Sequence[Column], row: Column,
     from pyspark import cloudpickle
 
     cloudpickle.register_pickle_by_value(sys.modules[__name__])  # Python workers need no copy of this package
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    us, name = F.unix_micros(F.col(ts).cast("timestamp")), F.col(key).cast("string")
     timed = df.withColumn("__event_time", F.col(ts).cast("timestamp")).withWatermark("__event_time", watermark)
     # The watermarked column itself does not go on: Spark would drop late rows silently.
-    rows = timed.select(F.col(key).cast("string").alias("key"), us.alias("us"), F.array(*[F.coalesce(t.cast("bigint"), F.lit(-(1 << 63))) for t in ties]).alias("tie"),
-                        F.to_json(row).alias("row"))
+    # JSON texts hold no tab and no line end.
+    line = F.concat_ws("\t", us, F.concat_ws(",", *[F.coalesce(t.cast("bigint"), F.lit(-(1 << 63))) for t in ties]), F.to_json(F.struct(name.alias("key"))), F.to_json(row))
+    bucket = ((us - F.pmod(us, F.lit(1000 * bucket_ms))) / 1000).cast("bigint") + bucket_ms
+    rows = timed.select(F.pmod(F.xxhash64(name), F.lit(SLOTS)).alias("slot"), bucket.alias("bucket"), line.alias("line"))
     schema = T.StructType.fromDDL(f"key string, {step.fields}, late boolean, late_us bigint, late_row string")
-    return rows.groupBy("key").transformWithStateInPandas(
+    return rows.groupBy("slot").transformWithStateInPandas(
         statefulProcessor=Ordered(step, schema.names, bucket_ms), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 

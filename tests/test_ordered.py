@@ -122,3 +122,25 @@ def test_rates_keep_no_row_beyond_the_lookback(bucket_h):
         list(step.rows(run_, rows, store, bucket))
         most = max(most, len(store))
     assert most <= 8 // bucket_h + 2
+
+
+def test_state_rows_do_not_grow_with_the_keys(spark, tmpdir_path, monkeypatch):
+    """Keys share their group's state rows and calls, and still do not mix."""
+    monkeypatch.setattr(ordered, "SLOTS", 4, raising=False)
+    rows = [(f"k{k}" if k else None, START + dt.timedelta(minutes=10 * i + k % 7), 1000 * k + i, "Exploited", k % 5 + i, i, i % 3 > 0, "a")
+            for k in range(150) for i in range(6)]
+    spark.createDataFrame([*rows, end()], SCHEMA).coalesce(1).write.parquet(os.path.join(tmpdir_path, "in"))
+    made = {"rates": lambda df: ordered.lookback_rates(df, "key", "ts", {"r_rate": "r", "u_rate": "u"}, "n", watermark="10 days", bucket_ms=24 * HOUR),
+            "sessions": lambda df: ordered.sessions(df, "key", "ts", F.col("inside"), "r", "label", ["n"], watermark="10 days", bucket_ms=24 * HOUR)}
+    for name, stream_of in made.items():
+        folder = os.path.join(tmpdir_path, name)
+        query = ordered.write_with_late(stream_of(spark.readStream.schema(SCHEMA).parquet(os.path.join(tmpdir_path, "in"))), f"{folder}/rows", f"{folder}/late", f"{folder}/ckpt", name)
+        query.awaitTermination()
+        assert 0 < max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) < 100
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = spark.read.parquet(f"{tmpdir_path}/rates/rows").select("key", "n", "r_rate", "u_rate").collect()
+    want = lookback_rates(df, ["key"], "ts", {"r_rate": "r", "u_rate": "u"}, "n").select("key", "n", "r_rate", "u_rate").collect()
+    assert len(got) == 900 and sorted(map(str, got)) == sorted(map(str, want))
+    got = spark.read.parquet(f"{tmpdir_path}/sessions/rows").select("key", "n_rows", "labels").collect()
+    want = state_sessions(df, ["key"], "ts", F.col("inside"), "r", "label", tiebreak=["n"]).where("end_ts IS NOT NULL").select("key", "n_rows", "labels").collect()
+    assert len(got) > 149 and sorted(map(str, got)) == sorted(map(str, want))

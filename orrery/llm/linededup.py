@@ -13,12 +13,13 @@ Lines link at a Jaccard similarity of 0.8 or more.
   too.
 * Candidates: different lines that share a band.  A bucket of at most
   ``BUCKET`` lines is compared in pairs.  In a larger one the lines are first
-  compared with the bucket's first line and with their neighbour, which ties
-  dense groups together.
+  compared with the bucket's first line, with their neighbour and with the
+  ``HUBS`` most central ones, which ties dense groups together.
 * The rest of the large buckets, exactly: lines of different components so far
   are compared if they share one of their rarest shingles (a prefix filter with
-  the lengths and places that a similarity of 0.8 needs).  No pair of 0.8 is
-  left out, whatever the size of a bucket.
+  the lengths and places that a similarity of 0.8 needs) and if bitmaps of their
+  shingles allow the similarity.  No pair of 0.8 is left out, whatever the size
+  of a bucket.
 * Verification: the exact Jaccard similarity of both shingle sets.
 * Distributed union-find over the links; equal lines are one node from the
   start.  Of each component the first line stays: the smallest (id, row, line
@@ -29,7 +30,7 @@ are shuffled once for the signatures and once to fetch the candidates, band
 keys (16 bytes each) once.  No bucket gives more rows than BUCKET times its
 members; lines of large buckets are shuffled once more, with a fifth of their
 shingles.  Large groups of lines just below 0.8 may give many candidates: they
-are all compared.  A line is one row until its shingles are rows.
+are all compared, if the bitmaps cannot tell them from similar ones.  A line is one row until its shingles are rows.
 
 Defined results: a null text is one empty line; blank lines always stay and
 have no component; equal lines are recognised by a 64-bit hash; repeated rows
@@ -45,7 +46,9 @@ from orrery.llm.common import RID, keyed, release, stable, store
 from orrery.llm.components import components
 
 SHINGLE, SIMILARITY, BINS, BUCKET = 9, 0.8, 40, 32
+HUBS = 4  # lines of a large bucket that all its others are compared with
 SLOTS = 1 << 18  # counters for how common shingles are
+MARKS = [f"m{i}" for i in range(16)]  # 64-bit words of a line's bitmap
 #: (most bins with a shingle, bins of a band) of each class of lines.
 CLASSES = ((10, 10), (18, 5), (None, 4))
 
@@ -130,10 +133,21 @@ def _dense(rows: DataFrame) -> DataFrame:
     # The order differs from bucket to bucket, so that each has another first row.
     w = Window.partitionBy("key").orderBy(F.xxhash64("key", "h"), "h")
     near = rows.select("h", F.array_distinct(F.array(F.first("h").over(w), F.lag("h").over(w))).alias("near"))
-    near = near.select("h", F.explode("near").alias("x"))
+    near = near.select("h", F.explode("near").alias("x")).union(_hubs(rows))
     return near.where("x != h").select(F.least("h", "x").alias("a"), F.greatest("h", "x").alias("b"))
 
 
+def _hubs(rows: DataFrame) -> DataFrame:
+    """``(h, x)``: each row (key, h) of a large bucket with the ``HUBS`` lines of the
+    bucket that share their buckets with most rows: near copies are closer to
+    the line that they were made from than to each other."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+    central = rows.join(sizes, "key").groupBy("h").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("key").orderBy(F.desc("n"), "h")
+    hubs = rows.join(central, "h").withColumn("place", F.row_number().over(w)).where(F.col("place") <= HUBS)
+    return rows.join(hubs.select("key", F.col("h").alias("x")), "key").select("h", "x")
+
+
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) of lines (h, line) that are similar by their shingle sets."""
     one = texts.select(F.col("h").alias("a"), _wide("line").alias("wide_a"))
@@ -149,6 +163,22 @@ def _least(share: float, n: Column) -> Column:
     return F.ceil(F.lit(share) * n - F.lit(1e-6)).cast("int")
 
 
+def _shingle_rows(texts: DataFrame) -> DataFrame:
+    """``(h, x)``: the distinct shingles of each line (h, line)."""
+    wide = texts.groupBy("h").agg(_wide(F.min("line")).alias("wide"))
+    return wide.select("h", F.explode(F.array_distinct(_shingles("wide"))).alias("x"))
+
+
+def _marks(texts: DataFrame) -> DataFrame:
+    """``(h, m0..m15)``: a bitmap of each line (h, line); a bit tells whether an odd
+    number of its shingles falls there.  Two lines have at least as many different
+    shingles as different bits."""
+    bit = "shiftleft(1L, CAST(x & 63 AS INT))"
+    word = f"shiftrightunsigned(x, 6) & {len(MARKS) - 1}"
+    marks = [F.bit_xor(F.expr(f"CASE WHEN {word} = {i} THEN {bit} ELSE 0L END")).alias(m) for i, m in enumerate(MARKS)]
+    return _shingle_rows(texts).groupBy("h").agg(*marks)
+
+
 def _prefixes(texts: DataFrame) -> DataFrame:
     """``(h, n, at, x, short)``: of each line (h, line) with n shingles, the rarest
     that a similar line must share, with their places in the order of all.
@@ -156,8 +186,7 @@ def _prefixes(texts: DataFrame) -> DataFrame:
     Of two similar lines the shorter one has a common shingle among its first
     n - 2t/(1+t) n + 1 (``short``), the longer one among its first n - t n + 1.
     """
-    wide = texts.groupBy("h").agg(_wide(F.min("line")).alias("wide"))
-    rows = wide.select("h", F.explode(F.array_distinct(_shingles("wide"))).alias("x"))
+    rows = _shingle_rows(texts)
     # How common a shingle is, by SLOTS counters; any order that is the same for
     # all lines gives whole results, a better one fewer candidates.
     slot = F.pmod("x", F.lit(SLOTS)).cast("int").alias("slot")
@@ -176,25 +205,31 @@ def _prefixes(texts: DataFrame) -> DataFrame:
 
 
 def _across(texts: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines (h, line) that can be similar by number and order of
-    their shingles and that have different roots (node, root); without a cap.
+    """Pairs (a, b) of lines (h, line) that can be similar by number, order and
+    bitmap of their shingles and that have different roots (node, root); without a cap.
 
     A shingle whose lines all have one root gives no pair.  Of another one, lines
     of the most frequent root meet only those of other roots.
     """
+    marks = store(_marks(texts), "line-marks")
     named = _prefixes(texts).join(roots, F.col("h") == F.col("node"), "left")
     rows = store(named.select("h", "n", "at", "x", "short", F.coalesce("root", "h").alias("root")), "line-prefixes")
     release(texts.sparkSession)
     most = rows.groupBy("x", "root").agg(F.count("*").alias("m"), F.max("short").alias("short"))
     most = most.groupBy("x").agg(F.max(F.struct("m", "root"))["root"].alias("most"), F.count("*").alias("roots"), F.max("short").alias("any"))
     rows = rows.join(most.where("roots > 1 AND any").select("x", "most"), "x").withColumn("common", F.col("root") == F.col("most"))
+    rows = rows.join(marks, "h")
+    cols = ("h", "n", "at", "root", *MARKS)
     meets = F.when(F.col("common"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
-    one = rows.where("short").select("x", F.explode(meets).alias("common"), *[F.col(c).alias(f"{c}_a") for c in ("h", "n", "at", "root")])
-    two = rows.select("x", "common", *[F.col(c).alias(f"{c}_b") for c in ("h", "n", "at", "root")])
+    one = rows.where("short").select("x", F.explode(meets).alias("common"), *[F.col(c).alias(f"{c}_a") for c in cols])
+    two = rows.select("x", "common", *[F.col(c).alias(f"{c}_b") for c in cols])
     # What both share at most, if this shingle is the first that they share.
     shared = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    differ = sum(F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in MARKS)
+    both = F.col("n_a") + F.col("n_b")
+    need = _least(SIMILARITY / (1 + SIMILARITY), both)
     fits = ((F.col("root_a") != F.col("root_b")) & (F.col("n_a") <= F.col("n_b")) & (F.col("n_a") >= _least(SIMILARITY, F.col("n_b")))
-            & (shared >= _least(SIMILARITY / (1 + SIMILARITY), F.col("n_a") + F.col("n_b"))))
+            & (shared >= need) & (both - differ >= 2 * need))
     found = one.join(two, ["x", "common"]).where(fits)
     return found.select(F.least("h_a", "h_b").alias("a"), F.greatest("h_a", "h_b").alias("b")).distinct()
 

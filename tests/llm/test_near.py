@@ -198,6 +198,39 @@ def test_isolated_pairs_in_large_buckets(make):
     assert sum(want[k] != k for k in want) > 100 and not lost, len(lost)
 
 
+def test_crowd_around_the_limit(make, monkeypatch):
+    """Near copies of one line, most pairs of them around 0.8: the same groups, and
+    lines of different components meet in a number that does not grow with the crowd's square."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    base, rows = [word() for _ in range(85)], []
+    for i in range(400):
+        w = list(base)
+        for k in rng.sample(range(85), rng.randrange(3, 9)):
+            w[k] = word()
+        rows.append((i, " ".join(w)))
+    met, across = [], linededup._across
+    monkeypatch.setattr(linededup, "_across", lambda *a: (met.append(linededup.store(across(*a), "met")), met[-1])[1])
+    got = linededup.line_groups(make(rows).coalesce(1)).collect()
+    at = {x: k for k, x in enumerate(sorted({r.rid for r in got}))}
+    assert {(at[r.rid], r.pos): (at[r.keep_rid], r.keep_pos) for r in got} == brute_lines(rows)
+    n = met[0].count()
+    assert n < 5 * len(rows), n
+
+
+def test_bitmaps_differ_no_more_than_shingles(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.choice([3, 40, 700]))) for _ in range(40)] + ["a" * 900, "ab" * 700]
+    texts += [t[:-1] + "#" for t in texts]
+    rows = linededup._marks(spark.createDataFrame(list(enumerate(texts)), "h bigint, line string")).collect()
+    sets = [{x[i : i + 9] for i in range(max(1, len(x) - 8))} for x in texts]
+    assert len(rows) == len(texts)
+    for a in rows:
+        for b in rows:
+            differ = sum(((a[m] ^ b[m]) & (1 << 64) - 1).bit_count() for m in linededup.MARKS)
+            assert differ <= len(sets[a.h] ^ sets[b.h]) and (differ - len(sets[a.h] ^ sets[b.h])) % 2 == 0
+
+
 def test_drop_lines(make):
     rows = line_rows()
     keep, df = brute_lines(rows), make(rows).coalesce(1)

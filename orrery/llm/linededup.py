@@ -215,9 +215,17 @@ def _across(texts: DataFrame, roots: DataFrame) -> DataFrame:
     named = _prefixes(texts).join(roots, F.col("h") == F.col("node"), "left")
     rows = store(named.select("h", "n", "at", "x", "short", F.coalesce("root", "h").alias("root")), "line-prefixes")
     release(texts.sparkSession)
-    most = rows.groupBy("x", "root").agg(F.count("*").alias("m"), F.max("short").alias("short"))
-    most = most.groupBy("x").agg(F.max(F.struct("m", "root"))["root"].alias("most"), F.count("*").alias("roots"), F.max("short").alias("any"))
-    rows = rows.join(most.where("roots > 1 AND any").select("x", "most"), "x").withColumn("common", F.col("root") == F.col("most"))
+    most = rows.groupBy("x", "root").agg(F.count("*").alias("m"), F.min(F.when(F.col("short"), F.col("n"))).alias("low"))
+    # Of each shingle the shortest line of ``short`` rows, and that of the other roots.
+    w = Window.partitionBy("x").orderBy(F.asc_nulls_last("low"), "root")
+    most = most.withColumn("next", F.lead("low").over(w))
+    low = F.min(F.when(F.col("low").isNotNull(), F.struct("low", "root", "next"))).alias("low")
+    most = most.groupBy("x").agg(F.max(F.struct("m", "root"))["root"].alias("most"), F.count("*").alias("roots"), low)
+    most = most.where("roots > 1 AND low IS NOT NULL").select(F.col("x").alias("of"), "most", "low")
+    # A row that is not short only meets shorter lines, and late ones only much shorter ones.
+    least = F.when(F.col("low.root") == F.col("root"), F.col("low.next")).otherwise(F.col("low.low"))
+    meets = F.col("short") | ((least <= F.col("n")) & (F.col("n") - F.col("at") >= _least(SIMILARITY / (1 + SIMILARITY), least + F.col("n"))))
+    rows = rows.join(most, (F.col("x") == F.col("of")) & meets).withColumn("common", F.col("root") == F.col("most")).drop("of", "low")
     rows = rows.join(marks, "h")
     cols = ("h", "n", "at", "root", *MARKS)
     meets = F.when(F.col("common"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))

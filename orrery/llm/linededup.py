@@ -20,13 +20,14 @@ Lines link at a Jaccard similarity of 0.8 or more.
   the lengths and places that a similarity of 0.8 needs) and if bitmaps of their
   shingles allow the similarity.  No pair of 0.8 is left out, whatever the size
   of a bucket.
-* Verification: the exact Jaccard similarity of both shingle sets.
+* Verification: the exact Jaccard similarity of both shingle sets, for the pairs
+  that the bitmaps of their shingles do not rule out.
 * Distributed union-find over the links; equal lines are one node from the
   start.  Of each component the first line stays: the smallest (id, row, line
   number), null ids last.
 
 Scale: equal lines are grouped by their hash with map-side combine.  The texts
-are shuffled once for the signatures and once to fetch the candidates, band
+are shuffled once, for the signatures and to fetch the candidates, band
 keys (16 bytes each) once.  No bucket gives more rows than BUCKET times its
 members; lines of large buckets are shuffled once more, with a fifth of their
 shingles.  Large groups of lines just below 0.8 may give many candidates: they
@@ -68,9 +69,16 @@ def _wide(line: str) -> Column:
 def _shingles(wide: str) -> Column:
     """The hashed shingles of a ``_wide`` column, repeats included."""
     width = 2 * SHINGLE
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(wide) - width + 1, F.lit(1)), F.lit(2)),
-        lambda at: F.xxhash64(F.substring(F.col(wide), at, F.lit(width))))
+    # The outer array makes the text a variable of the function: a column of bytes
+    # that it names itself would be copied whole for every shingle.
+    return F.transform(F.array(wide), lambda text: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(text) - width + 1, F.lit(1)), F.lit(2)),
+        lambda at: F.xxhash64(F.substring(text, at, F.lit(width)))))[0]
+
+
+def _distinct(lines: DataFrame) -> DataFrame:
+    """``(h, line)``: each of the lines (h, line) once."""
+    return lines.groupBy("h").agg(F.min("line").alias("line"))
 
 
 def _minima(lines: DataFrame) -> DataFrame:
@@ -81,7 +89,7 @@ def _minima(lines: DataFrame) -> DataFrame:
     aggregation, like the ones that follow, keeps to that.
     """
     width = 2 * SHINGLE
-    texts = lines.groupBy("h").agg(_wide(F.min("line")).alias("wide"))
+    texts = _distinct(lines).select("h", _wide("line").alias("wide"))
     at = F.explode_outer(F.sequence(F.lit(1), F.greatest(F.length("wide") - width + 1, F.lit(1)), F.lit(2))).alias("at")
     hashed = texts.select("h", "wide", at).select("h", F.xxhash64(F.substring("wide", F.col("at"), F.lit(width))).alias("x"))
     # The bin of a hash: its upper half, scaled to BINS.
@@ -120,6 +128,16 @@ def _in_buckets(rows: DataFrame) -> DataFrame:
             .where("a != h OR b != h").select("key", "h").distinct())
 
 
+def _candidates(lines: DataFrame) -> DataFrame:
+    """``(h, line, keys)``: the lines (h, line) that share a bucket with others, and
+    the keys of those buckets.
+
+    Signatures and texts come from one shuffle of the lines, which Spark reads twice.
+    """
+    keys = _in_buckets(_bands(lines)).groupBy("h").agg(F.collect_list("key").alias("keys"))
+    return _distinct(lines).join(keys, "h")
+
+
 def _pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs in the small buckets of ``rows`` (key, h); the rows of the large ones."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
@@ -148,14 +166,32 @@ def _hubs(rows: DataFrame) -> DataFrame:
     return rows.join(hubs.select("key", F.col("h").alias("x")), "key").select("h", "x")
 
 
-def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) of lines (h, line) that are similar by their shingle sets."""
+def _possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """``(a, b, n_a, n_b)``: the ``pairs`` (a, b) whose numbers of shingles and
+    bitmaps (rows of ``_marks``) allow the similarity; exact, no similar pair goes."""
+    one, two = (marks.select(F.col("h").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", *MARKS)]) for x in "ab")
+    enough = F.least("n_a", "n_b") >= _least(SIMILARITY, F.greatest("n_a", "n_b"))
+    return pairs.join(one, "a").join(two, "b").where(enough & _fits()).select("a", "b", "n_a", "n_b")
+
+
+def _fits() -> Column:
+    """Whether the bitmaps of a pair (n_a, m0_a.., n_b, m0_b..) allow the similarity."""
+    differ = sum(F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in MARKS)
+    both = F.col("n_a") + F.col("n_b")
+    return both - differ >= 2 * _least(SIMILARITY / (1 + SIMILARITY), both)
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of lines (h, line; marks: their ``_marks``) that are
+    similar by their shingle sets."""
     one = texts.select(F.col("h").alias("a"), _wide("line").alias("wide_a"))
     two = texts.select(F.col("h").alias("b"), _wide("line").alias("wide_b"))
-    sets = pairs.join(one, "a").join(two, "b").select("a", "b", _shingles("wide_a").alias("x"), _shingles("wide_b").alias("y"))
-    # Set operations drop repeats themselves.
-    similar = F.size(F.array_intersect("x", "y")) >= F.lit(SIMILARITY) * F.size(F.array_union("x", "y"))
-    return sets.where(similar).select("a", "b")
+    # By b first: the pairs lie by b already.
+    sets = _possible(pairs, marks).join(two, "b").join(one, "a")
+    # The set operation drops repeats itself.
+    common = F.size(F.array_intersect(_shingles("wide_a"), _shingles("wide_b"))).alias("common")
+    sets = sets.select("a", "b", "n_a", "n_b", common)
+    return sets.where(F.col("common") >= F.lit(SIMILARITY) * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
 def _least(share: float, n: Column) -> Column:
@@ -170,13 +206,14 @@ def _shingle_rows(texts: DataFrame) -> DataFrame:
 
 
 def _marks(texts: DataFrame) -> DataFrame:
-    """``(h, m0..m15)``: a bitmap of each line (h, line); a bit tells whether an odd
-    number of its shingles falls there.  Two lines have at least as many different
-    shingles as different bits."""
-    bit = "shiftleft(1L, CAST(x & 63 AS INT))"
-    word = f"shiftrightunsigned(x, 6) & {len(MARKS) - 1}"
-    marks = [F.bit_xor(F.expr(f"CASE WHEN {word} = {i} THEN {bit} ELSE 0L END")).alias(m) for i, m in enumerate(MARKS)]
-    return _shingle_rows(texts).groupBy("h").agg(*marks)
+    """``(h, n, m0..m15)``: the number of shingles and a bitmap of each line (h, line);
+    a bit tells whether an odd number of its shingles falls there.  Two lines have at
+    least as many different shingles as different bits."""
+    # By word first: one bitmap word per row, not all of them for each shingle.
+    word = F.expr(f"CAST(shiftrightunsigned(x, 6) & {len(MARKS) - 1} AS INT)").alias("word")
+    words = _shingle_rows(texts).groupBy("h", word).agg(F.count("*").alias("n"), F.bit_xor(F.expr("shiftleft(1L, CAST(x & 63 AS INT))")).alias("bits"))
+    marks = [F.bit_xor(F.when(F.col("word") == i, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(m) for i, m in enumerate(MARKS)]
+    return words.groupBy("h").agg(F.sum("n").cast("int").alias("n"), *marks)
 
 
 def _prefixes(texts: DataFrame) -> DataFrame:
@@ -204,14 +241,14 @@ def _prefixes(texts: DataFrame) -> DataFrame:
     return first.select("h", "n", "at", "one.x", (F.col("at") < short).alias("short"))
 
 
-def _across(texts: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines (h, line) that can be similar by number, order and
-    bitmap of their shingles and that have different roots (node, root); without a cap.
+def _across(texts: DataFrame, marks: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines (h, line; marks: their ``_marks``) that can be similar by
+    number, order and bitmap of their shingles and that have different roots (node,
+    root); without a cap.
 
     A shingle whose lines all have one root gives no pair.  Of another one, lines
     of the most frequent root meet only those of other roots.
     """
-    marks = store(_marks(texts), "line-marks")
     named = _prefixes(texts).join(roots, F.col("h") == F.col("node"), "left")
     rows = store(named.select("h", "n", "at", "x", "short", F.coalesce("root", "h").alias("root")), "line-prefixes")
     release(texts.sparkSession)
@@ -226,18 +263,16 @@ def _across(texts: DataFrame, roots: DataFrame) -> DataFrame:
     least = F.when(F.col("low.root") == F.col("root"), F.col("low.next")).otherwise(F.col("low.low"))
     meets = F.col("short") | ((least <= F.col("n")) & (F.col("n") - F.col("at") >= _least(SIMILARITY / (1 + SIMILARITY), least + F.col("n"))))
     rows = rows.join(most, (F.col("x") == F.col("of")) & meets).withColumn("common", F.col("root") == F.col("most")).drop("of", "low")
-    rows = rows.join(marks, "h")
+    rows = rows.join(marks.drop("n"), "h")
     cols = ("h", "n", "at", "root", *MARKS)
     meets = F.when(F.col("common"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
     one = rows.where("short").select("x", F.explode(meets).alias("common"), *[F.col(c).alias(f"{c}_a") for c in cols])
     two = rows.select("x", "common", *[F.col(c).alias(f"{c}_b") for c in cols])
     # What both share at most, if this shingle is the first that they share.
     shared = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    differ = sum(F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in MARKS)
-    both = F.col("n_a") + F.col("n_b")
-    need = _least(SIMILARITY / (1 + SIMILARITY), both)
+    need = _least(SIMILARITY / (1 + SIMILARITY), F.col("n_a") + F.col("n_b"))
     fits = ((F.col("root_a") != F.col("root_b")) & (F.col("n_a") <= F.col("n_b")) & (F.col("n_a") >= _least(SIMILARITY, F.col("n_b")))
-            & (shared >= need) & (both - differ >= 2 * need))
+            & (shared >= need) & _fits())
     found = one.join(two, ["x", "common"]).where(fits)
     return found.select(F.least("h_a", "h_b").alias("a"), F.greatest("h_a", "h_b").alias("b")).distinct()
 
@@ -246,21 +281,24 @@ def links(lines: DataFrame) -> DataFrame:
     """``(a, b)``: pairs of different lines (rows h, line; any number of rows
     each) with a verified similarity of ``SIMILARITY`` or more; of lines that
     others tie together not every pair."""
-    cand = store(_in_buckets(_bands(lines)), "line-buckets")
+    found = store(_candidates(lines), "line-texts")
     release(lines.sparkSession)
-    texts = store(lines.join(cand.select("h").distinct(), "h").groupBy("h").agg(F.min("line").alias("line")), "line-texts")
-    pairs, large = _pairs(cand)
+    texts = found.select("h", "line")
+    pairs, large = _pairs(found.select(F.explode("keys").alias("key"), "h"))
     large = store(large, "line-large")
     hot = not large.isEmpty()
     if hot:
         pairs = pairs.union(_dense(large))
     pairs = store(pairs.distinct(), "line-pairs")
-    found = store(_similar(pairs, texts), "line-links")
+    marks = store(_marks(texts), "line-marks")
+    release(lines.sparkSession)
+    found = store(_similar(pairs, texts, marks), "line-links")
+    release(lines.sparkSession)
     if not hot:
         return found
     # Whole large buckets, but for the lines that are in one component already.
-    rest = _across(texts.join(large.select("h").distinct(), "h"), components(found))
-    return found.union(store(_similar(rest, texts), "line-links-across"))
+    rest = _across(texts.join(large.select("h").distinct(), "h"), marks, components(found))
+    return found.union(store(_similar(rest, texts, marks), "line-links-across"))
 
 
 def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

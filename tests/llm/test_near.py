@@ -231,6 +231,35 @@ def test_bitmaps_differ_no_more_than_shingles(spark):
             assert differ <= len(sets[a.h] ^ sets[b.h]) and (differ - len(sets[a.h] ^ sets[b.h])) % 2 == 0
 
 
+def test_only_possible_pairs_reach_the_exact_comparison(spark):
+    rng = random.Random(12)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(380))
+    texts = [base, "", "ab", "aab" * 200]
+    for edits in [*range(1, 16), 60]:
+        t = list(base)
+        for k in rng.sample(range(380), edits):
+            t[k] = "#"
+        texts.append("".join(t))
+    lines = spark.createDataFrame(list(enumerate(texts)), "h bigint, line string")
+    pairs = list(combinations(range(len(texts)), 2))
+    sets = [{x[i : i + 9] for i in range(max(1, len(x) - 8))} for x in texts]
+    near = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs}
+    df, marks = spark.createDataFrame(pairs, "a bigint, b bigint"), linededup._marks(lines)
+    left = {(r.a, r.b): (r.n_a, r.n_b) for r in linededup._possible(df, marks).collect()}
+    assert all(left[a, b] == (len(sets[a]), len(sets[b])) for (a, b), j in near.items() if j >= 0.8)
+    assert not [p for p in left if near[p] < 0.6]
+    assert {(r.a, r.b) for r in linededup._similar(df, lines, marks).collect()} == {p for p, j in near.items() if j >= 0.8}
+
+
+def test_candidates_come_from_one_shuffle_of_the_lines(spark, make):
+    """Signatures and texts read the same shuffle files."""
+    df = linededup._lines(make(line_rows()), "doc_id", "text").where("h IS NOT NULL").select("h", "line")
+    found = linededup._candidates(df)
+    rows = found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert rows and "Reused" in plan
+
+
 def test_drop_lines(make):
     rows = line_rows()
     keep, df = brute_lines(rows), make(rows).coalesce(1)

@@ -21,12 +21,15 @@ text of fewer words is one shingle).  Texts link at a Jaccard similarity of
   filter with lengths and places, which loses no pair) and pass the estimate.
   No bucket is capped.
 * Confirmation: the exact similarity of the full sets (64-bit hashes of the
-  shingles).  Distributed union-find joins the links.
+  shingles), for the pairs that 1024-bit bitmaps of the sets do not rule out.
+  Distributed union-find joins the links.
 
-Scale: equal sets are one row from the start, by map-side combine.  Band rows
-are 64 bytes and shuffled once; the rows of a key that fills more than ``SPLIT``
-rows are dealt to several tasks, each with an own first set.  Only texts with
-candidates are read again for their sets.
+Scale: equal sets are one row from the start, by map-side combine.  Band keys
+are shuffled with the number of their set alone; only the rows of keys that two
+sets share get the signature (64 bytes) and are shuffled with it.  The rows of a
+key that fills more than ``SPLIT`` rows are dealt to several tasks, each with an
+own first set.  Only texts with candidates are read again for their sets, and a
+set is shuffled only for pairs that its bitmap allows.
 
 Defined results: a null text, or one without words, has an empty set, is linked
 with nothing and names its own component; each input row gives one output row,
@@ -53,6 +56,7 @@ BANDS = HASHES // BAND
 BUCKET, SPLIT = 32, 100_000
 VOCABULARY = 1 << 20  # hashes of words kept at hand
 WORDS64 = [f"s{i}" for i in range(HASHES * BITS // 64)]
+MARKS = [f"m{i}" for i in range(16)]  # 64-bit words of a set's bitmap
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -263,33 +267,54 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _band_rows(sets: DataFrame) -> DataFrame:
-    """``(key, part, node, n, s0..s3)``, one row per set and band; keys with many
-    rows in several parts."""
-    rows = sets.select(F.explode("bands").alias("key"), "node", "n", *WORDS64)
-    hot = store(rows.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > SPLIT), "bbit-hot-keys")
-    parts = F.coalesce(F.floor(F.col("rows") / SPLIT) + 1, F.lit(1))
-    return rows.join(hot, "key", "left").select("key", F.pmod(F.xxhash64("node"), parts).cast("bigint").alias("part"), "node", "n", *WORDS64)
+    """``(key, part, node, n, s0..s3)``, one row per set and band whose key another
+    set has too; keys with many rows in several parts."""
+    rows = sets.select(F.explode("bands").alias("key"), "node")
+    shared = store(rows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "bbit-shared-keys")
+    parts = F.floor(F.col("rows") / SPLIT) + 1
+    rows = rows.join(shared, "key").select("key", F.pmod(F.xxhash64("node"), parts).cast("bigint").alias("part"), "node")
+    return rows.join(sets.select("node", "n", *WORDS64), "node").select("key", "part", "node", "n", *WORDS64)
 
 
 # ------------------------------------------------------------ confirmation
 
+def marks(x: np.ndarray) -> np.ndarray:
+    """The bitmap of a set: a bit tells whether an odd number of its hashes falls
+    there.  Two sets differ in at least as many hashes as bits."""
+    odd = np.bincount((x & np.uint64(64 * len(MARKS) - 1)).astype(np.int64), minlength=64 * len(MARKS)) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sets(df: DataFrame, nodes: DataFrame, text_col: str, words: int) -> DataFrame:
-    """``(node, n, x)``: the full sets of the rows of the ``stable`` table df whose
-    number is in ``nodes``."""
+    """``(node, large, n, m0..m15, x)``: the full sets and their bitmaps of the rows
+    of the ``stable`` table df whose number is in ``nodes`` (node, large)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingle_set(t.as_py(), hashes, words).view(np.int64) for t in part.column("text")]
+                sets = [shingle_set(t.as_py(), hashes, words) for t in part.column("text")]
                 size = np.array([len(x) for x in sets], dtype=np.int64)
                 ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                bits = np.stack([marks(x) for x in sets])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), pa.array(size), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "n", "x"])
+                    [part.column("node"), part.column("large"), pa.array(size), *[pa.array(bits[:, i].copy()) for i in range(len(MARKS))],
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "large", "n", *MARKS, "x"])
+
+    rows = df.select(F.col(RID).alias("node"), F.col(f"`{text_col}`").alias("text")).join(nodes, "node").select("node", "large", "text")
+    return map_batches(rows, run, "node bigint, large boolean, n bigint, " + ", ".join(f"{m} bigint" for m in MARKS) + ", x array<bigint>")
+
 
-    rows = df.select(F.col(RID).alias("node"), F.col(f"`{text_col}`").alias("text")).join(nodes, "node", "left_semi")
-    return map_batches(rows, run, "node bigint, n bigint, x array<bigint>")
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) that the sizes and bitmaps of their ``sets`` allow to be
+    similar; exact, no similar pair goes."""
+    one, two = (sets.select(F.col("node").alias(e), *[F.col(c).alias(f"{c}_{e}") for c in ("n", *MARKS)]) for e in "ab")
+    both = F.col("n_a") + F.col("n_b")
+    differ = sum(F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in MARKS)
+    # Common hashes are half of what does not differ, and similar sets have percent / (100 + percent) of both in common.
+    fits = (100 + percent) * (both - differ) >= 2 * percent * both
+    return pairs.join(one, "a").join(two, "b").where(fits).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -298,7 +323,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     two = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("x").alias("x_b"))
     both = F.size(F.array_intersect("x_a", "x_b"))
     similar = 100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)
-    return pairs.join(one, "a").join(two, "b").where(similar).select("a", "b")
+    # By b first: the pairs lie by b already.
+    return _possible(pairs, sets, percent).join(two, "b").join(one, "a").where(similar).select("a", "b")
 
 
 def _at_least(num: Column, den: int) -> Column:
@@ -354,13 +380,15 @@ def links(df: DataFrame, sets: DataFrame, text_col: str = "text", words: int = W
     that others tie together not every pair."""
     found = store(_candidates(_band_rows(sets), percent), "bbit-candidates")
     pairs, large = found.where("b IS NOT NULL"), found.where("b IS NULL").select(F.col("a").alias("node"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large).distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.lit(False).alias("large")).union(large.select("node", F.lit(True)))
+    ends = ends.groupBy("node").agg(F.max("large").alias("large"))
     full = store(_sets(df, store(ends, "bbit-ends"), text_col, words), "bbit-sets")
     confirmed = store(_confirmed(pairs, full, percent), "bbit-links")
     if large.isEmpty():
         return confirmed
+    full = full.where("large")
     packed = sets.join(large, "node", "left_semi").select("node", *WORDS64)
-    rest = store(_across(full.join(large, "node", "left_semi"), packed, components(confirmed), percent), "bbit-across")
+    rest = store(_across(full, packed, components(confirmed), percent), "bbit-across")
     return confirmed.union(store(_confirmed(rest, full, percent), "bbit-links-across"))
 
 

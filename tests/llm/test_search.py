@@ -192,6 +192,32 @@ def test_groups_equal_all_pairs(spark, make, monkeypatch, bucket, split):
     assert groups(bbit.near_groups(make(rows).repartition(4))) == brute_groups(rows)
 
 
+def test_signatures_only_for_shared_keys(spark):
+    """A key of one set alone sends no signature into the shuffle by key."""
+    sets = spark.createDataFrame([(1, [10, 11], 5), (2, [10, 12], 5), (3, [13, 14], 5)], "node bigint, bands array<bigint>, n bigint")
+    for s in bbit.WORDS64:
+        sets = sets.withColumn(s, sets.node)
+    rows = bbit._band_rows(sets).collect()
+    assert sorted((r.key, r.part, r.node, r.n, r.s3) for r in rows) == [(10, 0, 1, 5, 1), (10, 0, 2, 5, 2)]
+
+
+def test_bitmaps_lose_no_pair(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[:k], rng.integers(0, 1 << 63, m, dtype=np.uint64)])) for k in (3, 250, 420, 450, 470, 490, 500) for m in (0, 20, 40)]
+    schema = "node bigint, n bigint, x array<bigint>, " + ", ".join(f"{m} bigint" for m in bbit.MARKS)
+    rows = [(i, len(x), x.view(np.int64).tolist(), *bbit.marks(x).tolist()) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, schema)
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets))]
+    both = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a, b in pairs}
+    share = {(a, b): both[a, b] / (len(sets[a]) + len(sets[b]) - both[a, b]) for a, b in pairs}
+    found = spark.createDataFrame(pairs, "a bigint, b bigint")
+    left = {(r.a, r.b) for r in bbit._possible(found, df, 85).collect()}
+    similar = {p for p in pairs if share[p] >= 0.85}
+    assert similar and similar <= left and not [p for p in left if share[p] < 0.6]
+    assert {(r.a, r.b) for r in bbit._confirmed(found, df, 85).collect()} == similar
+
+
 def test_isolated_pairs_behind_a_shared_template(spark, make, monkeypatch):
     """Pairs at the threshold in large buckets of texts that are too different."""
     monkeypatch.setattr(bbit, "BUCKET", 4)

@@ -41,7 +41,12 @@ ignored (``drop_lines`` passes them on).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from orrery.llm.common import RID, keyed, release, stable, store
 from orrery.llm.components import components
@@ -54,10 +59,27 @@ MARKS = [f"m{i}" for i in range(16)]  # 64-bit words of a line's bitmap
 CLASSES = ((10, 10), (18, 5), (None, 4))
 
 
+@contextmanager
+def _many_groups(spark: SparkSession) -> Iterator[None]:
+    """Aggregations here have a group for every few rows: Spark's small first
+    map is full at once, and asking it for every row is in vain."""
+    key = "spark.sql.codegen.aggregate.map.twolevel.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(rid, id, pos, line, h)``; h is null for blank lines."""
-    cut = keyed(df, id_col, text_col).select("rid", "id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "raw"))
-    line = cut.select("rid", "id", "pos", F.lower(F.trim("raw", F.lit(" \t\r"))).alias("line"))
+    # Lower case first: no letter's case depends on another line, and one text is faster than its parts.
+    texts = keyed(df, id_col, text_col).select("rid", "id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    cut = texts.select("rid", "id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    # Most lines have nothing to trim, which is told by their ends.
+    spaced = reduce(or_, [f("raw", F.lit(c)) for f in (F.startswith, F.endswith) for c in " \t\r"])
+    line = cut.select("rid", "id", "pos", F.when(spaced, F.trim("raw", F.lit(" \t\r"))).otherwise(F.col("raw")).alias("line"))
     return line.withColumn("h", F.when(F.col("line") != "", F.xxhash64("line")))
 
 
@@ -82,19 +104,24 @@ def _distinct(lines: DataFrame) -> DataFrame:
 
 
 def _minima(lines: DataFrame) -> DataFrame:
-    """``(h, bin, y)``: the smallest shingle hash of each bin of each line (h,
-    line), hashed together with the bin.
+    """``(h, part, y0..y3)``: for each line (h, line) and each four bins in a row
+    the smallest shingle hash of each bin, hashed together with the bin; 0 for
+    an empty one.
 
     Shingles are rows, aggregated in place: lines are dealt by h once, and the
-    aggregation, like the ones that follow, keeps to that.
+    aggregation, like the ones that follow, keeps to that.  New groups are what
+    it takes most time for, so that four bins share a row.
     """
     width = 2 * SHINGLE
     texts = _distinct(lines).select("h", _wide("line").alias("wide"))
     at = F.explode_outer(F.sequence(F.lit(1), F.greatest(F.length("wide") - width + 1, F.lit(1)), F.lit(2))).alias("at")
     hashed = texts.select("h", "wide", at).select("h", F.xxhash64(F.substring("wide", F.col("at"), F.lit(width))).alias("x"))
     # The bin of a hash: its upper half, scaled to BINS.
-    part = F.shiftrightunsigned(F.shiftrightunsigned("x", 32) * BINS, 32)
-    return hashed.groupBy("h", part.alias("bin")).agg(F.min("x").alias("x")).select("h", "bin", F.xxhash64("bin", "x").alias("y"))
+    placed = hashed.select("h", "x", F.shiftrightunsigned(F.shiftrightunsigned("x", 32) * BINS, 32).cast("int").alias("bin"))
+    least = [F.min(F.when(F.col("bin").bitwiseAND(3) == i, F.col("x"))).alias(f"x{i}") for i in range(4)]
+    parts = placed.groupBy("h", F.shiftright("bin", 2).alias("part")).agg(*least)
+    y = [F.when(F.col(f"x{i}").isNull(), 0).otherwise(F.xxhash64((F.col("part") * 4 + i).cast("long"), f"x{i}")).alias(f"y{i}") for i in range(4)]
+    return parts.select("h", "part", *y)
 
 
 def _bands(lines: DataFrame) -> DataFrame:
@@ -104,15 +131,22 @@ def _bands(lines: DataFrame) -> DataFrame:
     cols, bands = [], []
     for k, (_, bins) in enumerate(CLASSES):
         for j in range(BINS // bins):
-            inside = (F.col("bin") >= j * bins) & (F.col("bin") < (j + 1) * bins)
-            cols.append(F.bit_xor(F.when(inside, F.col("y")).otherwise(F.lit(0))).alias(f"b{k}_{j}"))
+            inside: dict[tuple[int, ...], list[int]] = {}
+            for part in range(j * bins // 4, -(-(j + 1) * bins // 4)):
+                inside.setdefault(tuple(i for i in range(4) if j * bins <= part * 4 + i < (j + 1) * bins), []).append(part)
+            each = F.lit(0).cast("long")
+            for places, parts in inside.items():
+                both = reduce(Column.bitwiseXOR, [F.col(f"y{i}") for i in places])
+                each = F.when(F.col("part").isin(parts), both).otherwise(each)
+            cols.append(F.bit_xor(each).alias(f"b{k}_{j}"))
             key = F.when(F.col(f"b{k}_{j}") != 0, F.xxhash64(F.lit(k * 64 + j), f"b{k}_{j}"))
             low = CLASSES[k - 1][0] if k else 0
             most = CLASSES[k][0]
             # Just above a limit: the class below too, so that similar lines always have one in common.
             mine = F.col("n") > low if most is None else (F.col("n") > low) & (F.col("n") <= int(most / SIMILARITY) + 1)
             bands.append(F.when(mine, key))
-    signed = one.groupBy("h").agg(F.count("*").alias("n"), *cols)
+    filled = sum((F.col(f"y{i}") != 0).cast("int") for i in range(4))
+    signed = one.groupBy("h").agg(F.sum(filled).alias("n"), *cols)
     # The outer form: the optimizer adds no filter that would compute the keys again.
     return signed.select("h", F.explode_outer(F.array(*bands)).alias("key")).where("key IS NOT NULL")
 
@@ -209,10 +243,13 @@ def _marks(texts: DataFrame) -> DataFrame:
     """``(h, n, m0..m15)``: the number of shingles and a bitmap of each line (h, line);
     a bit tells whether an odd number of its shingles falls there.  Two lines have at
     least as many different shingles as different bits."""
-    # By word first: one bitmap word per row, not all of them for each shingle.
+    # By four words first: four bitmap words per row, not all of them for each shingle.
     word = F.expr(f"CAST(shiftrightunsigned(x, 6) & {len(MARKS) - 1} AS INT)").alias("word")
-    words = _shingle_rows(texts).groupBy("h", word).agg(F.count("*").alias("n"), F.bit_xor(F.expr("shiftleft(1L, CAST(x & 63 AS INT))")).alias("bits"))
-    marks = [F.bit_xor(F.when(F.col("word") == i, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(m) for i, m in enumerate(MARKS)]
+    rows = _shingle_rows(texts).select("h", word, F.expr("shiftleft(1L, CAST(x & 63 AS INT))").alias("bit"))
+    none = F.lit(0).cast("long")
+    bits = [F.bit_xor(F.when(F.col("word").bitwiseAND(3) == i, F.col("bit")).otherwise(none)).alias(f"bits{i}") for i in range(4)]
+    words = rows.groupBy("h", F.shiftright("word", 2).alias("part")).agg(F.count("*").alias("n"), *bits)
+    marks = [F.bit_xor(F.when(F.col("part") == i // 4, F.col(f"bits{i % 4}")).otherwise(none)).alias(m) for i, m in enumerate(MARKS)]
     return words.groupBy("h").agg(F.sum("n").cast("int").alias("n"), *marks)
 
 
@@ -305,15 +342,19 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """``(rid, id, pos, root, keep_rid, keep_id, keep_pos, group_size, kept)``
     per line of the input; root names the component."""
     lines = _lines(stable(df), id_col, text_col)
-    roots = components(links(lines.where("h IS NOT NULL").select("h", "line")))
+    with _many_groups(df.sparkSession):
+        roots = components(links(lines.where("h IS NOT NULL").select("h", "line")))
     release(df.sparkSession)
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid", "pos")).alias("first")
-    nodes = lines.where("h IS NOT NULL").groupBy("h").agg(first, F.count("*").alias("n"))
-    nodes = store(nodes.join(roots, nodes.h == roots.node, "left").select("h", F.coalesce("root", "h").alias("root"), "first", "n"), "line-nodes")
-    groups = nodes.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("group_size"))
+    # The texts are cut once more for the places; what follows reads these.
+    places = store(lines.select("rid", "id", "pos", "h"), "line-places")
+    many = places.where("h IS NOT NULL").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     # Only lines that have company need to be told.
-    named = store(nodes.select("h", "root").join(groups.where("group_size > 1"), "root"), "line-named")
-    rows = lines.select("rid", "id", "pos", "h").join(named, "h", "left")
+    linked = roots.withColumnRenamed("node", "h")
+    nodes = store(many.join(linked, "h", "full").select("h", F.coalesce("root", "h").alias("root")), "line-nodes")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid", "pos")).alias("first")
+    groups = places.join(nodes, "h").groupBy("root").agg(first, F.count("*").alias("group_size"))
+    named = store(nodes.join(groups, "root"), "line-named")
+    rows = places.join(named, "h", "left")
     kept = F.col("first").isNull() | ((F.col("first.rid") == F.col("rid")) & (F.col("first.pos") == F.col("pos")))
     return rows.select("rid", "id", "pos", F.coalesce("root", "h").alias("root"),
                        F.coalesce("first.rid", "rid").alias("keep_rid"), F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("keep_id"),

@@ -260,6 +260,32 @@ def test_candidates_come_from_one_shuffle_of_the_lines(spark, make):
     assert rows and "Reused" in plan
 
 
+def test_four_bins_share_a_row(spark):
+    """Groups are what the aggregation of shingles takes time for: ten a line at most, with all 40 minima."""
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(4000)), "ab", "a" * 500]
+    rows = linededup._minima(spark.createDataFrame(list(enumerate(texts)), "h bigint, line string")).collect()
+    assert collections.Counter(r.h for r in rows) == {0: 10, 1: 1, 2: 1}
+    assert {r.h: sum(r[f"y{i}"] != 0 for r in rows if r.h == h for i in range(4)) for h in range(3) for r in rows if r.h == h} == {0: 40, 1: 1, 2: 1}
+
+
+def test_texts_are_cut_for_signatures_and_places_only(spark, make):
+    """What follows reads the stored places, no text; settings are as before."""
+    key = "spark.sql.codegen.aggregate.map.twolevel.enabled"
+    before = spark.conf.get(key, "true")
+    files = linededup.line_groups(make(line_rows())).inputFiles()
+    assert {f.split("/")[-2].split("-", 1)[1] for f in files} == {"line-places", "line-named"}
+    assert spark.conf.get(key, "true") == before
+
+
+def test_lines_are_lowered_and_trimmed_each(spark, make):
+    lines = ["", " ", "ΑΣ", "ΣΑ \r", "\t \tA B\t", "\u00a0X\u00a0", "İI\r", "\x0bA ", "ΟΔΟΣ", "\r\r"]
+    got = linededup._lines(make([(1, "\n".join(lines)), (2, None)]), "doc_id", "text").collect()
+    each = spark.createDataFrame(list(enumerate(lines)), "pos int, raw string").selectExpr("pos", "lower(trim(BOTH ' \t\r' FROM raw)) AS line")
+    assert {r.pos: r.line for r in got if r.id == 1} == {r.pos: r.line for r in each.collect()}
+    assert [(r.pos, r.line, r.h) for r in got if r.id == 2] == [(0, "", None)]
+
+
 def test_drop_lines(make):
     rows = line_rows()
     keep, df = brute_lines(rows), make(rows).coalesce(1)
